@@ -55,6 +55,7 @@ _WORD = "[0-9]*[A-Za-z_][A-Za-z0-9_]*"
 _SPACED = (
     r"(?i:IN|VALUES|USING|FROM|AS)\b"
     rf"|{_WORD}(?:\(|(?:\s*\.\s*{_WORD})+|\s*\.)?"
+    r"|--[^\n]*|/\*.*?\*/"
     r"""|\s+|''[^'']*(?:''''[^'']*)*''|"[^"]*(?:""[^"]*)*"|`[^`]*`"""
     r"|-?[0-9]+(?:\.[0-9]+)?|[<>=!~]+|[+/@#%&|^-]+|."
 )
@@ -294,7 +295,7 @@ def features(source: str, sql: str, name: str) -> str:
         ELSE [] END AS s_select,
       {after('toks', 'FROM')} AS s_from, {after('toks', 'JOIN')} AS s_join,
       [a for a in {listed(AGGREGATES)} if contains(up, a)] AS s_agg,
-      [k for k in {listed(PAIR_KEYWORDS)} if contains(up, k)] AS kws,
+      [k for k in {listed(PAIR_KEYWORDS)} if contains(up, k)] AS pkws,
       CAST(len(toks) AS INTEGER) AS num_tokens,
       CAST(len([1 for i in range(1, len(toks)) if toks[i] IN ('FROM', 'JOIN')]) AS INTEGER) AS num_tables,
       {count('up', 'JOIN')} AS num_joins,
@@ -322,7 +323,7 @@ def jaccard(kind: str) -> str:
 
 
 _KINDS = ("select", "from", "join", "agg")
-_TP = "len(list_intersect(p.kws, r.kws))"
+_TP = "len(list_intersect(p.pkws, r.pkws))"
 OVERLAP = (
     "CASE WHEN len(r.toks) = 0 THEN 0.0 ELSE list_sum([least(len(list_filter(p.toks, lambda y: y = t)),"
     " len(list_filter(r.toks, lambda y: y = t))) for t in list_distinct(r.toks)])::DOUBLE"
@@ -333,8 +334,8 @@ PAIR_COLUMNS = f"""
       ({OVERLAP})::DOUBLE AS token_accuracy,
       coalesce(list_avg([v for v in [{', '.join(jaccard(k) for k in _KINDS)}] if v IS NOT NULL]), 0.0)::DOUBLE
         AS structural_similarity,
-      CASE WHEN len(r.kws) = 0 OR len(p.kws) = 0 THEN 0.0 ELSE {_TP}::DOUBLE / len(p.kws) END::DOUBLE AS keyword_precision,
-      CASE WHEN len(r.kws) = 0 THEN 0.0 ELSE {_TP}::DOUBLE / len(r.kws) END::DOUBLE AS keyword_recall,
+      CASE WHEN len(r.pkws) = 0 OR len(p.pkws) = 0 THEN 0.0 ELSE {_TP}::DOUBLE / len(p.pkws) END::DOUBLE AS keyword_precision,
+      CASE WHEN len(r.pkws) = 0 THEN 0.0 ELSE {_TP}::DOUBLE / len(r.pkws) END::DOUBLE AS keyword_recall,
       p.lvl AS predicted_complexity, r.lvl AS reference_complexity,
       CASE WHEN p.lvl = r.lvl THEN 1 ELSE 0 END AS complexity_match,
       CAST(levenshtein(p.norm, r.norm) AS INTEGER) AS levenshtein"""

@@ -70,7 +70,7 @@ def add_query_features(df: DataFrame, sql: str, prefix: str) -> DataFrame:
     score = S.complexity_score(F.col(f"{prefix}_features"))
     return df.withColumns(
         {
-            f"{prefix}_norm": comparable(F.col(sql)),
+            f"{prefix}_norm": computed_once(comparable(F.col(sql))),
             f"{prefix}_mask": S.pair_keyword_mask(F.col(up)),
             f"{prefix}_shape": S.structure(F.col(up), F.col(toks)),
             f"{prefix}_level": S.score_level(score, strip(F.col(up)) == ""),
@@ -101,7 +101,9 @@ def pair_metrics(paired: DataFrame) -> DataFrame:
             "predicted_complexity": p["level"],
             "reference_complexity": r["level"],
             "complexity_match": (p["level"] == r["level"]).cast("int"),
-            "levenshtein": computed_once(F.levenshtein(p["norm"], r["norm"])),
+            "levenshtein": F.when(p["norm"] == r["norm"], 0).otherwise(
+                F.levenshtein(p["norm"], r["norm"])
+            ),
         }
     )
 
