@@ -1 +1,122 @@
-"""To come."""
+"""Streams over the responses, batch generation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import sql as Q
+from checks.prep import new_path, processed
+from checks.registry import query, rounded
+from checks.reward import REWARDED, SCORED
+from checks.views import generations, raw_samples
+from querymill.operators import generate
+from querymill.operators.prepare import filter_samples, preprocess
+from querymill.schemas import RAW, RESPONSE
+from querymill.sources.corpus import stream_corpus
+from querymill.streaming import rewards as streaming
+
+
+def response_stream(spark, sf_dir):
+    """The responses as files that arrive one by one, with an event time."""
+    from pyspark.sql.types import StructType, TimestampType
+
+    path = new_path(spark, "arriving")
+    seconds = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, sample_id)")
+    generations(spark, sf_dir).withColumn("ts", seconds).write.parquet(path)
+    schema = StructType([*RESPONSE.fields]).add("ts", TimestampType())
+    return stream_corpus(spark, path, schema, files_per_trigger=3)
+
+
+def _run(spark, stream, mode="append"):
+    out, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
+    streaming.write_available(stream, out, state, mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query(
+    "stream_scan_prepared",
+    Q.with_(Q.PREP) + "SELECT sample_id, question, sql, complexity FROM kept",
+)
+def stream_scan(spark, sf_dir):
+    path = new_path(spark, "raw")
+    raw_samples(spark, sf_dir).write.parquet(path)
+    prepared = filter_samples(preprocess(stream_corpus(spark, path, RAW, files_per_trigger=4)))
+    return _run(spark, prepared.select("sample_id", "question", "sql", "complexity"))
+
+
+@query(
+    "stream_rewards",
+    REWARDED + "SELECT sample_id, candidate, model, round(total, 6) AS total, round(reward, 6) AS reward FROM rewarded",
+)
+def stream_rewards(spark, sf_dir):
+    scored = streaming.score_stream(response_stream(spark, sf_dir), raw_samples(spark, sf_dir))
+    return rounded(
+        _run(spark, scored.select("sample_id", "candidate", "model", "total", "reward"))
+    )
+
+
+_MONITOR = """, timed AS (SELECT *, sample_id // 600 AS slot FROM scored)
+SELECT CAST(slot * 600 AS BIGINT) AS second, model, count(*) AS num_samples,
+  round(100.0 * count(*) FILTER (valid) / count(*), 6)::DOUBLE AS valid_sql_pct, round(avg(total), 9) AS avg_reward,
+  round(100.0 * count(*) FILTER (syntax > 0.5) / count(*), 6)::DOUBLE AS syntax_correct_pct,
+  round(100.0 * count(*) FILTER (keywords > 0.5) / count(*), 6)::DOUBLE AS keyword_present_pct
+FROM timed GROUP BY slot, model"""
+
+
+def _monitored(df):
+    second = F.expr("cast(unix_timestamp(interval_start) - unix_timestamp(timestamp'2024-01-01 00:00:00') as bigint)")
+    return df.withColumn("second", second).drop("interval_start").select(
+        "second", "model", "num_samples", F.round("valid_sql_pct", 6).alias("valid_sql_pct"),
+        F.round("avg_reward", 9).alias("avg_reward"),
+        F.round("syntax_correct_pct", 6).alias("syntax_correct_pct"),
+        F.round("keyword_present_pct", 6).alias("keyword_present_pct"),
+    )
+
+
+@query("stream_reward_monitor", SCORED + _MONITOR)
+def stream_monitor(spark, sf_dir):
+    scored = streaming.score_stream(response_stream(spark, sf_dir))
+    monitored = streaming.reward_monitor(scored)
+    folders = streaming.write_snapshots(
+        monitored, new_path(spark, "snapshots"), new_path(spark, "stream-state")
+    )
+    return _monitored(spark.read.schema(monitored.schema).parquet(folders[-1]))
+
+
+@query("monitor_reward_intervals", SCORED + _MONITOR)
+def monitor_batch(spark, sf_dir):
+    from querymill.operators.reward import add_scores
+
+    seconds = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, sample_id)")
+    scored = add_scores(generations(spark, sf_dir).withColumn("ts", seconds))
+    return _monitored(streaming.reward_monitor(scored))
+
+
+def _generated() -> str:
+    from checks.schema_prompt import _template_sql
+
+    sql = "'SELECT count(*) FROM t WHERE n = ' || length(prompt)"
+    return (
+        Q.with_(Q.PREP)
+        + f", asked AS (SELECT sample_id, {_template_sql('default', 'question', 'schema')} AS prompt"
+        " FROM prepped WHERE question <> '')\n"
+        f"SELECT sample_id, prompt, '```sql' || chr(10) || {sql} || chr(10) || '```' AS raw_output,"
+        f" {sql} AS sql, true AS valid FROM asked"
+    )
+
+
+@query("generate_batches", _generated())
+def generate_batches(spark, sf_dir):
+    """A stand-in model repeats the prompt and answers in a fence."""
+
+    def echo_model():
+        import numpy as np
+
+        def predict(prompts):
+            answer = "{0} ```sql\nSELECT count(*) FROM t WHERE n = {1}\n```"
+            return np.array([answer.format(p, len(p)) for p in prompts], dtype=object)
+
+        return predict
+
+    answered = generate.generate(processed(spark, sf_dir), echo_model, batch_size=64)
+    return answered.select("sample_id", "prompt", "raw_output", "parsed.sql", "parsed.valid")

@@ -8,14 +8,15 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from querymill.functions.extraction import ParserOptions
 from querymill.functions.prompting import PromptOptions, prompt
+from querymill.functions.rubric import RubricOptions
 from querymill.functions.text import or_empty, strip
 from querymill.operators.columns import text_field
 from querymill.operators.prepare import drop_unformattable
 from querymill.operators.reward import parse_responses
-from querymill.functions.rubric import RubricOptions
 
 # Default stop sequences.
 STOP_SEQUENCES = ("\n\n", "<|eot_id|>", "Question:", "Schema:")
@@ -48,7 +49,7 @@ def generate(
     ``make_predict_fn`` loads the model and returns a function from an array of prompts to an
     array of texts; it runs once per Python worker. Adds ``prompt, raw_output, parsed``.
     """
-    model = predict_batch_udf(make_predict_fn, return_type="string", batch_size=batch_size)
+    model = predict_batch_udf(make_predict_fn, return_type=StringType(), batch_size=batch_size)
     asked = drop_unformattable(df).withColumn(
         "prompt", prompt(F.col("question"), text_field(df, "schema"), opts=prompts)
     )

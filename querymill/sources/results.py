@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from querymill.operators.evaluate import aggregate_all, report_rows
 from querymill.schemas import RESULT
 
-_CSV = {"header": True, "escape": '"', "multiLine": True, "nullValue": "\\N", "emptyValue": "",
-        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# Nulls get a marker of their own, so that an empty text stays an empty text.
+_CSV = {
+    "header": True, "escape": '"', "multiLine": True, "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_results_csv(results: DataFrame, path: str) -> None:
