@@ -231,10 +231,9 @@ SCORED = EXTRACTED + "," + scoring("found")
 
 # --- schema text --------------------------------------------------------------------------------
 
-TABLE_RE = (
-    r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`""]?(\w+)[`""]?\s*\(([^;]*)\)".replace('""', '"')
-)
-COLUMN_RE = r"^[`""]?(\w+)[`""]?\s+(?:".replace('""', '"') + "|".join(COLUMN_TYPES) + ")"
+_Q = '[`"]?'
+TABLE_RE = rf"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_Q}(\w+){_Q}\s*\(([^;]*)\)"
+COLUMN_RE = rf"^{_Q}(\w+){_Q}\s+(?:{'|'.join(COLUMN_TYPES)})"
 
 
 def definitions(source: str, context: str, name: str = "defs") -> str:

@@ -1,0 +1,139 @@
+"""Do a predicted and a reference query return the same rows?
+
+Every distinct pair is two Spark queries, so the driver submits them one after the other while
+the work of each runs on the cluster. Pairs are streamed to the driver and the outcomes are
+written in chunks; neither list is ever held whole. Meant for evaluation sets, not for corpora.
+Queries run with the rights of the session: only SELECT or WITH, and only over the given tables.
+"""
+
+from __future__ import annotations
+
+import re
+import threading
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql import functions as F
+
+from querymill.functions.ddl import query_tables
+from querymill.plans.storage import shared_folder
+
+OUTCOME = T.StructType(
+    [
+        T.StructField("predicted_sql", T.StringType()),
+        T.StructField("reference_sql", T.StringType()),
+        T.StructField("execution_match", T.BooleanType()),
+        T.StructField("predicted_executable", T.BooleanType()),
+        T.StructField("reference_executable", T.BooleanType()),
+        T.StructField("predicted_error", T.StringType()),
+        T.StructField("reference_error", T.StringType()),
+    ]
+)
+CHUNK = 500
+_READS = re.compile(r"\s*(?:SELECT|WITH)\b", re.IGNORECASE)
+# Functions that call into the JVM, and file paths in place of tables.
+_ESCAPES = re.compile(r"\b(?:try_)?reflect\s*\(|\bjava_method\s*\(|\.\s*`", re.IGNORECASE)
+
+
+def _permitted(sql: str) -> str | None:
+    if not _READS.match(sql):
+        return "only SELECT and WITH are run"
+    if _ESCAPES.search(sql):
+        return "calls outside of SQL are not run"
+    return None
+
+
+def _plan(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None]:
+    """The query as a frame with positional column names, or why it cannot run."""
+    problem = _permitted(sql)
+    if problem:
+        return None, problem
+    try:
+        df = spark.sql(sql)
+        return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), None
+    except Exception as e:
+        return None, str(e).splitlines()[0]
+
+
+def _runs(spark: SparkSession, df: DataFrame, timeout: float) -> str | None:
+    """Run to the end within the time limit; the reason if it does not."""
+    tag = f"execution-{uuid.uuid4().hex}"
+    timer = threading.Timer(timeout, lambda: spark.interruptTag(tag))
+    spark.addTag(tag)
+    timer.start()
+    try:
+        df.write.format("noop").mode("overwrite").save()
+        return None
+    except Exception as e:
+        return str(e).splitlines()[0]
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+
+
+def _same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Equal as multisets of rows."""
+    if len(left.columns) != len(right.columns):
+        return False
+    try:
+        return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    except Exception:
+        return False
+
+
+def _outcomes(spark: SparkSession, pairs: DataFrame, timeout: float) -> Iterator[tuple]:
+    for predicted, reference in pairs.toLocalIterator():
+        frames, errors = [], []
+        for sql in (predicted, reference):
+            df, error = _plan(spark, sql or "")
+            if df is not None:
+                error = _runs(spark, df, timeout)
+            frames.append(df)
+            errors.append(error)
+        both = errors == [None, None]
+        yield (
+            predicted, reference, both and _same_rows(*frames), errors[0] is None,
+            errors[1] is None, *errors,
+        )
+
+
+def execution_match(
+    results: DataFrame, tables: dict[str, DataFrame] | None, timeout: float = 5.0
+) -> DataFrame:
+    """Outcome per distinct (predicted_sql, reference_sql).
+
+    Without ``tables`` there is nothing to run against and every outcome is null.
+    """
+    spark = results.sparkSession
+    pairs = results.select("predicted_sql", "reference_sql").distinct()
+    if not tables:
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in OUTCOME.fields[2:]]
+        return pairs.select("predicted_sql", "reference_sql", *nothing)
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    known = F.array(*[F.lit(n.upper()) for n in tables])
+    foreign = F.size(F.array_except(query_tables(F.col("predicted_sql")), known)) > 0
+    path = f"{shared_folder(spark)}/executions-{uuid.uuid4().hex}"
+    chunk: list[tuple] = []
+
+    def flush() -> None:
+        spark.createDataFrame(chunk, OUTCOME).write.mode("append").parquet(path)
+        chunk.clear()
+
+    # A prediction over unknown tables cannot run; it is settled without a query of its own.
+    runnable = pairs.where(~F.coalesce(foreign, F.lit(False)))
+    for outcome in _outcomes(spark, runnable, timeout):
+        chunk.append(outcome)
+        if len(chunk) >= CHUNK:
+            flush()
+    flush()
+    settled = pairs.where(foreign).select(
+        "predicted_sql", "reference_sql", F.lit(False).alias("execution_match"),
+        F.lit(False).alias("predicted_executable"),
+        F.lit(None).cast("boolean").alias("reference_executable"),
+        F.lit("unknown table").alias("predicted_error"),
+        F.lit(None).cast("string").alias("reference_error"),
+    )
+    return spark.read.schema(OUTCOME).parquet(path).unionByName(settled)

@@ -100,18 +100,18 @@ def observed_distribution(df: DataFrame, column: str = "complexity") -> DataFram
 
 def keyword_frequency(df: DataFrame, k: int | None = 15, by: Sequence[str] = ()) -> DataFrame:
     """Samples per listed keyword with their share. ``k=None`` lists all of them."""
-    totals = df.groupBy(*by).agg(F.count("*").alias("__all"))
     counts = (
         df.select(*by, F.explode("sql_keywords").alias("keyword"))
         .groupBy(*by, "keyword")
         .agg(F.count("*").alias("samples"))
     )
-    # One row per group on the left, so the pairing is by group key or, without one, by constant.
-    keyed = list(by) or ["__one"]
-    if not by:
-        totals, counts = (d.withColumn("__one", F.lit(1)) for d in (totals, counts))
-    pct = percent(F.col("samples"), F.col("__all")).alias("pct")
-    rows = counts.join(totals, keyed).select(*by, "keyword", "samples", pct)
+    totals = df.groupBy(*by).agg(F.count("*").alias("__all"))
+    if by:
+        counts, total = counts.join(totals, list(by)), F.col("__all")
+    else:
+        total = totals.scalar()
+    pct = percent(F.col("samples"), total).alias("pct")
+    rows = counts.select(*by, "keyword", "samples", pct)
     if k is None:
         return rows
     if not by:
