@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from checks import sql as Q
 from checks.prep import _SPLIT, PREP, RAW, kept, processed
-from checks.registry import joined, query, rounded
+from checks.registry import query, rounded
 from checks.schema_prompt import ROUGH_COLUMNS, ROUGH_TABLES
 from checks.views import raw_samples
-from querymill.operators import formatting, prepare, profile, sampling
+from querymill.functions.prompting import PromptOptions
+from querymill.operators import formatting, generate, profile, sampling
 from querymill.operators.profile import TRACKED_KEYWORDS
 from querymill.plans import jobs
 from querymill.plans.storage import store
@@ -257,6 +258,34 @@ def prompt_lengths(spark, sf_dir):
     return rounded(profile.token_length_profile(prompts, 30))
 
 
+def _prompt_tokens() -> str:
+    from checks.schema_prompt import _template_sql
+
+    prompt = _template_sql("concise", "question", "schema")
+    return f"len(regexp_extract_all({prompt}, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\n]'))"
+
+
+@query(
+    "profile_prompt_tokens",
+    PREP + f""", n AS (SELECT split, CAST({_prompt_tokens()} AS INTEGER) AS n FROM kept)
+SELECT split, count(*) AS num_samples_checked, round(avg(n), 6) AS avg_token_length, median(n)::DOUBLE AS median_token_length,
+  max(n) AS max_token_length, min(n) AS min_token_length, count(*) FILTER (n > 60) AS too_long_count,
+  round(100.0 * count(*) FILTER (n > 60) / count(*), 6)::DOUBLE AS too_long_pct, 60 AS max_length_threshold
+FROM n GROUP BY split""",
+)
+def prompt_tokens(spark, sf_dir):
+    """A user's tokenizer behind an Arrow function."""
+
+    def make_encode():
+        import re
+
+        return re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \n]").findall
+
+    prompts = formatting.format_samples(kept(spark, sf_dir), PromptOptions(template="concise"))
+    counter = generate.token_counter(make_encode)
+    return rounded(profile.token_length_profile(prompts, 60, count_tokens=counter, by=("split",)))
+
+
 def _report_sql() -> str:
     """One branch per section of the report."""
     rows: list[str] = []

@@ -236,3 +236,22 @@ def prompt_raw_rows(spark, sf_dir):
         raw_samples(spark, sf_dir), PromptOptions(template="instructional")
     )
     return rows.drop("context")
+
+
+def _tidied_and_cut() -> str:
+    """The default prompt over the tidied schema, cut at whole statements."""
+    return f"""{RAW}, tidy AS (SELECT sample_id, question, {_lines("coalesce(context, '')")} AS context FROM raw),
+s AS (SELECT *, {_STATEMENTS} AS st FROM tidy),
+fit AS (SELECT *, array_to_string([st[i] for i in range(1, len(st) + 1)
+    if list_sum([length(y) + 1 for y in st[1:i]]) <= {_CUT}], chr(10)) AS kept FROM s),
+cut AS (SELECT sample_id, question, CASE WHEN length(context) <= {_CUT} THEN context
+    WHEN len(st) = 0 THEN substr(context, 1, {_CUT}) WHEN kept = '' THEN substr(st[1], 1, {_CUT}) ELSE kept END AS schema FROM fit)
+SELECT sample_id, {_template_sql('default', 'question', 'schema')} AS prompt FROM cut WHERE question <> ''"""
+
+
+@query("prompt_truncated_schema", _tidied_and_cut())
+def prompt_truncated_schema(spark, sf_dir):
+    rows = formatting.format_raw_samples(
+        raw_samples(spark, sf_dir), PromptOptions(max_schema_length=_CUT)
+    )
+    return rows.select("sample_id", "prompt")

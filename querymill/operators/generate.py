@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,22 @@ def until_stop(text: Column, stops: Sequence[str] = STOP_SEQUENCES) -> Column:
     return F.get(F.split(text, "|".join(re.escape(s) for s in stops), 2), F.lit(0))
 
 
+def token_counter(make_encode: Callable[[], Callable[[str], Sequence]]) -> Callable:
+    """A column function that counts the tokens of a text with a user's tokenizer.
+
+    ``make_encode`` loads the tokenizer and returns its encode function; it runs once per task,
+    and texts arrive in Arrow batches.
+    """
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make_encode()
+        for texts in batches:
+            yield texts.map(lambda t: len(encode(t or ""))).astype("int32")
+
+    return count
+
+
 def generate(
     df: DataFrame,
     make_predict_fn: Callable,

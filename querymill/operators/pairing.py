@@ -6,9 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """A join side whose size grows with the data and that Spark would misjudge.
+
+    The size estimate of computed text and array columns goes by the compressed files they come
+    from, which says little about the rows that a broadcast would copy to every executor. A merge
+    join spills, and AQE splits its partitions when a key is hot.
+    """
+    return df.hint("merge")
+
+
 def pair(predictions: DataFrame, references: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Inner equi-join; Spark picks broadcast or sort-merge by size, AQE splits hot keys."""
-    return predictions.join(references, key)
+    """Inner equi-join of predictions with their references."""
+    return predictions.join(unbroadcast(references), key)
 
 
 def pairing_gaps(

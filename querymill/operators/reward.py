@@ -16,7 +16,9 @@ from querymill.functions.extraction import add_extraction, parsed_response, vali
 from querymill.functions.rubric import RubricOptions
 from querymill.functions.text import computed_once, or_empty
 from querymill.operators.columns import percent
+from querymill.operators.pairing import unbroadcast
 from querymill.operators.sampling import top_n_per_group
+from querymill.plans.storage import store
 
 
 def add_scores(
@@ -76,7 +78,9 @@ def score_metadata(
     )
     if references is None:
         return scored
-    return scored.join(references.select("sample_id", "reference"), "sample_id", "left")
+    return scored.join(
+        unbroadcast(references.select("sample_id", "reference")), "sample_id", "left"
+    )
 
 
 def score_distinct(
@@ -84,16 +88,15 @@ def score_distinct(
 ) -> DataFrame:
     """Score every distinct text once and join the scores back.
 
-    Pays off when texts repeat a lot. The join key is a 128-bit digest, so long texts are shuffled
-    once, for the deduplication, where partial aggregation has already removed the repeats of a hot
-    text; AQE splits a hot key in the join.
+    Pays off when texts repeat a lot. Repeats of a hot text are gone after the map-side part of the
+    deduplication; the join back goes by a 128-bit digest, so long texts are shuffled only there,
+    and AQE splits the partition of a hot digest.
     """
-    keyed = df.withColumn("__digest", F.md5(or_empty(F.col(response))))
-    texts = keyed.select("__digest", or_empty(F.col(response)).alias(response)).groupBy("__digest").agg(
-        F.first(response).alias(response)
-    )
+    text = or_empty(F.col(response))
+    keyed = df.withColumn("__digest", F.md5(text))
+    texts = keyed.select("__digest", text.alias(response)).distinct()
     scores = add_scores(texts, response, opts).drop(response)
-    return keyed.join(scores, "__digest", "left").drop("__digest")
+    return keyed.join(unbroadcast(scores), "__digest", "left").drop("__digest")
 
 
 def schema_lists(samples: DataFrame, context: str = "context") -> DataFrame:
@@ -123,7 +126,7 @@ def rewards(
     if samples is None:
         return scored.withColumn("reward", F.col("total"))
     named = scored.withColumn("__names", query_tables(F.col("extracted_sql")))
-    joined = named.join(schema_lists(samples, context), "sample_id", "left")
+    joined = named.join(unbroadcast(schema_lists(samples, context)), "sample_id", "left")
     factor = schema_penalty(F.col("extracted_sql"), F.col("__names"), F.col("__tables"))
     reward = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("total") * factor))
     return joined.withColumn("reward", reward).drop("__names", "__tables")
@@ -195,9 +198,10 @@ def relative_advantage(
 ) -> DataFrame:
     """Reward of a candidate relative to the other candidates of its prompt.
 
-    Group moments are aggregated with map-side combine and joined back, so no group has to fit in
-    one task; AQE splits the join partition of a group that holds a large share of the rows. Pass
-    a stored table (see ``plans.storage``): both branches read ``rewarded``.
+    A window would pull every group into one task. Instead the group moments are aggregated, with
+    map-side combine, stored, and joined back: both join sides are then plain shuffles, which lets
+    AQE split the partition of a group that holds a large share of the rows. ``rewarded`` is read
+    twice, so pass a stored table (as ``plans.jobs.advantages`` does).
     """
     moments = rewarded.groupBy(*group).agg(
         F.avg(reward).alias("__mean"), F.stddev_samp(reward).alias("__deviation")
@@ -205,7 +209,7 @@ def relative_advantage(
     centred = F.col(reward) - F.col("__mean")
     scale = F.coalesce(F.col("__deviation"), F.lit(0.0)) + F.lit(epsilon)
     return (
-        rewarded.join(moments, list(group))
+        rewarded.join(unbroadcast(store(moments, "moments")), list(group))
         .withColumn("advantage", centred / scale)
         .drop("__mean", "__deviation")
     )

@@ -16,12 +16,15 @@ def read_corpus(
     split: str | None = None,
     fmt: str = "parquet",
     schema: StructType | None = RAW,
-    **options: str,
+    **options: str | bool,
 ) -> DataFrame:
-    """Raw samples with an explicit schema; columns a file lacks come out as null."""
-    reader = spark.read.format(fmt).options(**options)
-    if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+    """Raw samples with an explicit schema; columns a file lacks come out as null.
+
+    CSV texts may hold line breaks, and such a file cannot be split: pass ``multiLine=False`` for
+    large files without them.
+    """
+    csv = {"header": True, "multiLine": True, "escape": '"'} if fmt == "csv" else {}
+    reader = spark.read.format(fmt).options(**{**csv, **options})
     if schema is not None:
         if split is not None and "split" not in schema.fieldNames():
             schema = StructType([*schema.fields]).add("split", "string")

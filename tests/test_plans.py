@@ -11,7 +11,9 @@ from querymill.operators import prepare, reward, sampling
 from querymill.plans.storage import shared_folder, store
 import __spark_entry__ as entry
 
-PYTHON = {"metric_edit_distance", "eval_compare_models_full", "sink_summary_json", "generate_batches"}
+PYTHON = {
+    "metric_edit_distance", "eval_compare_models_full", "generate_batches", "profile_prompt_tokens",
+}
 # Work at call time (files, streams, several jobs); their plans are plain scans.
 EAGER = re.compile(r"^(scan|sink|stream|split_exact|split_strat|sample_.*large|sample_evaluation)")
 
@@ -64,3 +66,35 @@ def test_stored_tables_use_the_named_folder(spark):
 def test_every_oracle_belongs_to_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert not [n for n in registry.QUERIES if re.match(r"op\d|.*pipeline", n)]
+
+
+def test_a_hot_key_is_split_in_the_joins(spark):
+    """A third of all responses belong to one sample; AQE must split that join partition."""
+    hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    responses = spark.range(0, 60000, 1, 4).select(
+        hot.alias("sample_id"), F.lit("m").alias("model"), F.col("id").cast("int").alias("candidate"),
+        F.concat(F.lit("SELECT a FROM t WHERE x = "), F.col("id")).alias("response"),
+        (F.col("id") % 7 / 7.0).alias("reward"),
+    )
+    samples = spark.range(60000).select(
+        F.col("id").alias("sample_id"), F.lit("CREATE TABLE t (a INT)").alias("context")
+    )
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        jobs_ = {
+            "rewards": reward.rewards(responses.drop("reward"), samples),
+            "advantage": reward.relative_advantage(store(responses.drop("response"), "rewards")),
+        }
+        for name, df in jobs_.items():
+            assert len(df.collect()) == 60000
+            assert "skew=true" in plan_of(df) or "SortMergeJoin(skew=true)" in plan_of(df), name
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
