@@ -272,11 +272,18 @@ def report_rows(spark, sf_dir):
     return rounded(evaluate.report_rows(result_table(spark, sf_dir)))
 
 
-@query("sink_summary_json")
+@query(
+    "sink_summary_json",
+    EVAL + f"""SELECT (SELECT count(*) FROM results) AS total_samples, {_MEANS},
+  (SELECT string_agg(lv || ':' || n, '|' ORDER BY lv) FROM
+    (SELECT reference_complexity AS lv, count(*) AS n FROM results GROUP BY 1)) AS levels FROM results""",
+)
 def summary_json(spark, sf_dir):
     path = new_path(spark, "summary")
     sink.write_summary_json(result_table(spark, sf_dir), path)
-    return spark.read.text(path)
+    level = F.transform("by_complexity", lambda e: F.concat(e["complexity"], F.lit(":"), e["count"]))
+    document = spark.read.json(path)
+    return rounded(document.select("total_samples", "aggregate.*", joined(level).alias("levels")))
 
 
 @query(
