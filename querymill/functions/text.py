@@ -68,9 +68,10 @@ def word_count(col: Column) -> Column:
 
 
 def clean_word_count(col: Column) -> Column:
-    """Words of a text whose whitespace is already collapsed: its spaces plus one."""
-    spaces = F.octet_length(col) - F.octet_length(F.replace(col, F.lit(" "), F.lit("")))
-    return F.when(or_empty(col) == "", 0).otherwise(spaces + 1)
+    """Words of a text whose whitespace runs are single spaces already: its inner spaces plus one."""
+    text = F.trim(col)
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(or_empty(text) == "", 0).otherwise(spaces + 1)
 
 
 def occurrences(col: Column, word: str) -> Column:

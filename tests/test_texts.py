@@ -61,6 +61,11 @@ def test_clean_schema(evaluate_expr):
     assert evaluate_expr([text_], lambda c: cleaning.clean_schema(c, 25)) == [text_[:100]]
 
 
+def test_a_cut_schema_counts_its_words(evaluate_expr):
+    cut = "CREATE TABLE a (x INT); "
+    assert evaluate_expr([cut, "", None, "a"], text.clean_word_count) == [5, 0, 0, 1]
+
+
 def test_clean_sql(evaluate_expr):
     given_ = [
         "select Name from Users where id=1", "SELECT * FROM t -- all\n", "/* x */", None,
