@@ -11,6 +11,7 @@ from querymill.functions import extraction as X
 from querymill.functions import rubric as R
 from querymill.operators import generate, reward
 from querymill.plans import jobs
+from querymill.sources.corpus import spread
 
 KEYS = "sample_id, candidate"
 GENS = Q.with_(GENERATIONS_CTE)
@@ -68,6 +69,18 @@ def extract_from_conversations(spark, sf_dir):
     return X.add_extraction(turns, "text").select("conv_id", "turn", "extracted_sql")
 
 
+@query(
+    "extract_from_documents",
+    Q.with_(Q.extraction("documents", "text", "doc_id"), Q.scoring("found"))
+    + "SELECT doc_id, x AS extracted_sql, round(total, 6) AS total FROM scored",
+)
+def extract_from_documents(spark, sf_dir):
+    """Whole documents of up to 20,000 words as responses."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scored = reward.add_scores(spread(documents, "doc_id"), "text")
+    return rounded(scored.select("doc_id", "extracted_sql", "total"))
+
+
 @query(
     "extract_valid_format",
     FOUND + f"""SELECT {KEYS}, length(t) BETWEEN 10 AND 4096 AND coalesce(length(x), 0) >= 10 AS valid FROM found""",

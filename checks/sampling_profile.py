@@ -96,6 +96,12 @@ def evaluation_set_large(spark, sf_dir):
         sampling.DRIVER_ROWS = limit
 
 
+@query("sample_first_large", RAW + "SELECT sample_id, question FROM raw ORDER BY sample_id LIMIT 12345")
+def first_large(spark, sf_dir):
+    rows = raw_samples(spark, sf_dir).select("sample_id", "question")
+    return sampling.first_n(rows, 12345)
+
+
 @query("sample_uniform", RAW + f"SELECT sample_id, question FROM raw ORDER BY {KEY} LIMIT 1000")
 def uniform(spark, sf_dir):
     return sampling.uniform_sample(raw_samples(spark, sf_dir), 1000).select("sample_id", "question")

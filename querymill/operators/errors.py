@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querymill.operators.columns import percent
+from querymill.operators.sampling import first_n
 
 SAMPLE_COLUMNS = (
     "question", "reference_sql", "predicted_sql", "valid", "token_accuracy",
@@ -44,4 +45,4 @@ def error_samples(
     results: DataFrame, n: int = 20, order: tuple[str, ...] = ("sample_id",)
 ) -> DataFrame:
     """First n errors. An ordered limit keeps n rows per task and never sorts the table."""
-    return error_set(results).orderBy(*order).limit(n).select(*SAMPLE_COLUMNS)
+    return first_n(error_set(results), n, order).select(*SAMPLE_COLUMNS)

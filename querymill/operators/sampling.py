@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.cleaning import LEVELS
+from querymill.plans.storage import store
 
 PREFIX_DIGITS = 4
 SALTS = 64
@@ -159,7 +160,21 @@ def ensure_splits(
 
 
 def first_n(df: DataFrame, n: int, order: Sequence[str] = ("sample_id",)) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    """First n rows in order. Beyond what the driver should hold, rows are sorted and stored with
+    their place inside their range partition, and n is met by counting the partitions before it."""
+    if n <= DRIVER_ROWS:
+        return df.orderBy(*order).limit(n)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = store(
+        df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__place": place}), "sorted"
+    )
+    before, parts = 0, []
+    for part, count in placed.groupBy("__part").count().orderBy("__part").collect():
+        parts.append((part, before))
+        before += count
+    offsets = df.sparkSession.createDataFrame(parts, "__part int, __before long")
+    kept = placed.join(F.broadcast(offsets), "__part")
+    return kept.where(F.col("__before") + F.col("__place") < n).select(*df.columns)
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int | str = 42) -> DataFrame:

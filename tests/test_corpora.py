@@ -103,6 +103,14 @@ def test_uniform_sample_either_way(spark, monkeypatch):
     assert sampling.step_sample(df, 5, 1).collect() != sampling.step_sample(df, 5, 2).collect()
 
 
+def test_first_rows_beyond_the_driver(spark, monkeypatch):
+    df = numbers(spark, 5000).repartition(9)
+    monkeypatch.setattr(sampling, "DRIVER_ROWS", 10)
+    assert {r[0] for r in sampling.first_n(df, 1234).select("sample_id").collect()} == set(range(1234))
+    assert sampling.first_n(df, 9999).count() == 5000
+    assert sampling.first_n(df.limit(0), 50).count() == 0
+
+
 def test_allocation():
     assert sampling.allocation({"simple": 50, "medium": 30, "complex": 20}, 10) == {"simple": 5, "medium": 3, "complex": 2}
     assert sampling.allocation({"simple": 998, "medium": 1, "complex": 1}, 10) == {"simple": 9, "medium": 1, "complex": 1}
