@@ -11,7 +11,7 @@ from querymill.functions import cleaning, lexing
 from querymill.functions.text import word_count
 from querymill.operators import prepare, sampling
 from querymill.plans import jobs
-from querymill.plans.storage import shared_folder, store
+from querymill.storage import shared_folder, store
 from querymill.sources import corpus
 
 

@@ -13,7 +13,7 @@ from querymill.functions.prompting import PromptOptions
 from querymill.operators import formatting, generate, profile, sampling
 from querymill.operators.profile import TRACKED_KEYWORDS
 from querymill.plans import jobs
-from querymill.plans.storage import store
+from querymill.storage import store
 
 KEY = "md5('42|' || CAST(sample_id AS STRING))"
 
@@ -89,11 +89,7 @@ def evaluation_set(spark, sf_dir):
 def evaluation_set_large(spark, sf_dir):
     """Large enough that the exact cut takes over from ranking."""
     df = stored(spark, sf_dir).select("sample_id", "complexity")
-    limit, sampling.DRIVER_ROWS = sampling.DRIVER_ROWS, 1000
-    try:
-        return sampling.evaluation_set(df, 12000)
-    finally:
-        sampling.DRIVER_ROWS = limit
+    return sampling.evaluation_set(df, 12000, driver_rows=1000)
 
 
 @query("sample_first_large", RAW + "SELECT sample_id, question FROM raw ORDER BY sample_id LIMIT 12345")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from querymill.functions.ddl import query_tables
-from querymill.plans.storage import shared_folder
+from querymill.storage import shared_folder
 
 OUTCOME = T.StructType(
     [

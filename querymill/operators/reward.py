@@ -18,7 +18,7 @@ from querymill.functions.text import computed_once, or_empty
 from querymill.operators.columns import percent
 from querymill.operators.pairing import unbroadcast
 from querymill.operators.sampling import top_n_per_group
-from querymill.plans.storage import store
+from querymill.storage import store
 
 
 def add_scores(

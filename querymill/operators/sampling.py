@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.cleaning import LEVELS
-from querymill.plans.storage import store
+from querymill.storage import store
 
 PREFIX_DIGITS = 4
 SALTS = 64
@@ -159,10 +159,12 @@ def ensure_splits(
     return assign_splits(df, **sizes)
 
 
-def first_n(df: DataFrame, n: int, order: Sequence[str] = ("sample_id",)) -> DataFrame:
+def first_n(
+    df: DataFrame, n: int, order: Sequence[str] = ("sample_id",), driver_rows: int = DRIVER_ROWS
+) -> DataFrame:
     """First n rows in order. Beyond what the driver should hold, rows are sorted and stored with
     their place inside their range partition, and n is met by counting the partitions before it."""
-    if n <= DRIVER_ROWS:
+    if n <= driver_rows:
         return df.orderBy(*order).limit(n)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = store(
@@ -177,10 +179,12 @@ def first_n(df: DataFrame, n: int, order: Sequence[str] = ("sample_id",)) -> Dat
     return kept.where(F.col("__before") + F.col("__place") < n).select(*df.columns)
 
 
-def uniform_sample(df: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
+def uniform_sample(
+    df: DataFrame, n: int, seed: int | str = 42, driver_rows: int = DRIVER_ROWS
+) -> DataFrame:
     """n rows without replacement, fewer only when the table is smaller."""
     keyed = df.withColumn("__key", sample_key(seed))
-    if n <= DRIVER_ROWS:
+    if n <= driver_rows:
         return keyed.orderBy("__key").limit(n).drop("__key")
     keyed = keyed.withColumn("__stratum", F.lit(""))
     joined, cut = _with_cuts(
@@ -235,13 +239,15 @@ def allocation(counts: dict[str, int], n: int) -> dict[str, int]:
     return shares
 
 
-def evaluation_set(df: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
+def evaluation_set(
+    df: DataFrame, n: int = 100, seed: int = 42, driver_rows: int = DRIVER_ROWS
+) -> DataFrame:
     """A sample of about n rows, stratified by complexity when there is such a column.
 
     Reads the level counts (three rows) first; they become literals of the second job.
     """
     if "complexity" not in df.columns:
-        return uniform_sample(df, n, seed)
+        return uniform_sample(df, n, seed, driver_rows)
     levels = df.where(F.col("complexity").isin(*LEVELS))
     counts = {r["complexity"]: r["n"] for r in levels.groupBy("complexity").agg(F.count("*").alias("n")).collect()}
     shares = allocation(counts, n)
@@ -251,7 +257,7 @@ def evaluation_set(df: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     for level, share in shares.items():
         quota = F.when(F.col("complexity") == level, share).otherwise(quota)
     keyed = levels.withColumn("__key", sample_key(seed))
-    if max(shares.values()) > DRIVER_ROWS:
+    if max(shares.values()) > driver_rows:
         wanted = {level: F.least(F.lit(s).cast("long"), F.col("__total")) for level, s in shares.items()}
         joined, cut = _with_cuts(keyed, "complexity", wanted)
         keep = F.lit(False)

@@ -15,7 +15,7 @@ from querymill.operators.prepare import (
 from querymill.operators.profile import split_summary
 from querymill.operators.reward import relative_advantage, rewards
 from querymill.operators.sampling import ensure_splits
-from querymill.plans.storage import store
+from querymill.storage import store
 from querymill.sources.corpus import write_processed
 
 

@@ -93,22 +93,20 @@ def test_many_strata_take_the_join(spark):
     assert counts.where("train = 1 AND validation = 1").count() == 1500
 
 
-def test_uniform_sample_either_way(spark, monkeypatch):
+def test_uniform_sample_either_way(spark):
     df = numbers(spark, 5000)
     few = {r[0] for r in sampling.uniform_sample(df, 700).select("sample_id").collect()}
-    monkeypatch.setattr(sampling, "DRIVER_ROWS", 10)
-    cut = {r[0] for r in sampling.uniform_sample(df, 700).select("sample_id").collect()}
+    cut = {r[0] for r in sampling.uniform_sample(df, 700, driver_rows=10).select("sample_id").collect()}
     assert few == cut and len(few) == 700
-    assert sampling.uniform_sample(df, 6000).count() == 5000
+    assert sampling.uniform_sample(df, 6000, driver_rows=10).count() == 5000
     assert sampling.step_sample(df, 5, 1).collect() != sampling.step_sample(df, 5, 2).collect()
 
 
-def test_first_rows_beyond_the_driver(spark, monkeypatch):
+def test_first_rows_beyond_the_driver(spark):
     df = numbers(spark, 5000).repartition(9)
-    monkeypatch.setattr(sampling, "DRIVER_ROWS", 10)
-    assert {r[0] for r in sampling.first_n(df, 1234).select("sample_id").collect()} == set(range(1234))
-    assert sampling.first_n(df, 9999).count() == 5000
-    assert sampling.first_n(df.limit(0), 50).count() == 0
+    assert {r[0] for r in sampling.first_n(df, 1234, driver_rows=10).select("sample_id").collect()} == set(range(1234))
+    assert sampling.first_n(df, 9999, driver_rows=10).count() == 5000
+    assert sampling.first_n(df.limit(0), 50, driver_rows=10).count() == 0
 
 
 def test_allocation():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import registry
 from checks.views import generations, raw_samples
 from querymill.operators import prepare, reward, sampling
-from querymill.plans.storage import shared_folder, store
+from querymill.storage import shared_folder, store
 import __spark_entry__ as entry
 
 PYTHON = {
