@@ -113,8 +113,10 @@ def execution_match(
         return pairs.select("predicted_sql", "reference_sql", *nothing)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    known = F.array(*[F.lit(n.upper()) for n in tables])
-    foreign = F.size(F.array_except(query_tables(F.col("predicted_sql")), known)) > 0
+    given = F.array(*[F.lit(n.upper()) for n in tables])
+    own = F.regexp_extract_all(F.upper("predicted_sql"), F.lit(r"(\w+)\s+AS\s*\("), F.lit(1))
+    named = query_tables(F.col("predicted_sql"))
+    foreign = F.size(F.array_except(named, F.concat(given, own))) > 0
     path = f"{shared_folder(spark)}/executions-{uuid.uuid4().hex}"
     chunk: list[tuple] = []
 

@@ -169,6 +169,7 @@ def test_execution(spark):
             ("SELECT nope FROM people", "SELECT id FROM people"),
             ("SELECT id FROM elsewhere", "SELECT id FROM people"),
             ("DROP TABLE people", "SELECT id FROM people"),
+            ("WITH p AS (SELECT id FROM people) SELECT * FROM p", "SELECT id FROM people"),
             ("SELECT id, name FROM people", "SELECT id FROM people"),
             ("SELECT id FROM people", "SELECT id AS other FROM people ORDER BY id DESC"),
         ],
@@ -176,14 +177,15 @@ def test_execution(spark):
     )
     out = execution.execution_match(pairs, {"people": table})
     got = {r["predicted_sql"]: (r["execution_match"], r["predicted_executable"]) for r in out.collect()}
-    assert out.count() == 6
+    assert out.count() == 7
     assert got["SELECT id FROM people"] == (True, True)
     assert got["SELECT id FROM people WHERE id = 1"] == (False, True)
     assert got["SELECT nope FROM people"] == (False, False)
     assert got["SELECT id FROM elsewhere"] == (False, False)
     assert got["DROP TABLE people"] == (False, False)
+    assert got["WITH p AS (SELECT id FROM people) SELECT * FROM p"] == (True, True)
     assert got["SELECT id, name FROM people"] == (False, True)
     joined = evaluate.with_execution(pairs, out, ["predicted_sql", "reference_sql"])
-    assert joined.where("execution_match").count() == 2
+    assert joined.where("execution_match").count() == 3
     blank = execution.execution_match(pairs, None)
-    assert blank.where("execution_match IS NULL").count() == 6
+    assert blank.where("execution_match IS NULL").count() == 7

@@ -1,7 +1,6 @@
 """Extraction and rubric against known values."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from querymill.functions import extraction as X
 from querymill.functions.rubric import RubricOptions
