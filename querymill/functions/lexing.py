@@ -104,7 +104,7 @@ def tidy_case(sql: Column, lower_names: bool = True) -> Column:
     def piece(pieces: Column, token: Column, i: Column) -> Column:
         opened = (i > 0) & F.endswith(F.get(pieces, i - 1), F.lit("("))
         gap = F.when(opened | F.get(pieces, i + 1).isin(")", ","), "").otherwise(" ")
-        blank = F.substring(token, 1, 1).isin(*WS_CHARS)
+        blank = (token == " ") | F.substring(token, 1, 1).isin(*WS_CHARS)
         return F.when(blank, gap).otherwise(_recased(token, lower_names))
 
     found = F.regexp_extract_all(or_empty(sql), F.lit(SPACED_TOKEN), F.lit(0))

@@ -101,9 +101,6 @@ def pair_metrics(paired: DataFrame) -> DataFrame:
             "predicted_complexity": p["level"],
             "reference_complexity": r["level"],
             "complexity_match": (p["level"] == r["level"]).cast("int"),
-            "levenshtein": F.when(p["norm"] == r["norm"], 0).otherwise(
-                F.levenshtein(p["norm"], r["norm"])
-            ),
         }
     )
 
@@ -112,6 +109,7 @@ def evaluate(
     predictions: DataFrame,
     references: DataFrame,
     edit_distance: bool = True,
+    levenshtein: bool = True,
     strict: bool = False,
 ) -> DataFrame:
     """Per-sample metric table.
@@ -119,7 +117,8 @@ def evaluate(
     ``predictions``: sample_id, predicted_sql, valid and any further columns (model, candidate).
     ``references``: sample_id, question, sql, complexity. A null prediction counts as empty.
 
-    Reference features are computed once per sample, in front of the join; those of a prediction
+    Both distances compare every character with every other; leave them out where queries are long
+    and the rates suffice. Reference features are computed once per sample, in front of the join; those of a prediction
     behind it, so that only its text is shuffled.
     """
     if strict:
@@ -136,10 +135,12 @@ def evaluate(
     )
     paired = add_query_features(pair(preds, refs), "predicted_sql", "pred")
     rated = pair_metrics(paired)
+    norms = F.col("pred_norm"), F.col("ref_norm")
+    if levenshtein:
+        distance = F.when(norms[0] == norms[1], 0).otherwise(F.levenshtein(*norms))
+        rated = rated.withColumn("levenshtein", distance)
     if edit_distance:
-        rated = rated.withColumn(
-            "edit_distance", edit_distance_udf()(F.col("pred_norm"), F.col("ref_norm"))
-        )
+        rated = rated.withColumn("edit_distance", edit_distance_udf()(*norms))
     return rated.drop(*_features_of("pred"), *_features_of("ref"))
 
 
@@ -191,7 +192,8 @@ def aggregate_by_level(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def aggregate_all(results: DataFrame) -> DataFrame:
     """Overall row (``all``) and one row per level in a single pass over the results."""
-    metrics = [*RATES, *[d for d in ("edit_distance", "levenshtein") if d in results.columns]]
+    optional = ("edit_distance", "levenshtein", "execution_match", "predicted_executable")
+    metrics = [*RATES, *[c for c in optional if c in results.columns]]
     narrow = results.select("reference_complexity", *metrics)
     level = F.col("reference_complexity")
     grouped = narrow.groupingSets([[], [level]], level).agg(

@@ -189,3 +189,25 @@ def test_execution(spark):
     assert joined.where("execution_match").count() == 3
     blank = execution.execution_match(pairs, None)
     assert blank.where("execution_match IS NULL").count() == 7
+
+
+def test_execution_rates(results):
+    ran = results.withColumns(
+        {"execution_match": F.col("exact_match") == 1, "predicted_executable": F.col("valid")}
+    )
+    row = evaluate.aggregate(ran).first()
+    assert row["execution_accuracy"] == pytest.approx(200 / 7)
+    assert row["predicted_executable_rate"] == pytest.approx(500 / 7)
+    table = {r["reference_complexity"]: r for r in evaluate.aggregate_all(ran).collect()}
+    assert table["all"]["execution_accuracy"] == pytest.approx(200 / 7)
+    assert sum(r["count"] for k, r in table.items() if k != "all") == table["all"]["count"] == 7
+
+
+def test_distances_can_be_left_out(spark):
+    preds = spark.createDataFrame([(1, "SELECT 1", True)], "sample_id long, predicted_sql string, valid boolean")
+    refs = spark.createDataFrame(
+        [(1, "q", "SELECT 1", "simple")], "sample_id long, question string, sql string, complexity string"
+    )
+    out = evaluate.evaluate(preds, refs, edit_distance=False, levenshtein=False)
+    assert not {"edit_distance", "levenshtein"} & set(out.columns)
+    assert evaluate.aggregate(out).first()["exact_match_rate"] == 100.0
