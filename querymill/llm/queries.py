@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import dac, decontaminate, line_dedup, packing, quality_rules
+from querymill.llm import dac, decontaminate, line_dedup, packing, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
 @query
 def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.digest(dac.write_and_read(table(spark, sf_dir, "documents")))
