@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import dac, decontaminate, line_dedup, near_dup, packing, pii, quality_rules
+from querymill.llm import dac, decontaminate, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *quality_rules.VERDICT)
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs.select("doc_id", "text", "lang", "source"), model)
+    scores = ("quality_score", "content_score", "metadata_score")
+    return scored.select("doc_id", *scores, F.col("quality_kept").alias("kept"))
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep={"ids_crc32": F.crc32("ids")})
@@ -74,6 +83,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.digest(toxicity.score(docs, model))
+
+
 @query
 def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.digest(dac.write_and_read(table(spark, sf_dir, "documents")))
