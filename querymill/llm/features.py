@@ -58,7 +58,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Sample:
     """Rows of a bounded training sample as sparse features that occur in enough rows."""
 
-    def __init__(self, features: list[np.ndarray]):
+    def __init__(self, features: list[np.ndarray], keep: np.ndarray | None = None):
+        if keep is not None:
+            features = [f[keep[f]] for f in features]
         seen = np.bincount(np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64), minlength=DIMS)
         self.known = np.flatnonzero(seen >= MIN_ROWS)
         at = np.full(DIMS, -1, np.int32)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import dac, decontaminate, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules, toxicity
+from querymill.llm import dac, decontaminate, licenses, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score(docs, model))
 
 
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.digest(dac.write_and_read(table(spark, sf_dir, "documents")))

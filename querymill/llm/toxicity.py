@@ -3,7 +3,8 @@
 Confirmed toxic texts are the positives, texts without regard to any label are the unlabelled set. A
 linear model over hashed words and word beginnings minimises the risk estimate that is corrected by
 the class prior and held at zero from below: where the estimated risk on negatives goes negative, the
-step is taken against it.
+step is taken against it. It sees the features whose counts in positives are surely not those of the
+unlabelled texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from querymill.llm.words import NOT_ALNUM, Words, slices
 #: Bounds of the training sample.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
 PREFIXES = (5, 6, 7)
-STEPS = 150
+#: Standard deviations by which a feature's count in positives must be off.
+MIN_DEVIATION = 3.0
+STEPS, RATE = 300, 0.02
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -29,11 +32,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
 
 
-def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(column: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     words = Words(column, NOT_ALNUM)
     rows = np.repeat(np.arange(len(words)), words.counts)
     made = X.word_features(words, PREFIXES)
-    return X.distinct([rows] * len(made), made)
+    if keep is None:
+        return X.distinct([rows] * len(made), made)
+    used = [keep[f] for f in made]
+    return X.distinct([rows[k] for k in used], [f[k] for f, k in zip(made, used)])
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,29 +51,33 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nnpu_slope(positive: np.ndarray, prior: float, z: np.ndarray) -> np.ndarray:
-    """Derivative of the non-negative risk by each score, for the sigmoid loss."""
+    """Derivative of the non-negative risk by each score, for the logistic loss."""
     p, u = positive, ~positive
-    s = X.sigmoid(z)
-    steep = s * (1 - s)
-    n_p, n_u = max(1, p.sum()), max(1, u.sum())
-    negative_risk = s[u].sum() / n_u - prior * s[p].sum() / n_p
+    s, n_p, n_u = X.sigmoid(z), max(1, p.sum()), max(1, u.sum())
+    loss = np.logaddexp(0, z)
     out = np.zeros(len(z))
-    if negative_risk >= 0:
-        out[p] -= prior * steep[p] / n_p  # risk of positives as positives
-        out[u] += steep[u] / n_u
-        out[p] -= prior * steep[p] / n_p
+    if loss[u].sum() / n_u >= prior * loss[p].sum() / n_p:
+        # Positives as positives, less positives as negatives: the two slopes add up to the prior.
+        out[p], out[u] = -prior / n_p, s[u] / n_u
     else:
-        out[u] -= steep[u] / n_u
-        out[p] += prior * steep[p] / n_p
+        out[p], out[u] = prior * s[p] / n_p, -s[u] / n_u
     return out
 
 
+def deviating(features: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
+    """Features whose count in positives is far from what the unlabelled rows let expect."""
+    count = lambda rows: np.bincount(np.concatenate([features[i] for i in rows] or [np.zeros(0, int)]), minlength=X.DIMS)
+    p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
+    expected = count(u) * len(p) / max(1, len(u))
+    return np.abs(count(p) - expected) >= MIN_DEVIATION * np.sqrt(expected + 1)
+
+
 class Model:
     def __init__(self, weights: np.ndarray, intercept: float):
         self.weights, self.intercept = weights, intercept
 
     def score(self, column: pa.Array) -> np.ndarray:
-        rows, found = _pairs(column)
+        rows, found = _pairs(column, self.weights != 0)
         return X.sigmoid(X.scores(rows, found, self.weights, len(column)) + self.intercept)
 
 
@@ -99,8 +109,9 @@ def train(
     is_positive = np.array([r["positive"] for r in rows], bool)
     if not is_positive.any():
         return Model(np.zeros(X.DIMS, np.float32), float(np.log(prior / (1 - prior))))
-    sample = X.Sample(X.unpack([r["features"] for r in rows]))
-    weights, intercept = sample.fit(np.arange(sample.n), lambda z: nnpu_slope(is_positive, prior, z), steps)
+    found = X.unpack([r["features"] for r in rows])
+    sample = X.Sample(found, deviating(found, is_positive))
+    weights, intercept = sample.fit(np.arange(sample.n), lambda z: nnpu_slope(is_positive, prior, z), steps, RATE)
     return Model(weights, intercept)
 
 
