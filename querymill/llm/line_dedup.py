@@ -53,7 +53,7 @@ class LineRuns:
 
         A hash is in one run at most, because each batch adds only what is new.
         """
-        found = [first.hint("merge").join(run.withColumnRenamed("owner", "earlier"), HASH) for run in self.runs]
+        found = [store(first.hint("merge").join(run.withColumnRenamed("owner", "earlier"), HASH), "owners") for run in self.runs]
         out = found[0]
         for part in found[1:]:
             out = out.unionByName(part)

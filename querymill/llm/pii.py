@@ -53,7 +53,6 @@ CONTEXT_CHARS = 40
 THRESHOLD = 0.5
 
 SPAN = "struct<kind:int,start:int,end:int,base:boolean,pattern:int,gazetteer:int,context:int>"
-_NONE = F.array().cast(f"array<{SPAN}>")
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -116,7 +115,7 @@ def _candidates(text: Column, kind: str, pattern: str, sign: Column, base: bool)
             before.rlike(CONTEXT[kind]).cast("int").alias("context"),
         )
 
-    return F.when(sign, F.transform(find_spans(text, pattern), vote)).otherwise(_NONE)
+    return F.when(sign, F.transform(find_spans(text, pattern), vote)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
