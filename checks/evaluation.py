@@ -25,13 +25,13 @@ RATES = (
 _RATE_SQL = ", ".join(f"round({r}, 6) AS {r}" for r in RATES)
 
 
-def result_table(spark, sf_dir, edit_distance=False):
+def result_table(spark, sf_dir):
     predictions = evaluate.predictions_from_responses(generations(spark, sf_dir))
-    return evaluate.evaluate(predictions, evaluation_view(kept(spark, sf_dir)), edit_distance)
+    return evaluate.evaluate(predictions, evaluation_view(kept(spark, sf_dir)))
 
 
 def _pair(*columns):
-    return lambda spark, sf_dir: rounded(result_table(spark, sf_dir).select(*KEYS, *columns))
+    return lambda spark, sf_dir: rounded(result_table(spark, sf_dir).where("paired").select(*KEYS, *columns))
 
 
 def _feat(extra: str) -> str:
@@ -43,28 +43,28 @@ query("metric_comparable", _feat("SELECT sample_id, norm FROM f"))(
         "sample_id", lexing.comparable(F.col("answer")).alias("norm")
     )
 )
-query("metric_exact_match", EVAL + "SELECT sample_id, candidate, model, exact_match FROM results")(
+query("metric_exact_match", EVAL + "SELECT sample_id, candidate, model, exact_match FROM results WHERE paired")(
     _pair("exact_match")
 )
 query(
     "metric_token_accuracy",
-    EVAL + "SELECT sample_id, candidate, model, round(token_accuracy, 6) AS token_accuracy FROM results",
+    EVAL + "SELECT sample_id, candidate, model, round(token_accuracy, 6) AS token_accuracy FROM results WHERE paired",
 )(_pair("token_accuracy"))
 query(
     "metric_structure_similarity",
-    EVAL + "SELECT sample_id, candidate, model, round(structural_similarity, 6) AS structural_similarity FROM results",
+    EVAL + "SELECT sample_id, candidate, model, round(structural_similarity, 6) AS structural_similarity FROM results WHERE paired",
 )(_pair("structural_similarity"))
 query(
     "metric_keyword_f1",
     EVAL + """SELECT sample_id, candidate, model, round(keyword_precision, 6) AS keyword_precision,
-  round(keyword_recall, 6) AS keyword_recall, round(keyword_f1, 6) AS keyword_f1 FROM results""",
+  round(keyword_recall, 6) AS keyword_recall, round(keyword_f1, 6) AS keyword_f1 FROM results WHERE paired""",
 )(_pair("keyword_precision", "keyword_recall", "keyword_f1"))
-query("metric_levenshtein", EVAL + "SELECT sample_id, candidate, model, levenshtein FROM results")(
+query("metric_levenshtein", EVAL + "SELECT sample_id, candidate, model, levenshtein FROM results WHERE paired")(
     _pair("levenshtein")
 )
 query(
     "metric_complexity_match",
-    EVAL + "SELECT sample_id, candidate, model, predicted_complexity, reference_complexity, complexity_match FROM results",
+    EVAL + "SELECT sample_id, candidate, model, predicted_complexity, reference_complexity, complexity_match FROM results WHERE paired",
 )(_pair("predicted_complexity", "reference_complexity", "complexity_match"))
 
 
@@ -123,12 +123,6 @@ def table_references(spark, sf_dir):
     )
 
 
-@query("metric_edit_distance")
-def edit_distance(spark, sf_dir):
-    """Matching-blocks distance, the one metric behind an Arrow function."""
-    return result_table(spark, sf_dir, True).select(*KEYS, "edit_distance")
-
-
 @query("metric_light_normal_form", RAW + f"SELECT sample_id, {Q.tidy('answer', False)} AS norm FROM raw")
 def light_normal_form(spark, sf_dir):
     return raw_samples(spark, sf_dir).select(
@@ -165,8 +159,7 @@ def pairing_gaps(spark, sf_dir):
 FROM gens LEFT JOIN (SELECT sample_id, answer, context FROM raw) USING (sample_id)""",
 )
 def response_context(spark, sf_dir):
-    samples = raw_samples(spark, sf_dir).select("sample_id", F.col("answer").alias("reference"), "context")
-    joined_ = generations(spark, sf_dir).join(samples, "sample_id", "left")
+    joined_ = pairing.with_context(generations(spark, sf_dir), raw_samples(spark, sf_dir))
     return joined_.select("sample_id", "candidate", "response", "reference", "context")
 
 
@@ -185,17 +178,23 @@ def reference_if_present(spark, sf_dir):
 
 @query(
     "eval_per_sample",
-    EVAL + f"""SELECT sample_id, candidate, model, question, predicted_sql, reference_sql, valid, complexity,
-  {_RATE_SQL}, predicted_complexity, reference_complexity, complexity_match, levenshtein FROM results""",
+    EVAL + f"""SELECT sample_id, candidate, model, question, predicted_sql, reference_sql, valid, complexity, paired,
+  {_RATE_SQL}, predicted_complexity, reference_complexity, complexity_match, levenshtein FROM results WHERE paired""",
 )
 def per_sample(spark, sf_dir):
-    return rounded(result_table(spark, sf_dir))
+    return rounded(result_table(spark, sf_dir).where("paired"))
+
 
+@query("eval_unpaired", EVAL + "SELECT sample_id, candidate, model, predicted_sql, valid FROM results WHERE NOT paired")
+def unpaired(spark, sf_dir):
+    """Predictions whose sample is not among the references."""
+    return result_table(spark, sf_dir).where("NOT paired").select(*KEYS, "predicted_sql", "valid")
 
-_MEANS = """round(100 * avg(exact_match), 6) AS exact_match_rate, round(100 * avg(token_accuracy), 6) AS avg_token_accuracy,
+
+_MEANS = """count(*) FILTER (paired) AS pairs, count(*) FILTER (NOT paired) AS unpaired, round(100 * avg(exact_match), 6) AS exact_match_rate, round(100 * avg(token_accuracy), 6) AS avg_token_accuracy,
   round(100 * avg(structural_similarity), 6) AS avg_structural_similarity, round(100 * avg(keyword_f1), 6) AS avg_keyword_f1,
   round(100 * avg(keyword_precision), 6) AS avg_keyword_precision, round(100 * avg(keyword_recall), 6) AS avg_keyword_recall,
-  round(100 * avg(valid::INT), 6) AS valid_sql_rate, round(100 * avg(complexity_match), 6) AS complexity_match_rate,
+  round(100 * avg(valid::INT) FILTER (paired), 6) AS valid_sql_rate, round(100 * avg(complexity_match), 6) AS complexity_match_rate,
   round(avg(levenshtein), 6) AS avg_levenshtein"""
 
 
@@ -210,7 +209,7 @@ def overall(spark, sf_dir):
   round(100 * avg(token_accuracy), 6) AS avg_token_accuracy,
   round(100 * avg(structural_similarity), 6) AS avg_structural_similarity,
   round(100 * avg(valid::INT), 6) AS valid_sql_rate FROM results
-WHERE reference_complexity IN ('simple', 'medium', 'complex') GROUP BY 1""",
+WHERE paired GROUP BY 1""",
 )
 def by_level(spark, sf_dir):
     return rounded(evaluate.aggregate_by_level(result_table(spark, sf_dir)))
@@ -218,8 +217,8 @@ def by_level(spark, sf_dir):
 
 @query(
     "eval_overall_and_levels",
-    EVAL + f"""SELECT coalesce(reference_complexity, 'all') AS reference_complexity, count(*) AS count, {_MEANS}
-FROM results GROUP BY GROUPING SETS ((), (reference_complexity))""",
+    EVAL + f"""SELECT coalesce(level, 'all') AS reference_complexity, count(*) AS count, {_MEANS}
+FROM (SELECT *, coalesce(reference_complexity, 'unpaired') AS level FROM results) GROUP BY GROUPING SETS ((), (level))""",
 )
 def overall_and_levels(spark, sf_dir):
     return rounded(evaluate.aggregate_all(result_table(spark, sf_dir)))
@@ -228,16 +227,10 @@ def overall_and_levels(spark, sf_dir):
 @query("eval_compare_models", EVAL + f"SELECT model, {_MEANS} FROM results GROUP BY model")
 def compare_models(spark, sf_dir):
     return rounded(
-        jobs.benchmark_models(generations(spark, sf_dir), kept(spark, sf_dir), edit_distance=False)
+        jobs.benchmark_models(generations(spark, sf_dir), kept(spark, sf_dir), levenshtein=True)
     )
 
 
-@query("eval_compare_models_full")
-def compare_models_full(spark, sf_dir):
-    """The same with the matching-blocks distance."""
-    return rounded(jobs.benchmark_models(generations(spark, sf_dir), kept(spark, sf_dir)))
-
-
 _INFERENCE = Q.with_(
     Q.EXTRACTED
     + ", firsts AS (SELECT sample_id, candidate, model, x AS sql, t AS t0 FROM found),"
@@ -249,7 +242,7 @@ _INFERENCE = Q.with_(
 
 @query(
     "eval_inference_summary",
-    _INFERENCE + f"""SELECT model, count(*) AS total_samples,
+    _INFERENCE + f"""SELECT model, count(*) AS total_samples, count(answer) AS with_reference,
   round(100.0 * count(*) FILTER (sql IS NOT NULL AND length(t0) BETWEEN 10 AND 4096 AND length(sql) >= 10) / count(*), 6)::DOUBLE AS valid_sql_pct,
   round(avg(total), 6) AS avg_reward, round(min(total), 6) AS min_reward, round(max(total), 6) AS max_reward,
   round(100.0 * count(*) FILTER ({Q.tidy("coalesce(sql, '')", False)} = {Q.tidy('answer', False)}) / count(*), 6)::DOUBLE AS exact_match_pct
@@ -262,10 +255,10 @@ def inference_summary(spark, sf_dir):
 
 @query(
     "eval_report_rows",
-    EVAL + f""", table_ AS (SELECT coalesce(reference_complexity, 'all') AS section, count(*)::DOUBLE AS count, {_MEANS}
-  FROM results GROUP BY GROUPING SETS ((), (reference_complexity))),
+    EVAL + f""", table_ AS (SELECT coalesce(level, 'all') AS section, count(*)::DOUBLE AS count, {_MEANS}
+  FROM (SELECT *, coalesce(reference_complexity, 'unpaired') AS level FROM results) GROUP BY GROUPING SETS ((), (level))),
 long AS (UNPIVOT table_ ON COLUMNS(* EXCLUDE section) INTO NAME metric VALUE value)
-SELECT section, metric, value FROM long WHERE section = 'all' OR metric IN ('count', 'exact_match_rate',
+SELECT section, metric, value FROM long WHERE section = 'all' OR section <> 'unpaired' AND metric IN ('count', 'exact_match_rate',
   'avg_token_accuracy', 'avg_structural_similarity', 'valid_sql_rate')""",
 )
 def report_rows(spark, sf_dir):
@@ -276,7 +269,7 @@ def report_rows(spark, sf_dir):
     "sink_summary_json",
     EVAL + f"""SELECT (SELECT count(*) FROM results) AS total_samples, {_MEANS},
   (SELECT string_agg(lv || ':' || n, '|' ORDER BY lv) FROM
-    (SELECT reference_complexity AS lv, count(*) AS n FROM results GROUP BY 1)) AS levels FROM results""",
+    (SELECT coalesce(reference_complexity, 'unpaired') AS lv, count(*) AS n FROM results GROUP BY 1)) AS levels FROM results""",
 )
 def summary_json(spark, sf_dir):
     path = new_path(spark, "summary")
@@ -288,11 +281,11 @@ def summary_json(spark, sf_dir):
 
 @query(
     "sink_results_csv",
-    EVAL + f"""SELECT sample_id, candidate, model, question, predicted_sql, reference_sql, valid, complexity,
-  {_RATE_SQL}, predicted_complexity, reference_complexity, complexity_match, levenshtein FROM results""",
+    EVAL + f"""SELECT sample_id, candidate, model, question, predicted_sql, reference_sql, valid, complexity, paired,
+  {_RATE_SQL}, predicted_complexity, reference_complexity, complexity_match, levenshtein FROM results WHERE paired""",
 )
 def results_csv(spark, sf_dir):
-    table = result_table(spark, sf_dir)
+    table = result_table(spark, sf_dir).where("paired")
     path = new_path(spark, "results-csv")
     sink.write_results_csv(table, path)
     kept_fields = {f.name: f for f in RESULT.fields}
@@ -310,8 +303,8 @@ _ERRORS = "count(*) FILTER (exact_match = 0)"
 
 @query(
     "errors_rate",
-    EVAL + f"""SELECT count(*) AS total, {_ERRORS} AS total_errors,
-  round(100.0 * {_ERRORS} / count(*), 6)::DOUBLE AS error_rate,
+    EVAL + f"""SELECT count(exact_match) AS total, {_ERRORS} AS total_errors,
+  round(100.0 * {_ERRORS} / count(exact_match), 6)::DOUBLE AS error_rate,
   count(*) FILTER (exact_match = 0 AND NOT valid) AS invalid_errors,
   round(100.0 * count(*) FILTER (exact_match = 0 AND NOT valid) / {_ERRORS}, 6)::DOUBLE AS invalid_pct FROM results""",
 )
@@ -321,8 +314,8 @@ def error_rate(spark, sf_dir):
 
 @query(
     "errors_by_level",
-    EVAL + f"""SELECT reference_complexity, {_ERRORS} AS total_errors, count(*) AS total,
-  round(100.0 * {_ERRORS} / count(*), 6)::DOUBLE AS error_rate FROM results GROUP BY 1 HAVING {_ERRORS} > 0""",
+    EVAL + f"""SELECT reference_complexity, {_ERRORS} AS total_errors, count(exact_match) AS total,
+  round(100.0 * {_ERRORS} / count(exact_match), 6)::DOUBLE AS error_rate FROM results GROUP BY 1 HAVING {_ERRORS} > 0""",
 )
 def error_rate_by_level(spark, sf_dir):
     return rounded(errors.error_rate_by_level(result_table(spark, sf_dir)))

@@ -11,7 +11,6 @@ from querymill.functions import extraction as X
 from querymill.functions import rubric as R
 from querymill.operators import generate, reward
 from querymill.plans import jobs
-from querymill.sources.corpus import spread
 
 KEYS = "sample_id, candidate"
 GENS = Q.with_(GENERATIONS_CTE)
@@ -77,7 +76,7 @@ def extract_from_conversations(spark, sf_dir):
 def extract_from_documents(spark, sf_dir):
     """Whole documents of up to 20,000 words as responses."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = reward.add_scores(spread(documents, "doc_id"), "text")
+    scored = reward.add_scores(documents, "text")
     return rounded(scored.select("doc_id", "extracted_sql", "total"))
 
 

@@ -10,7 +10,7 @@ from checks.registry import query, rounded
 from checks.schema_prompt import ROUGH_COLUMNS, ROUGH_TABLES
 from checks.views import raw_samples
 from querymill.functions.prompting import PromptOptions
-from querymill.operators import formatting, generate, profile, sampling
+from querymill.operators import formatting, profile, sampling
 from querymill.operators.profile import TRACKED_KEYWORDS
 from querymill.plans import jobs
 from querymill.storage import store
@@ -87,9 +87,8 @@ def evaluation_set(spark, sf_dir):
 
 @query("sample_evaluation_set_large", PREP + _SHARES.format(n=12000))
 def evaluation_set_large(spark, sf_dir):
-    """Large enough that the exact cut takes over from ranking."""
     df = stored(spark, sf_dir).select("sample_id", "complexity")
-    return sampling.evaluation_set(df, 12000, driver_rows=1000)
+    return sampling.evaluation_set(df, 12000)
 
 
 @query("sample_first_large", RAW + "SELECT sample_id, question FROM raw ORDER BY sample_id LIMIT 12345")
@@ -276,16 +275,14 @@ SELECT split, count(*) AS num_samples_checked, round(avg(n), 6) AS avg_token_len
 FROM n GROUP BY split""",
 )
 def prompt_tokens(spark, sf_dir):
-    """A user's tokenizer behind an Arrow function."""
-
-    def make_encode():
-        import re
+    prompts = formatting.format_samples(kept(spark, sf_dir), PromptOptions(template="concise"))
+    return rounded(
+        profile.token_length_profile(prompts, 60, count_tokens=_count_tokens, by=("split",))
+    )
 
-        return re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \n]").findall
 
-    prompts = formatting.format_samples(kept(spark, sf_dir), PromptOptions(template="concise"))
-    counter = generate.token_counter(make_encode)
-    return rounded(profile.token_length_profile(prompts, 60, count_tokens=counter, by=("split",)))
+def _count_tokens(text):
+    return F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \n]"))
 
 
 def _report_sql() -> str:
@@ -330,7 +327,7 @@ UNION ALL SELECT split, 'keyword', keyword, 'pct', round(100.0 * samples / total
     ctes = f""", d AS (SELECT *, len({ROUGH_TABLES.format('schema')}) AS n_tables, len({ROUGH_COLUMNS.format('schema')}) AS n_columns FROM prepped),
 kw AS (SELECT split, unnest(kws) AS keyword FROM d), kc AS (SELECT split, keyword, count(*) AS samples FROM kw GROUP BY 1, 2),
 topk AS (SELECT kc.*, t.total FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY samples DESC, keyword) AS r FROM kc) kc
-  JOIN (SELECT split, count(*) AS total FROM d GROUP BY 1) t USING (split) WHERE r <= 15)
+  JOIN (SELECT split, count(*) AS total FROM d GROUP BY 1) t USING (split))
 """
     return PREP + ctes + "\nUNION ALL ".join([*rows, add_tables, words])
 

@@ -147,7 +147,7 @@ def looks_like_sql(x: str) -> str:
 
 def clean_extracted(x: str) -> str:
     unlabelled = f"regexp_replace({x}, '^(?:SQL:|Query:|Answer:)\\s*', '', 'i')"
-    return f"substr(trim(replace(regexp_replace({unlabelled}, '{WS}+', ' ', 'g'), ' ;', ';')), 1, 2048)"
+    return f"trim(replace(regexp_replace({unlabelled}, '{WS}+', ' ', 'g'), ' ;', ';'))"
 
 
 def until_end(x: str) -> str:
@@ -354,10 +354,13 @@ EVALUATED = f"""{PREP},
   {features('predicted', 'predicted_sql', 'pred')},
   rated AS (
     SELECT p.sample_id, p.candidate, p.model, r.question, p.predicted_sql, r.sql AS reference_sql,
-      p.valid, r.complexity, {PAIR_COLUMNS}
-    FROM pred p JOIN ref r USING (sample_id)),
+      p.valid, r.complexity, true AS paired, {PAIR_COLUMNS}
+    FROM pred p JOIN ref r USING (sample_id)
+    UNION ALL BY NAME
+    SELECT sample_id, candidate, model, predicted_sql, valid, false AS paired
+    FROM pred ANTI JOIN ref USING (sample_id)),
   results AS (
-    SELECT *, CASE WHEN keyword_precision + keyword_recall > 0
+    SELECT *, CASE WHEN NOT paired THEN NULL WHEN keyword_precision + keyword_recall > 0
       THEN 2.0 * (keyword_precision * keyword_recall) / (keyword_precision + keyword_recall)
       ELSE 0.0 END::DOUBLE AS keyword_f1 FROM rated)"""
 

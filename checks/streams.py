@@ -1,4 +1,4 @@
-"""Streams over the responses, batch generation."""
+"""Streams over the responses."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from checks.prep import new_path, processed
 from checks.registry import query, rounded
 from checks.reward import REWARDED, SCORED
 from checks.views import generations, raw_samples
-from querymill.operators import generate
 from querymill.operators.prepare import filter_samples, preprocess
 from querymill.schemas import RAW, RESPONSE
 from querymill.sources.corpus import stream_corpus
@@ -90,33 +89,3 @@ def monitor_batch(spark, sf_dir):
     seconds = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, sample_id)")
     scored = add_scores(generations(spark, sf_dir).withColumn("ts", seconds))
     return _monitored(streaming.reward_monitor(scored))
-
-
-def _generated() -> str:
-    from checks.schema_prompt import _template_sql
-
-    sql = "'SELECT count(*) FROM t WHERE n = ' || length(prompt)"
-    return (
-        Q.with_(Q.PREP)
-        + f", asked AS (SELECT sample_id, {_template_sql('default', 'question', 'schema')} AS prompt"
-        " FROM prepped WHERE question <> '')\n"
-        f"SELECT sample_id, prompt, '```sql' || chr(10) || {sql} || chr(10) || '```' AS raw_output,"
-        f" {sql} AS sql, true AS valid FROM asked"
-    )
-
-
-@query("generate_batches", _generated())
-def generate_batches(spark, sf_dir):
-    """A stand-in model repeats the prompt and answers in a fence."""
-
-    def echo_model():
-        import numpy as np
-
-        def predict(prompts):
-            answer = "{0} ```sql\nSELECT count(*) FROM t WHERE n = {1}\n```"
-            return np.array([answer.format(p, len(p)) for p in prompts], dtype=object)
-
-        return predict
-
-    answered = generate.generate(processed(spark, sf_dir), echo_model, batch_size=64)
-    return answered.select("sample_id", "prompt", "raw_output", "parsed.sql", "parsed.valid")

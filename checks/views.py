@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.sources.corpus import spread
 
 RAW_COLUMNS = """
   CAST(k AS BIGINT) AS sample_id,
@@ -86,7 +85,7 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey", "o_custkey", "o_orderpriority"
     )
-    base = spread(orders, "o_orderkey").selectExpr(*BASE_COLUMNS.split(", "))
+    base = orders.selectExpr(*BASE_COLUMNS.split(", "))
     return base.selectExpr(*_columns(RAW_COLUMNS))
 
 

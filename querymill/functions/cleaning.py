@@ -15,6 +15,7 @@ from querymill.functions.text import (
     or_empty,
 )
 
+# The two kinds of comments.
 _LINE_COMMENT = r"--[^\n]*"
 _BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 
@@ -39,14 +40,16 @@ def drop_comments(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, _LINE_COMMENT, ""), _BLOCK_COMMENT, "")
 
 
-def clean_schema(context: Column, max_length: int = 1024) -> Column:
-    """Comments dropped, whitespace collapsed, cut to four characters per allowed token.
+def clean_schema(context: Column, max_length: int | None = None) -> Column:
+    """Comments dropped, whitespace collapsed; with ``max_length``, cut to four characters per token.
 
     A cut that leaves a partial last table (its CREATE TABLE lies in the last fifth) goes back to
     the start of that table.
     """
-    limit = 4 * max_length
     text = collapse(drop_comments(or_empty(context)))
+    if max_length is None:
+        return text
+    limit = 4 * max_length
     cut = F.substring(text, 1, limit)
     head = F.regexp_extract(cut, r"(?s)^(.*)CREATE TABLE", 1)
     at_table = F.when(F.length(head) > F.lit(limit * 0.8), head).otherwise(cut)
@@ -78,6 +81,7 @@ def complexity_level(sql: Column) -> Column:
     )
 
 
+# The texts of validation errors.
 def validation_error(question: Column, answer: Column, missing: str | None = None) -> Column:
     """First problem of a sample, null when it is valid. ``missing`` names an absent column."""
     if missing:

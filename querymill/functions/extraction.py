@@ -31,28 +31,33 @@ _SHAPES = (
     (("CREATE",), rf"\bCREATE{WS}+(?:TABLE|DATABASE|INDEX|VIEW)\b"),
 )
 
+# The fenced block and the inline span.
 FENCE = rf"(?is)```(?:sql)?{WS}*\n(.*?)```"
 SPAN = r"`([^`]+)`"
 
 
 @dataclass(frozen=True)
 class ParserOptions:
-    max_sql_length: int = 2048
+    """``max_sql_length`` cuts extracted texts; by default they stay whole.
+
+    ``max_response_length`` belongs to the scoring rule: longer responses count as badly formatted
+    (None: no such rule).
+    """
+
+    max_sql_length: int | None = None
     min_sql_length: int = 10
+    max_response_length: int | None = 4096
     extract_code_blocks: bool = True
     clean_whitespace: bool = True
 
-    @property
-    def max_response_length(self) -> int:
-        return 2 * self.max_sql_length
-
 
 def clean_extracted(sql: Column, opts: ParserOptions = ParserOptions()) -> Column:
-    """Label prefix off, whitespace collapsed, " ;" closed up, capped in length."""
+    """Label prefix off, whitespace collapsed, " ;" closed up."""
     out = F.regexp_replace(sql, rf"(?i)^(?:SQL:|Query:|Answer:){WS}*", "")
     if opts.clean_whitespace:
         out = F.replace(F.regexp_replace(out, WS + "+", " "), F.lit(" ;"), F.lit(";"))
-    return F.substring(strip(out), 1, opts.max_sql_length)
+    out = strip(out)
+    return out if opts.max_sql_length is None else F.substring(out, 1, opts.max_sql_length)
 
 
 def looks_like_sql(text: Column, up: Column | None = None) -> Column:
@@ -138,7 +143,9 @@ def valid_format(
     response: Column, extracted: Column, opts: ParserOptions = ParserOptions()
 ) -> Column:
     size = F.length(strip(or_empty(response)))
-    in_range = (size >= opts.min_sql_length) & (size <= opts.max_response_length)
+    in_range = size >= opts.min_sql_length
+    if opts.max_response_length is not None:
+        in_range = in_range & (size <= opts.max_response_length)
     return in_range & (F.coalesce(F.length(extracted), F.lit(0)) >= opts.min_sql_length)
 
 

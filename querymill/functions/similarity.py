@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from querymill.functions.lexing import followers, table_references
-from querymill.functions.text import contains_any, found_words, occurrences, strip, word_mask
+from querymill.functions.text import bind, contains_any, found_words, occurrences, strip, word_mask
 
 # Keywords compared between prediction and reference, tested as substrings.
 PAIR_KEYWORDS = (
@@ -38,6 +38,17 @@ def token_overlap(predicted: Column, reference: Column) -> Column:
     return F.when(F.size(reference) == 0, 0.0).otherwise(matched / F.size(reference))
 
 
+def numbered(toks: Column) -> Column:
+    """Sorted tokens, each with its number among equal ones, so that no entry repeats."""
+    return bind(F.sort_array(toks), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit("#"), i - F.array_position(s, t) + 1)))
+
+
+def numbered_overlap(predicted: Column, reference: Column) -> Column:
+    """``token_overlap`` of numbered tokens: a hash intersection instead of nested passes."""
+    matched = F.size(F.array_intersect(predicted, reference))
+    return F.when(F.size(reference) == 0, 0.0).otherwise(matched / F.size(reference))
+
+
 def select_columns(up: Column) -> Column:
     """Comma-separated pieces in front of the first FROM, without the word SELECT."""
     part = strip(F.replace(F.substring_index(up, "FROM", 1), F.lit("SELECT"), F.lit("")))

@@ -21,13 +21,13 @@ def error_set(results: DataFrame) -> DataFrame:
 
 
 def error_rate(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Total, errors, error rate and the share of errors that are not valid SQL, in one pass."""
+    """Pairs, errors, error rate and the share of errors that are not valid SQL, in one pass."""
     errors = F.count_if(F.expr(_is_error))
     invalid = F.count_if(F.expr(f"{_is_error} AND NOT valid"))
     return results.groupBy(*by).agg(
-        F.count("*").alias("total"),
+        F.count("exact_match").alias("total"),
         errors.alias("total_errors"),
-        percent(errors, F.count("*")).alias("error_rate"),
+        percent(errors, F.count("exact_match")).alias("error_rate"),
         invalid.alias("invalid_errors"),
         percent(invalid, errors).alias("invalid_pct"),
     )
@@ -44,5 +44,5 @@ def error_rate_by_level(results: DataFrame) -> DataFrame:
 def error_samples(
     results: DataFrame, n: int = 20, order: tuple[str, ...] = ("sample_id",)
 ) -> DataFrame:
-    """First n errors. An ordered limit keeps n rows per task and never sorts the table."""
+    """First n errors."""
     return first_n(error_set(results), n, order).select(*SAMPLE_COLUMNS)

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions import similarity as S
-from querymill.functions.cleaning import LEVELS
 from querymill.functions.extraction import add_extraction, valid_format
 from querymill.functions.lexing import comparable, tidy_case, tokens
 from querymill.functions.rubric import RubricOptions
@@ -29,39 +27,16 @@ RATES = {
     "valid": "valid_sql_rate",
     "complexity_match": "complexity_match_rate",
 }
+_METRICS = (*[m for m in RATES if m != "valid"], "predicted_complexity", "reference_complexity")
 LEVEL_RATES = ("exact_match", "token_accuracy", "structural_similarity", "valid")
 
 
-def edit_distance_udf():
-    """``len(reference) - int(ratio * len(reference))`` with the matching-blocks ratio.
+def add_query_features(df: DataFrame, sql: str, prefix: str) -> DataFrame:
+    """Add what the pair metrics need of one query: ``norm, mask, shape, tokens, level``.
 
-    This is the one metric without a built-in equivalent, so it is an Arrow batch function. Equal
-    texts and repeated pairs inside a batch skip the comparison.
+    Tokens are numbered by occurrence, so that their overlap is a set intersection.
     """
-
-    @F.pandas_udf("int")
-    def edit_distance(predicted: pd.Series, reference: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        known: dict[tuple[str, str], int] = {}
-        out = []
-        for pair_ in zip(predicted, reference):
-            p, r = pair_
-            if p == r:
-                out.append(0)
-                continue
-            if pair_ not in known:
-                ratio = SequenceMatcher(None, p, r).ratio()
-                known[pair_] = len(r) - int(ratio * len(r))
-            out.append(known[pair_])
-        return pd.Series(out, dtype="int32")
-
-    return edit_distance
-
-
-def add_query_features(df: DataFrame, sql: str, prefix: str) -> DataFrame:
-    """Add what the pair metrics need of one query: ``norm, mask, shape, tokens, level``."""
-    up, toks = f"{prefix}_up", f"{prefix}_tokens"
+    up, toks = f"{prefix}_up", f"{prefix}_list"
     df = df.withColumns(
         {up: F.upper(or_empty(F.col(sql))), toks: tokens(F.col(sql))}
     )
@@ -74,8 +49,9 @@ def add_query_features(df: DataFrame, sql: str, prefix: str) -> DataFrame:
             f"{prefix}_mask": S.pair_keyword_mask(F.col(up)),
             f"{prefix}_shape": S.structure(F.col(up), F.col(toks)),
             f"{prefix}_level": S.score_level(score, strip(F.col(up)) == ""),
+            f"{prefix}_tokens": S.numbered(F.col(toks)),
         }
-    ).drop(up, f"{prefix}_features")
+    ).drop(up, toks, f"{prefix}_features")
 
 
 def _features_of(prefix: str) -> list[str]:
@@ -89,7 +65,7 @@ def pair_metrics(paired: DataFrame) -> DataFrame:
     with_rates = paired.withColumns(
         {
             "exact_match": (p["norm"] == r["norm"]).cast("double"),
-            "token_accuracy": S.token_overlap(p["tokens"], r["tokens"]),
+            "token_accuracy": S.numbered_overlap(p["tokens"], r["tokens"]),
             "structural_similarity": S.structure_similarity(p["shape"], r["shape"]),
             "keyword_precision": S.keyword_precision(p["mask"], r["mask"]),
             "keyword_recall": S.keyword_recall(p["mask"], r["mask"]),
@@ -108,7 +84,6 @@ def pair_metrics(paired: DataFrame) -> DataFrame:
 def evaluate(
     predictions: DataFrame,
     references: DataFrame,
-    edit_distance: bool = True,
     levenshtein: bool = True,
     strict: bool = False,
 ) -> DataFrame:
@@ -117,9 +92,10 @@ def evaluate(
     ``predictions``: sample_id, predicted_sql, valid and any further columns (model, candidate).
     ``references``: sample_id, question, sql, complexity. A null prediction counts as empty.
 
-    Both distances compare every character with every other; leave them out where queries are long
-    and the rates suffice. Reference features are computed once per sample, in front of the join; those of a prediction
-    behind it, so that only its text is shuffled.
+    A prediction without reference keeps its row, with ``paired`` false and null metrics; with
+    ``strict`` the two sides must hold the same keys. The distance compares every character with
+    every other; leave it out where queries are long and the rates suffice. The features of both
+    sides are computed on their scan partitions, in front of the join.
     """
     if strict:
         require_pairing(predictions, references)
@@ -133,14 +109,14 @@ def evaluate(
             "valid": F.coalesce(F.col("valid"), F.lit(False)),
         }
     )
-    paired = add_query_features(pair(preds, refs), "predicted_sql", "pred")
-    rated = pair_metrics(paired)
+    preds = add_query_features(preds, "predicted_sql", "pred")
+    joined = pair(preds, refs.withColumn("paired", F.lit(True)), how="left")
+    rated = pair_metrics(joined.withColumn("paired", F.coalesce("paired", F.lit(False))))
+    rated = rated.withColumns({c: F.when(F.col("paired"), F.col(c)) for c in _METRICS})
     norms = F.col("pred_norm"), F.col("ref_norm")
     if levenshtein:
         distance = F.when(norms[0] == norms[1], 0).otherwise(F.levenshtein(*norms))
         rated = rated.withColumn("levenshtein", distance)
-    if edit_distance:
-        rated = rated.withColumn("edit_distance", edit_distance_udf()(*norms))
     return rated.drop(*_features_of("pred"), *_features_of("ref"))
 
 
@@ -154,25 +130,16 @@ def predictions_from_responses(
     return df.withColumn("valid", valid).drop(response)
 
 
-def with_execution(results: DataFrame, executed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach ``execution_match`` and ``predicted_executable`` to the results."""
-    columns = [*keys, "execution_match", "predicted_executable"]
-    return results.join(executed.select(*columns), list(keys), "left")
-
-
 def _rate(metric: str) -> Column:
-    return (F.avg(F.col(metric).cast("double")) * 100).alias(RATES[metric])
+    return (F.avg(F.when(F.col("paired"), F.col(metric).cast("double"))) * 100).alias(RATES[metric])
 
 
 def _means(results: DataFrame) -> list[Column]:
-    out = [_rate(m) for m in RATES]
-    for distance in ("edit_distance", "levenshtein"):
-        if distance in results.columns:
-            out.append(F.avg(distance).alias(f"avg_{distance}"))
-    if "execution_match" in results.columns:
-        out.append((F.avg(F.col("execution_match").cast("double")) * 100).alias("execution_accuracy"))
-        executable = F.avg(F.col("predicted_executable").cast("double")) * 100
-        out.append(executable.alias("predicted_executable_rate"))
+    """Pairs, predictions without reference, and means over the pairs."""
+    paired = F.count_if("paired")
+    out = [paired.alias("pairs"), (F.count("*") - paired).alias("unpaired"), *[_rate(m) for m in RATES]]
+    if "levenshtein" in results.columns:
+        out.append(F.avg("levenshtein").alias("avg_levenshtein"))
     return out
 
 
@@ -182,20 +149,22 @@ def aggregate(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def aggregate_by_level(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Count and four rates per complexity level of the reference query."""
+    """Count and four rates per complexity level of the reference query; counts add up to the pairs."""
     return (
-        results.where(F.col("reference_complexity").isin(*LEVELS))
+        results.where("paired")
         .groupBy(*by, "reference_complexity")
         .agg(F.count("*").alias("count"), *[_rate(m) for m in LEVEL_RATES])
     )
 
 
 def aggregate_all(results: DataFrame) -> DataFrame:
-    """Overall row (``all``) and one row per level in a single pass over the results."""
-    optional = ("edit_distance", "levenshtein", "execution_match", "predicted_executable")
-    metrics = [*RATES, *[c for c in optional if c in results.columns]]
-    narrow = results.select("reference_complexity", *metrics)
+    """Overall row (``all``) and one row per level in a single pass over the results.
+
+    Predictions without reference make up the row ``unpaired``, which has no rates.
+    """
+    metrics = [*RATES, *[c for c in ("levenshtein",) if c in results.columns]]
     level = F.col("reference_complexity")
+    narrow = results.select(F.when(F.col("paired"), level).otherwise("unpaired").alias("reference_complexity"), "paired", *metrics)
     grouped = narrow.groupingSets([[], [level]], level).agg(
         F.grouping("reference_complexity").alias("__overall"),
         F.count("*").alias("count"),
@@ -211,7 +180,7 @@ def inference_summary(
     by: Sequence[str] = (),
     response: str = "response",
 ) -> DataFrame:
-    """Valid share, reward range and exact share of generated answers.
+    """Valid share, reward range, rows with a reference and the share of these that match it.
 
     The extracted SQL is scored again as a response of its own, with an empty keyword list.
     """
@@ -220,19 +189,18 @@ def inference_summary(
     refs = references.select(
         "sample_id", tidy_case(F.col("sql"), lower_names=False).alias("__ref"), F.col("sql").isNull().alias("__no_ref")
     )
-    paired = pair(scored, refs).withColumn(
+    paired = pair(scored, refs, how="left").withColumn(
         "__same", tidy_case(F.col("predicted_sql"), lower_names=False) == F.col("__ref")
     )
     everything = F.count("*")
     return paired.groupBy(*by).agg(
         everything.alias("total_samples"),
+        F.count_if(F.col("__no_ref") == F.lit(False)).alias("with_reference"),
         percent(F.count_if("valid"), everything).alias("valid_sql_pct"),
         F.avg("total").alias("avg_reward"),
         F.min("total").alias("min_reward"),
         F.max("total").alias("max_reward"),
-        F.when(~F.bool_or("__no_ref"), percent(F.count_if("__same"), everything)).alias(
-            "exact_match_pct"
-        ),
+        percent(F.count_if("__same"), F.count_if(F.col("__no_ref") == F.lit(False))).alias("exact_match_pct"),
     )
 
 
@@ -245,5 +213,5 @@ def report_rows(results: DataFrame) -> DataFrame:
     rows = as_rows(table, ("reference_complexity",), entries, ("metric", "value"))
     level_metrics = [RATES[m] for m in LEVEL_RATES] + ["count"]
     section = F.col("reference_complexity")
-    wanted = (section == "all") | (section.isin(*LEVELS) & F.col("metric").isin(*level_metrics))
-    return rows.where(wanted).select(section.alias("section"), "metric", "value")
+    wanted = (section == "all") | ((section != "unpaired") & F.col("metric").isin(*level_metrics))
+    return rows.where(wanted & F.col("value").isNotNull()).select(section.alias("section"), "metric", "value")

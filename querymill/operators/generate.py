@@ -1,23 +1,14 @@
-"""Batch generation with a model supplied by the user, and clean-up of what it returns."""
+"""Clean-up of what a model generated."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from querymill.functions.extraction import ParserOptions
-from querymill.functions.prompting import PromptOptions, prompt
-from querymill.functions.rubric import RubricOptions
-from querymill.functions.text import or_empty, strip
-from querymill.operators.columns import text_field
-from querymill.operators.prepare import drop_unformattable
-from querymill.operators.reward import parse_responses
+from querymill.functions.text import strip
 
 # Default stop sequences.
 STOP_SEQUENCES = ("\n\n", "<|eot_id|>", "Question:", "Schema:")
@@ -35,42 +26,3 @@ def until_stop(text: Column, stops: Sequence[str] = STOP_SEQUENCES) -> Column:
     if not stops:
         return text
     return F.get(F.split(text, "|".join(re.escape(s) for s in stops), 2), F.lit(0))
-
-
-def token_counter(make_encode: Callable[[], Callable[[str], Sequence]]) -> Callable:
-    """A column function that counts the tokens of a text with a user's tokenizer.
-
-    ``make_encode`` loads the tokenizer and returns its encode function; it runs once per task,
-    and texts arrive in Arrow batches.
-    """
-
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = make_encode()
-        for texts in batches:
-            yield texts.map(lambda t: len(encode(t or ""))).astype("int32")
-
-    return count
-
-
-def generate(
-    df: DataFrame,
-    make_predict_fn: Callable,
-    batch_size: int = 4,
-    prompts: PromptOptions = PromptOptions(),
-    parser: ParserOptions = ParserOptions(),
-    stops: Sequence[str] = (),
-) -> DataFrame:
-    """Prompt, generate, strip the echo, extract.
-
-    ``make_predict_fn`` loads the model and returns a function from an array of prompts to an
-    array of texts; it runs once per Python worker. Adds ``prompt, raw_output, parsed``.
-    """
-    model = predict_batch_udf(make_predict_fn, return_type=StringType(), batch_size=batch_size)
-    asked = drop_unformattable(df).withColumn(
-        "prompt", prompt(F.col("question"), text_field(df, "schema"), opts=prompts)
-    )
-    answered = asked.withColumn("__generated", or_empty(model("prompt")))
-    raw = until_stop(without_echo(F.col("__generated"), F.col("prompt")), stops)
-    answered = answered.withColumn("raw_output", raw).drop("__generated")
-    return parse_responses(answered, "raw_output", RubricOptions(parser=parser))

@@ -16,9 +16,17 @@ def unbroadcast(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def pair(predictions: DataFrame, references: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Inner equi-join of predictions with their references."""
-    return predictions.join(unbroadcast(references), key)
+def pair(
+    predictions: DataFrame, references: DataFrame, key: str = "sample_id", how: str = "inner"
+) -> DataFrame:
+    """Equi-join of predictions with their references; ``how="left"`` keeps all predictions."""
+    return predictions.join(unbroadcast(references), key, how)
+
+
+def with_context(responses: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Attach ``reference`` and ``context`` of the sample to every response; null without a sample."""
+    own = samples.select(key, F.col("answer").alias("reference"), "context")
+    return pair(responses, own, key, "left")
 
 
 def pairing_gaps(

@@ -15,7 +15,7 @@ from querymill.operators.columns import as_rows, optional, percent, text_field
 @dataclass(frozen=True)
 class PrepareOptions:
     max_question_length: int = 512
-    max_schema_length: int = 1024
+    max_schema_length: int | None = None
     max_sql_length: int = 512
     normalize_sql: bool = True
     filter_invalid: bool = True

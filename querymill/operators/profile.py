@@ -123,28 +123,30 @@ def keyword_frequency(df: DataFrame, k: int | None = 15, by: Sequence[str] = ())
 LENGTHS = ("question_length", "sql_length", "schema_length")
 
 
+def _at(values: str, i: int) -> Column:
+    return F.get(F.col(values), F.lit(i)).cast("double")
+
+
 def length_profile(
     df: DataFrame, by: Sequence[str] = (), accuracy: int | None = None
 ) -> DataFrame:
-    """One row per length column: mean, median, extremes, population deviation, percentiles."""
+    """One row per length column: mean, median, extremes, population deviation, percentiles.
+
+    All percentiles of a column come from one histogram.
+    """
     present = [c for c in LENGTHS if c in df.columns]
+    points = F.array(*[F.lit(p / 100) for p in (50, *PERCENTILES)])
     aggs: list[Column] = []
     for c in present:
-        stats = [
-            F.lit(c).alias("field"),
-            F.avg(c).alias("mean"),
-            _percentile(F.col(c), 0.5, accuracy).alias("median"),
-            F.min(c).alias("min"),
-            F.max(c).alias("max"),
-            F.stddev_pop(c).alias("std"),
-        ]
-        for p in PERCENTILES:
-            shown = c != "schema_length"
-            value = _percentile(F.col(c), p / 100, accuracy) if shown else F.lit(None).cast("double")
-            stats.append(value.alias(f"p{p}"))
-        aggs.append(F.struct(*stats).alias(c))
+        at = F.percentile(c, points) if accuracy is None else F.percentile_approx(c, points, accuracy)
+        aggs += [at.alias(f"__{c}_at"), *[f(c).alias(f"__{c}_{f.__name__}") for f in (F.avg, F.min, F.max, F.stddev_pop)]]
     row = df.groupBy(*by).agg(*aggs)
-    return row.select(*by, F.inline(F.array(*[F.col(c) for c in present])))
+    fields = []
+    for c in present:
+        shown = [F.when(F.lit(c != "schema_length"), _at(f"__{c}_at", i + 1)).alias(f"p{p}") for i, p in enumerate(PERCENTILES)]
+        stats = [F.col(f"__{c}_{f}").alias(n) for f, n in (("min", "min"), ("max", "max"), ("stddev_pop", "std"))]
+        fields.append(F.struct(F.lit(c).alias("field"), F.col(f"__{c}_avg").alias("mean"), _at(f"__{c}_at", 0).alias("median"), *stats, *shown))
+    return row.select(*by, F.inline(F.array(*fields)))
 
 
 def schema_profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -231,21 +233,22 @@ def quality_report(df: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     profiles += [("schema", "tables", "__tables"), ("schema", "columns", "__columns")]
     for section, item, c in profiles:
         add(section, item, "mean", F.avg(c))
-        add(section, item, "median", F.percentile(c, 0.5))
+        tall = item in ("question_length", "sql_length")
+        points = [50, *(PERCENTILES if tall else ())]
+        aggs.append(F.percentile(c, F.array(*[F.lit(p / 100) for p in points])).alias(f"__{c}_at"))
+        for i, p in enumerate(points):
+            entries.append(((section, item, "median" if i == 0 else f"p{p}"), _at(f"__{c}_at", i)))
         add(section, item, "min", F.min(c))
         add(section, item, "max", F.max(c))
         if section == "length":
             add(section, item, "std", F.stddev_pop(c))
-        if item in ("question_length", "sql_length"):
-            for p in PERCENTILES:
-                add(section, item, f"p{p}", F.percentile(c, p / 100))
     for name, condition in checks.items():
         add("quality", name, "samples", F.count_if(condition))
     scalars = as_rows(
         base.groupBy(*by).agg(*aggs), by, entries, ("section", "item", "metric", "value")
     ).where("section <> 'quality' OR value > 0")
 
-    words = keyword_frequency(df, 15, by)
+    words = keyword_frequency(df, len(TRACKED_KEYWORDS), by)
     keywords = as_rows(
         words, (*by, "keyword"),
         [(("samples",), F.col("samples").cast("double")), (("pct",), F.col("pct"))],

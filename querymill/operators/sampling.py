@@ -12,14 +12,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from querymill.functions.cleaning import LEVELS
 from querymill.storage import store
 
 PREFIX_DIGITS = 4
 SALTS = 64
-# An ordered limit sends n rows per task to the driver; beyond this an exact cut is used instead.
-DRIVER_ROWS = 10_000
+# Accuracy of the quantile that narrows an ordered cut.
+QUANTILE_ACCURACY = 10_000
 
 
 def sample_key(seed: int | str | Column = 42, sample_id: str = "sample_id") -> Column:
@@ -31,7 +32,7 @@ def sample_key(seed: int | str | Column = 42, sample_id: str = "sample_id") -> C
 def _check_sizes(*sizes: float) -> None:
     total = sum(sizes)
     if not math.isclose(total, 1.0, rel_tol=1e-5, abs_tol=1e-8):
-        raise ValueError(f"Split sizes must sum to 1.0, got {total}")
+        raise ValueError(f"The shares of the splits add up to {total}, not to 1")
 
 
 def _hex_bound(share: float) -> str:
@@ -59,46 +60,37 @@ def assign_splits(
     return df.withColumn("split", split)
 
 
-MAX_SMALL_ROWS = 1024
+def _inside(bucketed: DataFrame, stratum: str, digits: int, wanted: DataFrame) -> DataFrame:
+    """Rows of those key prefixes in which a wanted rank falls, with the rank left inside.
 
-
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast copy of a frame that proves small; a larger one is left for Spark to join."""
-    rows = df.limit(MAX_SMALL_ROWS + 1).collect()
-    if len(rows) > MAX_SMALL_ROWS:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    ``wanted`` has one row per stratum and cut; the histogram has a row per prefix.
+    """
+    prefix = F.substring("__key", 1, digits)
+    histogram = bucketed.groupBy(stratum, "__cut", prefix.alias("__bucket")).agg(F.count("*").alias("__n"))
+    running = Window.partitionBy(stratum, "__cut").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = histogram.withColumn("__upto", F.sum("__n").over(running)).join(wanted, [stratum, "__cut"])
+    before = F.col("__upto") - F.col("__n")
+    met = upto.where((before < F.col("__rank")) & (F.col("__rank") <= F.col("__upto")))
+    left = met.select(stratum, "__cut", "__bucket", (F.col("__rank") - before).alias("__rank"))
+    return bucketed.drop("__rank").withColumn("__bucket", prefix).join(left, [stratum, "__cut", "__bucket"]).drop("__bucket")
 
 
 def _cut_keys(keyed: DataFrame, stratum: str, wanted: dict[str, Column]) -> DataFrame:
     """Largest key inside each wanted rank, one row per stratum and cut.
 
     ``keyed`` has the stratum and ``__key``; ``wanted`` maps a cut name to a rank computed from
-    ``__total``. The histogram has at most 16**PREFIX_DIGITS rows per stratum, whatever the size
-    of the data, and only about one bucket per cut is ranked.
+    ``__total``. Two histograms over key prefixes, the second inside the bucket that the first
+    found, leave one row in four billion to be ranked.
     """
-    bucketed = keyed.withColumn("__bucket", F.substring("__key", 1, PREFIX_DIGITS))
-    histogram = bucketed.groupBy(stratum, "__bucket").agg(F.count("*").alias("__n"))
-    group = Window.partitionBy(stratum)
-    running = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    positions = histogram.withColumns(
-        {"__upto": F.sum("__n").over(running), "__total": F.sum("__n").over(group)}
-    )
-    ranks = [
-        F.struct(F.lit(name).alias("__cut"), rank.cast("long").alias("__rank"))
-        for name, rank in wanted.items()
-    ]
-    before = (F.col("__upto") - F.col("__n")).alias("__before")
-    cuts = positions.select(
-        stratum, "__bucket", before, "__upto", F.inline(F.array(*ranks))
-    ).where("__before < __rank AND __rank <= __upto")
+    names = F.array(*[F.struct(F.lit(n).alias("__cut"), r.cast("long").alias("__rank")) for n, r in wanted.items()])
+    totals = keyed.groupBy(stratum).agg(F.count("*").alias("__total"))
+    ranks = totals.select(stratum, F.inline(names))
+    rows = keyed.withColumn("__cut", F.explode(F.array(*[F.lit(n) for n in wanted])))
+    coarse = _inside(rows, stratum, PREFIX_DIGITS, ranks)
+    fine = _inside(coarse, stratum, 2 * PREFIX_DIGITS, coarse.select(stratum, "__cut", "__rank").distinct())
     inside = Window.partitionBy(stratum, "__cut").orderBy("__key")
-    return (
-        bucketed.join(_small(cuts.drop("__upto")), [stratum, "__bucket"])
-        .withColumn("__row", F.row_number().over(inside))
-        .where("__before + __row = __rank")
-        .select(stratum, "__cut", F.col("__key").alias("__cut_key"))
-    )
+    ranked = fine.withColumn("__row", F.row_number().over(inside)).where("__row = __rank")
+    return ranked.select(stratum, "__cut", F.col("__key").alias("__cut_key"))
 
 
 def _with_cuts(
@@ -110,7 +102,7 @@ def _with_cuts(
         F.max(F.when(F.col("__cut") == name, F.col("__cut_key"))).alias(f"__{name}")
         for name in wanted
     ]
-    joined = df.join(_small(cuts.groupBy(stratum).agg(*keys)), stratum, "left")
+    joined = df.join(cuts.groupBy(stratum).agg(*keys), stratum, "left")
     return joined, {name: F.coalesce(F.col(f"__{name}"), F.lit("")) for name in wanted}
 
 
@@ -159,34 +151,39 @@ def ensure_splits(
     return assign_splits(df, **sizes)
 
 
-def first_n(
-    df: DataFrame, n: int, order: Sequence[str] = ("sample_id",), driver_rows: int = DRIVER_ROWS
-) -> DataFrame:
-    """First n rows in order. Beyond what the driver should hold, rows are sorted and stored with
-    their place inside their range partition, and n is met by counting the partitions before it."""
-    if n <= driver_rows:
-        return df.orderBy(*order).limit(n)
+def _draw_key(df: DataFrame, seed: int | str) -> Column:
+    """The sample's key, and a hash of the whole row for rows that share an id."""
+    return F.concat(sample_key(seed), F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0"))
+
+
+def first_n(df: DataFrame, n: int, order: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """First n rows in order.
+
+    A quantile of a numeric first column leaves little more than n rows. These are sorted and stored
+    with their place inside their range partition, and n is met by counting the partitions before.
+    """
+    near = df
+    if isinstance(df.schema[order[0]].dataType, NumericType):
+        total = df.count()
+        share = (n / total if total else 1.0) + 2 / QUANTILE_ACCURACY
+        if share < 1:
+            top = df.agg(F.percentile_approx(order[0], share, QUANTILE_ACCURACY)).first()[0]
+            near = df.where((F.col(order[0]) <= top) | F.col(order[0]).isNull())
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = store(
-        df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__place": place}), "sorted"
-    )
-    before, parts = 0, []
-    for part, count in placed.groupBy("__part").count().orderBy("__part").collect():
-        parts.append((part, before))
-        before += count
-    offsets = df.sparkSession.createDataFrame(parts, "__part int, __before long")
-    kept = placed.join(F.broadcast(offsets), "__part")
-    return kept.where(F.col("__before") + F.col("__place") < n).select(*df.columns)
+    placed = store(near.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__place": place}), "sorted")
+    counts = placed.groupBy("__part").count()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    kept = placed.join(offsets, "__part").where(F.col("__before") + F.col("__place") < n)
+    return kept.select(*df.columns).orderBy(*order)
 
 
-def uniform_sample(
-    df: DataFrame, n: int, seed: int | str = 42, driver_rows: int = DRIVER_ROWS
-) -> DataFrame:
-    """n rows without replacement, fewer only when the table is smaller."""
-    keyed = df.withColumn("__key", sample_key(seed))
-    if n <= driver_rows:
-        return keyed.orderBy("__key").limit(n).drop("__key")
-    keyed = keyed.withColumn("__stratum", F.lit(""))
+def uniform_sample(df: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
+    """n rows without replacement, fewer only when the table is smaller.
+
+    Rows that agree in every column are drawn together.
+    """
+    keyed = df.withColumns({"__key": _draw_key(df, seed), "__stratum": F.lit("")})
     joined, cut = _with_cuts(
         keyed, "__stratum", {"drawn": F.least(F.lit(n).cast("long"), F.col("__total"))}
     )
@@ -203,8 +200,8 @@ def top_n_per_group(
 ) -> DataFrame:
     """First n rows of every group, in two ranked stages.
 
-    The literal limit lets Spark drop rows before the shuffle. The first stage ranks inside salted
-    slices, so the last one sees at most n rows per slice of a group, however large the group.
+    Meant for small n: up to 1,000 Spark drops rows before the shuffle. The first stage ranks inside
+    salted slices, so the last one sees at most n rows per slice of a group, however large the group.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)))
@@ -239,31 +236,22 @@ def allocation(counts: dict[str, int], n: int) -> dict[str, int]:
     return shares
 
 
-def evaluation_set(
-    df: DataFrame, n: int = 100, seed: int = 42, driver_rows: int = DRIVER_ROWS
-) -> DataFrame:
+def evaluation_set(df: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     """A sample of about n rows, stratified by complexity when there is such a column.
 
     Reads the level counts (three rows) first; they become literals of the second job.
     """
     if "complexity" not in df.columns:
-        return uniform_sample(df, n, seed, driver_rows)
+        return uniform_sample(df, n, seed)
     levels = df.where(F.col("complexity").isin(*LEVELS))
     counts = {r["complexity"]: r["n"] for r in levels.groupBy("complexity").agg(F.count("*").alias("n")).collect()}
     shares = allocation(counts, n)
     if not shares:
         return df.limit(0)
-    quota = F.lit(0)
-    for level, share in shares.items():
-        quota = F.when(F.col("complexity") == level, share).otherwise(quota)
-    keyed = levels.withColumn("__key", sample_key(seed))
-    if max(shares.values()) > driver_rows:
-        wanted = {level: F.least(F.lit(s).cast("long"), F.col("__total")) for level, s in shares.items()}
-        joined, cut = _with_cuts(keyed, "complexity", wanted)
-        keep = F.lit(False)
-        for level in shares:
-            keep = keep | ((F.col("complexity") == level) & (F.col("__key") <= cut[level]))
-        return joined.where(keep).select(*df.columns)
-    drawn = top_n_per_group(keyed, ["complexity"], ["__key", "sample_id"], max(shares.values()))
-    rank = F.row_number().over(Window.partitionBy("complexity").orderBy("__key", "sample_id"))
-    return drawn.withColumn("__rank", rank).where(F.col("__rank") <= quota).select(*df.columns)
+    keyed = levels.withColumn("__key", _draw_key(df, seed))
+    wanted = {level: F.least(F.lit(s).cast("long"), F.col("__total")) for level, s in shares.items()}
+    joined, cut = _with_cuts(keyed, "complexity", wanted)
+    keep = F.lit(False)
+    for level in shares:
+        keep = keep | ((F.col("complexity") == level) & (F.col("__key") <= cut[level]))
+    return joined.where(keep).select(*df.columns)

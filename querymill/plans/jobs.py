@@ -24,12 +24,21 @@ def prepare_corpus(
     path: str | None = None,
     opts: PrepareOptions = PrepareOptions(),
     create_splits: bool = True,
-    **sizes: float,
+    **sizes: float | str | None,
 ) -> DataFrame:
-    """Split, preprocess, filter and optionally write; returns the processed samples."""
-    processed = preprocess(ensure_splits(raw, create_splits, **sizes), opts)
+    """Split, preprocess, filter and optionally write; returns the processed samples.
+
+    A stratified split needs the label that preprocessing adds, so it comes after it, over the
+    samples that are kept, from a stored table.
+    """
+    stratify_by = sizes.pop("stratify_by", None)
+    late = stratify_by is not None and stratify_by not in raw.columns
+    early = raw if late else ensure_splits(raw, create_splits, stratify_by=stratify_by, **sizes)
+    processed = preprocess(early, opts)
     if opts.filter_invalid:
         processed = filter_samples(processed, opts)
+    if late:
+        processed = ensure_splits(store(processed, "processed"), create_splits, stratify_by=stratify_by, **sizes)
     if path is None:
         return processed
     write_processed(processed, path)
@@ -53,9 +62,9 @@ def advantages(
 
 
 def benchmark_models(
-    responses: DataFrame, processed: DataFrame, edit_distance: bool = True
+    responses: DataFrame, processed: DataFrame, levenshtein: bool = False, strict: bool = False
 ) -> DataFrame:
     """One aggregate row per model, from one job over all models' responses."""
     predictions = predictions_from_responses(responses)
-    results = evaluate(predictions, evaluation_view(processed), edit_distance)
+    results = evaluate(predictions, evaluation_view(processed), levenshtein, strict)
     return aggregate(results, ("model",))

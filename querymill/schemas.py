@@ -58,6 +58,6 @@ RESULT = T.StructType(
         T.StructField("reference_complexity", T.StringType()),
         T.StructField("complexity_match", T.IntegerType()),
         T.StructField("levenshtein", T.IntegerType()),
-        T.StructField("edit_distance", T.IntegerType()),
+        T.StructField("paired", T.BooleanType()),
     ]
 )

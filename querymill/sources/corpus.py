@@ -20,10 +20,10 @@ def read_corpus(
 ) -> DataFrame:
     """Raw samples with an explicit schema; columns a file lacks come out as null.
 
-    CSV texts may hold line breaks, and such a file cannot be split: pass ``multiLine=False`` for
-    large files without them.
+    A CSV file whose texts hold line breaks cannot be split among tasks: pass ``multiLine=True`` for
+    such files.
     """
-    csv = {"header": True, "multiLine": True, "escape": '"'} if fmt == "csv" else {}
+    csv = {"header": True, "escape": '"'} if fmt == "csv" else {}
     reader = spark.read.format(fmt).options(**{**csv, **options})
     if schema is not None:
         if split is not None and "split" not in schema.fieldNames():
@@ -51,19 +51,6 @@ def stream_corpus(
     return reader.load(path)
 
 
-def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Spread a scan over the cluster when its files give fewer splits than there are cores.
-
-    Text rules are CPU-bound, so a few small files would leave cores idle. A scan that already has
-    enough splits is returned as it is: at scale nothing is shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = partitions or cores
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, key)
-
-
 def write_processed(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One directory per split, so that reading a split lists only its files."""
     df.write.partitionBy("split").mode(mode).parquet(path)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from querymill.operators.evaluate import aggregate_all, report_rows
 from querymill.schemas import RESULT
 
-# Nulls get a marker of their own, so that an empty text stays an empty text.
+# Nulls get a marker of their own, so that an empty text stays an empty text. Texts may hold line
+# breaks; the files are as many as the tasks that wrote them, and are read one per task.
 _CSV = {
     "header": True, "escape": '"', "multiLine": True, "nullValue": "\\N",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
@@ -44,18 +45,6 @@ def write_summary_json(results: DataFrame, path: str) -> None:
 
 
 def render_report(results: DataFrame) -> str:
-    """The report table as markdown; it has a few dozen rows."""
+    """``report_rows`` as lines of section, metric and value; a few dozen rows."""
     rows = report_rows(results).orderBy("section", "metric").collect()
-    lines = ["# SQL Evaluation Report", ""]
-    for section in ("all", "simple", "medium", "complex"):
-        mine = [r for r in rows if r["section"] == section]
-        if not mine:
-            continue
-        lines += [f"## {'Aggregate Metrics' if section == 'all' else section.title()}", ""]
-        lines += ["| Metric | Value |", "| --- | --- |"]
-        for r in mine:
-            if r["metric"] != "count":
-                lines.append(f"| {r['metric'].replace('_', ' ').title()} | {r['value']:.2f} |")
-        counts = [int(r["value"]) for r in mine if r["metric"] == "count"]
-        lines += ["", *[f"**Sample Count:** {c}" for c in counts], ""]
-    return "\n".join(lines)
+    return "\n".join(f"{r['section']}\t{r['metric']}\t{r['value']:g}" for r in rows)

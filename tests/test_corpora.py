@@ -93,20 +93,22 @@ def test_many_strata_take_the_join(spark):
     assert counts.where("train = 1 AND validation = 1").count() == 1500
 
 
-def test_uniform_sample_either_way(spark):
+def test_uniform_sample_is_exact(spark):
     df = numbers(spark, 5000)
     few = {r[0] for r in sampling.uniform_sample(df, 700).select("sample_id").collect()}
-    cut = {r[0] for r in sampling.uniform_sample(df, 700, driver_rows=10).select("sample_id").collect()}
-    assert few == cut and len(few) == 700
-    assert sampling.uniform_sample(df, 6000, driver_rows=10).count() == 5000
+    more = {r[0] for r in sampling.uniform_sample(df, 1400).select("sample_id").collect()}
+    assert len(few) == 700 and len(more) == 1400 and few < more
+    assert sampling.uniform_sample(df, 6000).count() == 5000
     assert sampling.step_sample(df, 5, 1).collect() != sampling.step_sample(df, 5, 2).collect()
+    repeated = df.select((F.col("sample_id") % 50).alias("sample_id"), F.col("sample_id").alias("candidate"))
+    assert sampling.uniform_sample(repeated, 1001).count() == 1001
 
 
-def test_first_rows_beyond_the_driver(spark):
-    df = numbers(spark, 5000).repartition(9)
-    assert {r[0] for r in sampling.first_n(df, 1234, driver_rows=10).select("sample_id").collect()} == set(range(1234))
-    assert sampling.first_n(df, 9999, driver_rows=10).count() == 5000
-    assert sampling.first_n(df.limit(0), 50, driver_rows=10).count() == 0
+def test_first_rows(spark):
+    df = numbers(spark, 50000).repartition(9)
+    assert [r[0] for r in sampling.first_n(df, 1234).select("sample_id").collect()] == list(range(1234))
+    assert sampling.first_n(df, 60000).count() == 50000
+    assert sampling.first_n(df.limit(0), 50).count() == 0
 
 
 def test_allocation():

@@ -1,12 +1,10 @@
-"""Lexing, pair metrics, aggregates, error analysis, execution."""
-
-from difflib import SequenceMatcher
+"""Lexing, pair metrics, aggregates, error analysis."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from querymill.functions import lexing, similarity
-from querymill.operators import errors, evaluate, execution, pairing
+from querymill.operators import errors, evaluate, pairing
 from querymill.sources import results as sink
 
 PAIRS = [
@@ -51,7 +49,7 @@ def test_tokens(evaluate_expr):
 def test_exact_match_ignores_layout(rows):
     assert rows[0]["exact_match"] == 1.0 and rows[6]["exact_match"] == 1.0
     assert rows[1]["exact_match"] == 0.0
-    assert rows[0]["token_accuracy"] == 1.0 and rows[0]["edit_distance"] == rows[0]["levenshtein"] == 0
+    assert rows[0]["token_accuracy"] == 1.0 and rows[0]["levenshtein"] == 0
 
 
 def test_token_accuracy_counts_repeats(rows):
@@ -73,14 +71,6 @@ def test_missing_prediction_scores_zero(rows):
         assert r["predicted_complexity"] == "invalid" and r["complexity_match"] == 0
 
 
-def test_edit_distance_uses_matching_blocks(rows, spark):
-    for i, (p, r) in enumerate(PAIRS):
-        df = spark.createDataFrame([(p, r)], "p string, r string")
-        p, r = df.select(lexing.comparable(F.col("p")), lexing.comparable(F.col("r"))).first()
-        expected = len(r) - int(SequenceMatcher(None, p, r).ratio() * len(r))
-        assert rows[i]["edit_distance"] == expected
-
-
 def test_structure(spark):
     df = spark.createDataFrame([("SELECT a, SUM(b) FROM t JOIN s ON x = y LEFT JOIN r ON y = z",)], "s string")
     got = df.select(similarity.structure(F.upper("s"), lexing.tokens(F.col("s")))).first()[0]
@@ -121,18 +111,18 @@ def result_rows(spark, rows):
     schema = (
         "exact_match double, token_accuracy double, structural_similarity double, keyword_f1 double,"
         " keyword_precision double, keyword_recall double, valid boolean, complexity_match int,"
-        " edit_distance int, reference_complexity string"
+        " levenshtein int, reference_complexity string, paired boolean"
     )
     return spark.createDataFrame(rows, schema)
 
 
 def test_aggregates(spark):
-    one = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, True, 1, 0, "simple")
-    two = (0.0, 0.8, 0.9, 0.85, 0.9, 0.8, True, 1, 5, "simple")
+    one = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, True, 1, 0, "simple", True)
+    two = (0.0, 0.8, 0.9, 0.85, 0.9, 0.8, True, 1, 5, "simple", True)
     overall = evaluate.aggregate(result_rows(spark, [one, two])).first()
     assert overall["exact_match_rate"] == 50.0 and overall["valid_sql_rate"] == 100.0
-    assert overall["avg_edit_distance"] == 2.5
-    three = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, True, 1, 0, "complex")
+    assert overall["avg_levenshtein"] == 2.5
+    three = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, True, 1, 0, "complex", True)
     levels = evaluate.aggregate_by_level(result_rows(spark, [one, one, three]))
     got = {r["reference_complexity"]: (r["count"], r["exact_match_rate"]) for r in levels.collect()}
     assert got == {"simple": (2, 100.0), "complex": (1, 100.0)}
@@ -155,59 +145,33 @@ def test_results_survive_csv_and_report(results, spark, tmp_path):
         map(str, results.collect())
     )
     text = sink.render_report(results)
-    assert "Exact Match Rate" in text and "## Simple" in text
+    assert "exact_match_rate" in text and "simple\t" in text
     sink.write_summary_json(results, str(tmp_path / "json"))
     assert '"total_samples":7' in spark.read.text(str(tmp_path / "json")).first()[0]
 
 
-def test_execution(spark):
-    table = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
-    pairs = spark.createDataFrame(
-        [
-            ("SELECT id FROM people", "SELECT id AS other FROM people ORDER BY id DESC"),
-            ("SELECT id FROM people WHERE id = 1", "SELECT id FROM people"),
-            ("SELECT nope FROM people", "SELECT id FROM people"),
-            ("SELECT id FROM elsewhere", "SELECT id FROM people"),
-            ("DROP TABLE people", "SELECT id FROM people"),
-            ("WITH p AS (SELECT id FROM people) SELECT * FROM p", "SELECT id FROM people"),
-            ("SELECT id, name FROM people", "SELECT id FROM people"),
-            ("SELECT id FROM people", "SELECT id AS other FROM people ORDER BY id DESC"),
-        ],
-        "predicted_sql string, reference_sql string",
-    )
-    out = execution.execution_match(pairs, {"people": table})
-    got = {r["predicted_sql"]: (r["execution_match"], r["predicted_executable"]) for r in out.collect()}
-    assert out.count() == 7
-    assert got["SELECT id FROM people"] == (True, True)
-    assert got["SELECT id FROM people WHERE id = 1"] == (False, True)
-    assert got["SELECT nope FROM people"] == (False, False)
-    assert got["SELECT id FROM elsewhere"] == (False, False)
-    assert got["DROP TABLE people"] == (False, False)
-    assert got["WITH p AS (SELECT id FROM people) SELECT * FROM p"] == (True, True)
-    assert got["SELECT id, name FROM people"] == (False, True)
-    joined = evaluate.with_execution(pairs, out, ["predicted_sql", "reference_sql"])
-    assert joined.where("execution_match").count() == 3
-    blank = execution.execution_match(pairs, None)
-    assert blank.where("execution_match IS NULL").count() == 7
-
-
-def test_execution_rates(results):
-    ran = results.withColumns(
-        {"execution_match": F.col("exact_match") == 1, "predicted_executable": F.col("valid")}
-    )
-    row = evaluate.aggregate(ran).first()
-    assert row["execution_accuracy"] == pytest.approx(200 / 7)
-    assert row["predicted_executable_rate"] == pytest.approx(500 / 7)
-    table = {r["reference_complexity"]: r for r in evaluate.aggregate_all(ran).collect()}
-    assert table["all"]["execution_accuracy"] == pytest.approx(200 / 7)
-    assert sum(r["count"] for k, r in table.items() if k != "all") == table["all"]["count"] == 7
-
-
 def test_distances_can_be_left_out(spark):
     preds = spark.createDataFrame([(1, "SELECT 1", True)], "sample_id long, predicted_sql string, valid boolean")
     refs = spark.createDataFrame(
         [(1, "q", "SELECT 1", "simple")], "sample_id long, question string, sql string, complexity string"
     )
-    out = evaluate.evaluate(preds, refs, edit_distance=False, levenshtein=False)
-    assert not {"edit_distance", "levenshtein"} & set(out.columns)
+    out = evaluate.evaluate(preds, refs, levenshtein=False)
+    assert "levenshtein" not in out.columns
     assert evaluate.aggregate(out).first()["exact_match_rate"] == 100.0
+
+
+def test_predictions_without_reference_are_counted(spark):
+    preds = spark.createDataFrame(
+        [(1, "SELECT 1", True), (9, "SELECT 2", True)], "sample_id long, predicted_sql string, valid boolean"
+    )
+    refs = spark.createDataFrame(
+        [(1, "q", "SELECT 1", "simple")], "sample_id long, question string, sql string, complexity string"
+    )
+    out = evaluate.evaluate(preds, refs)
+    assert out.count() == 2 and out.where("paired").count() == 1
+    row = evaluate.aggregate(out).first()
+    assert (row["pairs"], row["unpaired"], row["exact_match_rate"], row["valid_sql_rate"]) == (1, 1, 100.0, 100.0)
+    levels = {r["reference_complexity"]: r["count"] for r in evaluate.aggregate_all(out).collect()}
+    assert levels["all"] == 2 and levels["unpaired"] == 1
+    with pytest.raises(ValueError):
+        evaluate.evaluate(preds, refs, strict=True)

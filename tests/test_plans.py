@@ -9,11 +9,8 @@ from checks import registry
 from checks.views import generations, raw_samples
 from querymill.operators import prepare, reward, sampling
 from querymill.storage import shared_folder, store
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401
 
-PYTHON = {
-    "metric_edit_distance", "eval_compare_models_full", "generate_batches", "profile_prompt_tokens",
-}
 # Work at call time (files, streams, several jobs); their plans are plain scans.
 EAGER = re.compile(r"^(scan|sink|stream|split_exact|split_strat|sample_.*large|sample_evaluation)")
 
@@ -22,11 +19,10 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not EAGER.match(n)))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if not EAGER.match(n)))
 def test_no_python_and_no_single_task_window(spark, sf, name):
-    plan = plan_of(entry.queries()[name](spark, sf))
-    if name not in PYTHON:
-        assert "Python" not in plan and "ArrowEval" not in plan
+    plan = plan_of(registry.QUERIES[name](spark, sf))
+    assert "Python" not in plan and "ArrowEval" not in plan
     lines = plan.splitlines()
     for i, line in enumerate(lines):
         if re.search(r"\bWindow \[", line):

