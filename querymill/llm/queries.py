@@ -28,12 +28,54 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(scanned)
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op1_decontamination"] = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format(_LOWERED.format('text'))}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(_LOWERED.format('text'))} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(w[i : i + 9], ' ') AS words
+  FROM b, unnest(range(1, greatest(1, len(w) - 9) + 1)) t(i) WHERE len(w) > 0),
+places AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS words
+  FROM d, (SELECT DISTINCT k FROM windows), unnest(range(1, len(w) - k + 2)) t(i)),
+hits AS (SELECT doc_id, i, k, item FROM places JOIN windows USING (k, words)),
+hit_words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, k)) t(j) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.rate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rated.select("doc_id", *quality_rules.VERDICT)
 
 
+ORACLES["op2_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) t(i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, unnest(range(0, 3)) t(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, lower(line) AS low
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (SELECT *, len(regexp_extract_all(line, '{quality_rules.SYMBOLS}')) * 100 > n * {quality_rules.MAX_SYMBOLS_PERCENT}
+  OR len(regexp_extract_all(line, '[!?]{{2,}}')) * 100 > n * {quality_rules.MAX_SHOUTS_PERCENT}
+  OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]')
+  OR len(regexp_extract_all(line, ' [|»›·•] | > ')) * 100 > n * {quality_rules.MAX_SEPARATORS_PERCENT}
+  OR regexp_matches(regexp_replace(low, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{quality_rules.NAVIGATION}')
+  OR n <= {quality_rules.BOILERPLATE_WORDS} AND regexp_matches(low, '{"|".join(quality_rules.BOILERPLATE)}') AS failed FROM lines),
+by_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines,
+  CAST(coalesce(sum(n) FILTER (failed), 0) AS BIGINT) AS n_lost_words FROM judged GROUP BY doc_id),
+stats AS (SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  len(regexp_extract_all(text, '{quality_rules.SYMBOLS}')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(covered.n, 0) AS n_repeat_words, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(n_lost_words, 0) AS n_lost_words
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN by_doc USING (doc_id)),
+based AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM stats)
+SELECT *, NOT base_failed AND n_lost_words * 100 <= n_words * {quality_rules.MAX_LOST_PERCENT} AS kept FROM based
+"""
+
+
 @query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
