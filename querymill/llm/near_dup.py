@@ -6,9 +6,9 @@ maximum. Equal bands of registers make candidates, the likelihood of the registe
 smaller and equal estimates a pair's similarity, and what remains is confirmed on the full sets.
 
 Texts with equal sets are one class, worked on through its smallest id. Large buckets never yield all
-their pairs: members meet a few pivots, buckets whose members are already connected are done, and
-what is left in large buckets is split by a second band before more pivots are tried, until no
-untested pair of unconnected members is left.
+their pairs: members first meet the most central one, and buckets whose members are then connected are
+done. Members with so many shingles of their own that no partner in the bucket can be similar enough
+leave it. Only what is left meets more pivots, until no untested pair of unconnected members remains.
 """
 
 from __future__ import annotations
@@ -96,13 +96,22 @@ def _sketches(docs: DataFrame, with_set: bool) -> DataFrame:
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, n, sketch): a row (key, node, n) for each band."""
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
             part = batch.slice(start, 2000)
-            found = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, BANDS)
+            found = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, BANDS)
             keys = mixed(found ^ _SALTS[:BANDS][None, :])
-            nodes = np.repeat(np.asarray(part.column(0)), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
+            node, n = (np.repeat(np.asarray(part.column(i)), BANDS) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(n)], names=["key", "node", "n"])
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, shingles): a row (shingle, node) for each shingle."""
+    for batch in batches:
+        for node, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            shingles = np.frombuffer(packed.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.full(len(shingles), node))], names=["shingle", "node"])
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,23 +176,41 @@ class _Graph:
             edges = store(up.where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "edges")
 
     def open(self, buckets: DataFrame) -> DataFrame:
-        """Buckets (key, node) whose members are not all connected, with labels and sizes; stored."""
-        labelled = store(buckets.hint("merge").join(self.labels, "node"), "labelled")
+        """Buckets (key, node, n) whose members are not all connected, with label and size; stored."""
+        labelled = store(buckets.select("key", "node", "n").hint("merge").join(self.labels, "node"), "labelled")
         sizes = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
         sizes = store(sizes.where("x < y").select("key", "size"), "open-keys")
         return store(labelled.hint("merge").join(sizes, "key"), "open")
 
+    def prune(self, opened: DataFrame) -> DataFrame:
+        """Rows (key, node, n) of members that can still have a partner in their bucket.
+
+        A partner lies in some open bucket. Shingles that no other member of any open bucket has
+        cannot be common, so with ``o`` others the similarity is at most ``o / (n + m - o)``, where
+        ``m`` is the larger of ``o`` and the smallest size in the bucket.
+        """
+        members = store(opened.select("node").distinct(), "members")
+        each = self.nodes.select("node", "shingles").join(members, "node", "left_semi").mapInArrow(_each_shingle, "shingle long, node long")
+        holders = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+        own = store(holders.where("node = last").groupBy("node").agg(F.count("*").alias("own")), "own-shingles")
+        least = store(opened.groupBy("key").agg(F.min("n").alias("least")), "least")
+        known = opened.hint("merge").join(own, "node", "left").withColumn("o", F.col("n") - F.coalesce("own", F.lit(0)))
+        bound = F.col("n") + F.greatest("least", "o") - F.col("o")
+        known = store(known.select("key", "node", "n", "o"), "known")
+        return known.hint("merge").join(least, "key").where(100 * F.col("o") >= SIMILARITY_PERCENT * bound).select("key", "node", "n")
+
 
 def _ordered(left: str = "p", right: str = "node") -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _pivot_pairs(opened: DataFrame, n: int, seed: int) -> DataFrame:
+def _pivot_pairs(opened: DataFrame, labels: DataFrame, n: int, seed: int) -> DataFrame:
     """Every member with ``n`` pivots of its bucket that it is not connected with."""
-    picks = [F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(seed * 1000 + i), "node")).alias(f"p{i}") for i in range(n)]
-    pivots = store(opened.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(n)]))).alias("p")), "pivots")
-    met = opened.hint("merge").join(pivots, "key").where("p.label <> label")
-    return met.select(*_ordered("p.node"))
+    picks = [F.max_by("node", F.xxhash64(F.lit(seed * 1000 + i), "node")).alias(f"p{i}") for i in range(n)]
+    chosen = opened.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(n)]))).alias("p"))
+    named = labels.select(F.col("node").alias("p"), F.col("label").alias("q"))
+    pivots = store(store(chosen, "chosen").hint("merge").join(named, "p"), "pivots")
+    return opened.hint("merge").join(pivots, "key").where("q <> label").select(*_ordered())
 
 
 def _all_pairs(opened: DataFrame) -> DataFrame:
@@ -205,34 +232,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     filled = sketched.where("n > 0")
     classes = store(filled.groupBy("k1", "k2").agg(F.min("node").alias("rep")), "classes")
     members = store(filled.hint("merge").join(classes, ["k1", "k2"]).withColumn("sketch", F.expr("CASE WHEN node = rep THEN sketch END")), "members")
-    bands = members.where("sketch is not null").select("rep", "sketch").mapInArrow(_band_keys, "key long, node long")
-    shared_keys = store(bands.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("size")).where("x < y"), "keys")
-    shared = store(bands.hint("merge").join(shared_keys.select("key", "x"), "key"), "shared")
-    wanted = store(shared.select("node").distinct(), "wanted")
-    nodes = store(_sketches(own.join(wanted, "node", "left_semi"), True).select("node", "n", "sketch", "shingles"), "nodes")
+    bands = members.where("sketch is not null").select("rep", "n", "sketch").mapInArrow(_band_keys, "key long, node long, n long")
+    sizes = bands.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("size"))
+    sizes = store(sizes.where("x < y").select("key", "size"), "sizes")
+    shared = store(bands.hint("merge").join(sizes, "key"), "shared")
+    # The sum of its buckets' sizes tells how central a document is among near copies.
+    central = store(shared.groupBy("node").agg(F.sum("size").alias("mates")), "central")
+    nodes = store(_sketches(own.join(central, "node", "left_semi"), True).select("node", "n", "sketch", "shingles"), "nodes")
     graph = _Graph(nodes)
-    graph.test(shared.where("node <> x").select(*_ordered("x")))
-    buckets, opened = shared.select("key", "node").distinct(), None
-    for seed in (1, 2):
+    ranked = shared.hint("merge").join(central, "node")
+    pivots = store(ranked.groupBy("key").agg(F.max_by("node", "mates").alias("p")), "pivots")
+    graph.test(shared.hint("merge").join(pivots, "key").where("node <> p").select(*_ordered()))
+    buckets, n = shared, PIVOTS
+    while True:
         opened = graph.open(buckets)
         if opened.isEmpty():
             break
-        small, large = opened.where(F.col("size") <= SMALL_BUCKET), opened.where(F.col("size") > SMALL_BUCKET)
-        graph.test(_all_pairs(small).unionByName(_pivot_pairs(large, PIVOTS, seed)))
-        buckets = store(large.select("key", "node"), "large")
-    if not buckets.isEmpty():
-        opened = graph.open(buckets)
-        others = shared.select("node", F.col("key").alias("other"))
-        split = opened.select("node", "key").join(others, "node").where("key <> other")
-        buckets = store(split.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct(), "split")
-    pivots, more = 2 * PIVOTS, True
-    while more:
-        opened = graph.open(buckets)
-        small, large = opened.where(F.col("size") <= pivots), opened.where(F.col("size") > pivots)
-        more = graph.test(_all_pairs(small).unionByName(_pivot_pairs(large, pivots, pivots)))
-        # Buckets up to ``pivots`` members are done; more pivots for the others.
-        buckets, pivots = store(large.select("key", "node"), "large"), 2 * pivots
-        more = more or not buckets.isEmpty()
+        opened = graph.open(graph.prune(opened))
+        small, large = opened.where(F.col("size") <= max(n, SMALL_BUCKET)), opened.where(F.col("size") > max(n, SMALL_BUCKET))
+        graph.test(_all_pairs(small).unionByName(_pivot_pairs(large, graph.labels, n, n)))
+        # Buckets compared in full are done; the others get more pivots.
+        buckets, n = large, 2 * n
     labels = graph.labels.select(F.col("node").alias("rep"), "label")
     return _results(sketched, members, labels, id_col, docs)
 
