@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as Q
-from checks.prep import new_path, processed
+from checks.prep import new_path
 from checks.registry import query, rounded
 from checks.reward import REWARDED, SCORED
 from checks.views import generations, raw_samples
@@ -74,12 +74,12 @@ def _monitored(df):
 
 @query("stream_reward_monitor", SCORED + _MONITOR)
 def stream_monitor(spark, sf_dir):
+    """The files arrive in any order; they span less than the lateness."""
     scored = streaming.score_stream(response_stream(spark, sf_dir))
-    monitored = streaming.reward_monitor(scored)
-    folders = streaming.write_snapshots(
-        monitored, new_path(spark, "snapshots"), new_path(spark, "stream-state")
-    )
-    return _monitored(spark.read.schema(monitored.schema).parquet(folders[-1]))
+    monitored = streaming.reward_monitor(scored, lateness="30 days")
+    path = new_path(spark, "intervals")
+    streaming.write_intervals(monitored, path, new_path(spark, "stream-state")).awaitTermination()
+    return _monitored(streaming.latest_intervals(spark, path))
 
 
 @query("monitor_reward_intervals", SCORED + _MONITOR)

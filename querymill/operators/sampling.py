@@ -171,10 +171,12 @@ def first_n(df: DataFrame, n: int, order: Sequence[str] = ("sample_id",)) -> Dat
             near = df.where((F.col(order[0]) <= top) | F.col(order[0]).isNull())
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = store(near.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__place": place}), "sorted")
-    counts = placed.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    kept = placed.join(offsets, "__part").where(F.col("__before") + F.col("__place") < n)
+    before, parts = 0, []
+    for part, count in placed.groupBy("__part").count().orderBy("__part").collect():
+        parts.append((part, before))  # a row for each sorted partition
+        before += count
+    offsets = df.sparkSession.createDataFrame(parts, "__part int, __before long")
+    kept = placed.join(F.broadcast(offsets), "__part").where(F.col("__before") + F.col("__place") < n)
     return kept.select(*df.columns).orderBy(*order)
 
 

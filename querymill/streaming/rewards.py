@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -71,25 +71,31 @@ def write_available(
     )
 
 
-def write_snapshots(stream: DataFrame, path: str, checkpoint: str) -> list[str]:
-    """Process what is there, writing the complete aggregate after every batch.
+def write_intervals(monitored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there, writing after every batch only the intervals that it changed.
 
-    Nothing is late in this mode; the state is the aggregate itself. Returns the folders written,
-    the last one is current.
+    Update mode: the state holds the intervals that are still open under the watermark, and a
+    repeated batch overwrites its own folder. ``latest_intervals`` reads the current values.
     """
-    folders: list[str] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{path}/snapshot-{batch_id:09d}"
-        batch.write.mode("overwrite").parquet(folder)
-        folders.append(folder)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode("complete")
+    return (
+        monitored.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    return folders
+
+
+def latest_intervals(
+    spark: SparkSession, path: str, by: Sequence[str] = ("model",)
+) -> DataFrame:
+    """The last values written for every interval and group."""
+    written = spark.read.parquet(path)
+    keys = ["interval_start", *by]
+    values = [c for c in written.columns if c not in (*keys, "batch")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, "last.*")

@@ -44,7 +44,7 @@ def test_csv_corpus(spark, tmp_path):
     rows = [(1, 'say "hi"', "a\nb", "SELECT 1, 2")]
     df = spark.createDataFrame(rows, "sample_id long, question string, context string, answer string")
     df.write.options(header=True, escape='"').csv(str(tmp_path / "csv"))
-    assert corpus.read_corpus(spark, str(tmp_path / "csv"), fmt="csv").collect() == df.collect()
+    assert corpus.read_corpus(spark, str(tmp_path / "csv"), fmt="csv", multiLine=True).collect() == df.collect()
 
 
 def test_filter_accounting_of_nothing(spark, sf):

@@ -1,9 +1,8 @@
-"""Streams equal batches; generation runs the callable per batch."""
+"""Streams equal batches; clean-up of generated texts."""
 
 from pyspark.sql import functions as F
 
 from checks.views import generations, raw_samples
-from querymill.functions.prompting import PromptOptions
 from querymill.operators import generate, reward
 from querymill.sources.corpus import stream_corpus
 from querymill.streaming import rewards as streaming
@@ -43,44 +42,29 @@ def test_append_monitor_emits_closed_intervals(spark, sf, tmp_path):
     assert {tuple(r) for r in out.select(*columns).collect()} == want and len(want) == 10
 
 
-def test_snapshots_hold_everything(spark, sf, tmp_path):
+def test_updated_intervals_hold_everything(spark, sf, tmp_path):
     df = timed(spark, sf)
     df.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = stream_corpus(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
-    monitored = streaming.reward_monitor(streaming.score_stream(stream))
-    folders = streaming.write_snapshots(monitored, str(tmp_path / "snap"), str(tmp_path / "state"))
-    last = spark.read.parquet(folders[-1])
+    monitored = streaming.reward_monitor(streaming.score_stream(stream), lateness="30 days")
+    streaming.write_intervals(monitored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    last = streaming.latest_intervals(spark, str(tmp_path / "out"))
     assert last.agg(F.sum("num_samples")).first()[0] == df.count()
+    assert last.groupBy("interval_start", "model").count().where("count > 1").isEmpty()
 
 
-def test_generation(spark, tmp_path):
-    log = str(tmp_path / "loads")
-
-    def make_model():
-        import numpy as np
-
-        with open(log, "a") as f:
-            f.write("x")
-
-        def predict(prompts):
-            assert len(prompts) <= 8
-            return np.array([p + "SELECT a FROM t WHERE x = 1\n\nQuestion: more" for p in prompts], dtype=object)
-
-        return predict
-
-    df = spark.range(100).select(
-        F.col("id").alias("sample_id"),
-        F.when(F.col("id") > 0, F.concat(F.lit("q"), "id")).otherwise("").alias("question"),
-        F.lit("CREATE TABLE t (a INT)").alias("schema"),
-    ).repartition(2)
-    out = generate.generate(
-        df, make_model, batch_size=8, prompts=PromptOptions(template="concise"), stops=generate.STOP_SEQUENCES
-    )
-    rows = out.collect()
-    assert len(rows) == 99
-    assert {r["raw_output"] for r in rows} == {"SELECT a FROM t WHERE x = 1"}
-    assert all(r["parsed"]["valid"] for r in rows)
-    assert len(open(log).read()) <= 9
+def test_state_holds_open_intervals_only(spark, sf, tmp_path):
+    df = timed(spark, sf).where("sample_id < 1000")
+    for i in range(5):
+        df.where(f"sample_id div 200 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stream_corpus(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
+    monitored = streaming.reward_monitor(streaming.score_stream(stream), "100 seconds", "50 seconds")
+    query = streaming.write_intervals(monitored, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    rows = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    # Ten intervals of two models in all, of which at most three are open at a time.
+    assert max(rows) <= 8
+    assert streaming.latest_intervals(spark, str(tmp_path / "out")).agg(F.sum("num_samples")).first()[0] == df.count()
 
 
 def test_stop_sequences(evaluate_expr):
