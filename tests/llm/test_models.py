@@ -147,7 +147,7 @@ def test_reliabilities_of_known_labelers():
     counts = {}
     for _ in range(4000):
         truth = random.random() < 0.3
-        votes = tuple(int(random.random() < (p if truth else q)) for p, q in ((0.95, 0.05), (0.8, 0.2), (0.55, 0.45)))
+        votes = tuple(int(random.random() < (p if truth else q)) for p, q in ((0.95, 0.05), (0.8, 0.2), (0.75, 0.25)))
         counts[votes] = counts.get(votes, 0) + 1
     truth, rates = pii.estimate(counts.items())
     assert rates[0][0] > 0.85 and rates[0][1] < 0.15 and truth[1, 1, 1] > 0.9 > 0.1 > truth[0, 0, 0]
