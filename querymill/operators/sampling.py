@@ -106,6 +106,13 @@ def _with_cuts(
     return joined, {name: F.coalesce(F.col(f"__{name}"), F.lit("")) for name in wanted}
 
 
+def _collected_cuts(keyed: DataFrame, stratum: str, wanted: dict[str, Column]) -> dict[tuple[str, str], Column]:
+    """Cut keys by (stratum, cut) as literals, for one stratum or the three levels; '' without one."""
+    found = _cut_keys(keyed.select(stratum, "__key"), stratum, wanted).collect()
+    keys = {(r[stratum], r["__cut"]): r["__cut_key"] for r in found}
+    return {pair: F.lit(key) for pair, key in keys.items()}
+
+
 def exact_splits(
     df: DataFrame,
     train_size: float = 0.8,
@@ -128,7 +135,11 @@ def exact_splits(
     wanted = {"train": total - rest, "validation": total - test}
     stratum = F.coalesce(F.col(stratify_by).cast("string"), F.lit("")) if stratify_by else F.lit("")
     keyed = df.withColumns({"__stratum": stratum, "__key": sample_key(seed)})
-    joined, cut = _with_cuts(keyed, "__stratum", wanted)
+    if stratify_by:
+        joined, cut = _with_cuts(keyed, "__stratum", wanted)
+    else:
+        joined, keys = keyed, _collected_cuts(keyed, "__stratum", wanted)
+        cut = {name: keys.get(("", name), F.lit("")) for name in wanted}
     key = F.col("__key")
     split = (
         F.when(key <= cut["train"], "train")
@@ -186,10 +197,10 @@ def uniform_sample(df: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
     Rows that agree in every column are drawn together.
     """
     keyed = df.withColumns({"__key": _draw_key(df, seed), "__stratum": F.lit("")})
-    joined, cut = _with_cuts(
+    cuts = _collected_cuts(
         keyed, "__stratum", {"drawn": F.least(F.lit(n).cast("long"), F.col("__total"))}
     )
-    return joined.where(F.col("__key") <= cut["drawn"]).select(*df.columns)
+    return keyed.where(F.col("__key") <= cuts.get(("", "drawn"), F.lit(""))).select(*df.columns)
 
 
 def step_sample(df: DataFrame, n: int, step: int, seed: int = 42) -> DataFrame:
@@ -252,8 +263,9 @@ def evaluation_set(df: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
         return df.limit(0)
     keyed = levels.withColumn("__key", _draw_key(df, seed))
     wanted = {level: F.least(F.lit(s).cast("long"), F.col("__total")) for level, s in shares.items()}
-    joined, cut = _with_cuts(keyed, "complexity", wanted)
+    cuts = _collected_cuts(keyed, "complexity", wanted)
     keep = F.lit(False)
     for level in shares:
-        keep = keep | ((F.col("complexity") == level) & (F.col("__key") <= cut[level]))
-    return joined.where(keep).select(*df.columns)
+        own = cuts.get((level, level), F.lit(""))
+        keep = keep | ((F.col("complexity") == level) & (F.col("__key") <= own))
+    return keyed.where(keep).select(*df.columns)
