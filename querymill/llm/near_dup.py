@@ -8,7 +8,8 @@ smaller and equal estimates a pair's similarity, and what remains is confirmed o
 Texts with equal sets are one class, worked on through its smallest id. Large buckets never yield all
 their pairs: members first meet the most central one, and buckets whose members are then connected are
 done. Members with so many shingles of their own that no partner in the bucket can be similar enough
-leave it. Only what is left meets more pivots, until no untested pair of unconnected members remains.
+leave it. Members of buckets that are still open are then compared by an exact filter: a similar pair
+shares one of the rarest shingles of either, and only unconnected pairs that do are tested.
 """
 
 from __future__ import annotations
@@ -32,9 +33,6 @@ REGISTERS = BANDS * BAND
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Pairs estimated below are not confirmed; for a pair of 0.75 that is six standard deviations off.
 ESTIMATE = 0.5
-#: Buckets of at most so many members are compared in full.
-SMALL_BUCKET = 16
-PIVOTS = 3
 
 _FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SALTS = mixed(np.arange(1001, 1001 + REGISTERS, dtype=np.uint64))
@@ -141,18 +139,10 @@ class _Graph:
     def __init__(self, nodes: DataFrame):
         self.nodes = nodes
         self.labels = store(nodes.select("node", F.col("node").alias("label")).distinct(), "labels")
-        self.tested: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> bool:
-        """Test pairs (a < b), connect what is linked; whether there was any untested pair."""
-        pairs = pairs.select("a", "b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        if pairs.isEmpty():
-            return False
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        linked = pairs
+
+    def test(self, pairs: DataFrame) -> None:
+        """Test pairs (a < b) and connect what is linked."""
+        linked = store(pairs.select("a", "b").distinct(), "pairs")
         for what, check in (("sketch", _estimated), ("shingles", _confirmed)):
             short = {"sketch": "sketch", "shingles": "set"}[what]
             for side in ("a", "b"):
@@ -160,7 +150,6 @@ class _Graph:
                 linked = linked.hint("merge").join(own, side)
             linked = store(linked.mapInArrow(check, "a long, b long"), "linked")
         self.connect(linked)
-        return True
 
     def connect(self, links: DataFrame) -> None:
         """Merge labels along links: each label takes its smallest neighbour until none differs."""
@@ -204,19 +193,32 @@ def _ordered(left: str = "p", right: str = "node") -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _pivot_pairs(opened: DataFrame, labels: DataFrame, n: int, seed: int) -> DataFrame:
-    """Every member with ``n`` pivots of its bucket that it is not connected with."""
-    picks = [F.max_by("node", F.xxhash64(F.lit(seed * 1000 + i), "node")).alias(f"p{i}") for i in range(n)]
-    chosen = opened.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(n)]))).alias("p"))
-    named = labels.select(F.col("node").alias("p"), F.col("label").alias("q"))
-    pivots = store(store(chosen, "chosen").hint("merge").join(named, "p"), "pivots")
-    return opened.hint("merge").join(pivots, "key").where("q <> label").select(*_ordered())
-
+def _rare_pairs(graph: _Graph, opened: DataFrame) -> DataFrame:
+    """Unconnected pairs of open buckets' members that share one of the rarest shingles of both.
 
-def _all_pairs(opened: DataFrame) -> DataFrame:
-    """All unconnected pairs of small buckets."""
-    other = opened.select("key", F.col("node").alias("p"), F.col("label").alias("q"))
-    return opened.join(other, "key").where("node < p and label <> q").select(*_ordered())
+    ``|x & y| >= a`` makes the first ``|x| - a + 1`` shingles of x, rarest first, meet those of y.
+    At 0.75, ``a`` is at least 3/7 of both sizes, and no partner is smaller than three quarters, or
+    than the smallest member of the buckets. Of each shingle the rows of its most frequent label
+    meet the other rows only.
+    """
+    smallest = store(opened.groupBy("key").agg(F.min("n").alias("least")), "smallest")
+    sized = opened.hint("merge").join(smallest, "key").groupBy("node", "label").agg(F.first("n").alias("n"), F.min("least").alias("least"))
+    members = store(sized, "members")
+    each = graph.nodes.select("node", "shingles").join(members.select("node"), "node", "left_semi").mapInArrow(_each_shingle, "shingle long, node long")
+    each = store(each, "shingles")
+    common = store(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    lists = each.hint("merge").join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
+    partner = F.greatest("least", F.ceil(F.col("n") * SIMILARITY_PERCENT / 100))
+    needed = F.ceil(SIMILARITY_PERCENT * (F.col("n") + partner) / (100 + SIMILARITY_PERCENT))
+    own = F.col("n") - F.size("ranked")
+    length = F.greatest(F.col("n") - needed + 1 - own, F.lit(0)).cast("int")
+    first = lists.join(members, "node").select("node", "label", F.explode(F.slice("ranked", 1, length)).alias("r"))
+    rows = store(first.select("node", "label", "r.shingle"), "rare")
+    by_label = rows.groupBy("shingle", "label").agg(F.count("*").alias("k"))
+    top = by_label.groupBy("shingle").agg(F.max_by("label", "k").alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    mixed_ = store(rows.hint("merge").join(store(top, "top"), "shingle"), "mixed")
+    fewer = mixed_.where("label <> top").select("shingle", F.col("node").alias("p"), F.col("label").alias("q"))
+    return mixed_.hint("merge").join(fewer, "shingle").where("label <> q").select(*_ordered())
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,16 +245,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ranked = shared.hint("merge").join(central, "node")
     pivots = store(ranked.groupBy("key").agg(F.max_by("node", "mates").alias("p")), "pivots")
     graph.test(shared.hint("merge").join(pivots, "key").where("node <> p").select(*_ordered()))
-    buckets, n = shared, PIVOTS
-    while True:
-        opened = graph.open(buckets)
-        if opened.isEmpty():
-            break
+    opened = graph.open(shared)
+    if not opened.isEmpty():
         opened = graph.open(graph.prune(opened))
-        small, large = opened.where(F.col("size") <= max(n, SMALL_BUCKET)), opened.where(F.col("size") > max(n, SMALL_BUCKET))
-        graph.test(_all_pairs(small).unionByName(_pivot_pairs(large, graph.labels, n, n)))
-        # Buckets compared in full are done; the others get more pivots.
-        buckets, n = large, 2 * n
+        graph.test(_rare_pairs(graph, opened))
     labels = graph.labels.select(F.col("node").alias("rep"), "label")
     return _results(sketched, members, labels, id_col, docs)
 
