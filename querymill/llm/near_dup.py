@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.llm.words import Words, mixed, slices
@@ -193,32 +193,57 @@ def _ordered(left: str = "p", right: str = "node") -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _rare_pairs(graph: _Graph, opened: DataFrame) -> DataFrame:
-    """Unconnected pairs of open buckets' members that share one of the rarest shingles of both.
+def _rare_shingles(graph: _Graph, opened: DataFrame) -> DataFrame:
+    """Rows (shingle, node, n, place) of the rarest shingles of open buckets' members; stored.
 
     ``|x & y| >= a`` makes the first ``|x| - a + 1`` shingles of x, rarest first, meet those of y.
     At 0.75, ``a`` is at least 3/7 of both sizes, and no partner is smaller than three quarters, or
-    than the smallest member of the buckets. Of each shingle the rows of its most frequent label
-    meet the other rows only.
+    than the smallest member of the buckets. ``place`` counts from 1.
     """
     smallest = store(opened.groupBy("key").agg(F.min("n").alias("least")), "smallest")
-    sized = opened.hint("merge").join(smallest, "key").groupBy("node", "label").agg(F.first("n").alias("n"), F.min("least").alias("least"))
+    sized = opened.hint("merge").join(smallest, "key").groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
     members = store(sized, "members")
     each = graph.nodes.select("node", "shingles").join(members.select("node"), "node", "left_semi").mapInArrow(_each_shingle, "shingle long, node long")
     each = store(each, "shingles")
     common = store(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
     lists = each.hint("merge").join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
     partner = F.greatest("least", F.ceil(F.col("n") * SIMILARITY_PERCENT / 100))
-    needed = F.ceil(SIMILARITY_PERCENT * (F.col("n") + partner) / (100 + SIMILARITY_PERCENT))
     own = F.col("n") - F.size("ranked")
-    length = F.greatest(F.col("n") - needed + 1 - own, F.lit(0)).cast("int")
-    first = lists.join(members, "node").select("node", "label", F.explode(F.slice("ranked", 1, length)).alias("r"))
-    rows = store(first.select("node", "label", "r.shingle"), "rare")
-    by_label = rows.groupBy("shingle", "label").agg(F.count("*").alias("k"))
-    top = by_label.groupBy("shingle").agg(F.max_by("label", "k").alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    mixed_ = store(rows.hint("merge").join(store(top, "top"), "shingle"), "mixed")
-    fewer = mixed_.where("label <> top").select("shingle", F.col("node").alias("p"), F.col("label").alias("q"))
-    return mixed_.hint("merge").join(fewer, "shingle").where("label <> q").select(*_ordered())
+    length = F.greatest(F.col("n") - _needed(F.col("n"), partner) + 1 - own, F.lit(0)).cast("int")
+    first = lists.join(members, "node").select("node", "n", own.alias("own"), F.posexplode(F.slice("ranked", 1, length)).alias("at", "r"))
+    return store(first.select("r.shingle", "node", "n", (F.col("own") + F.col("at") + 1).alias("place")), "rare")
+
+
+def _needed(n: Column, m: Column) -> Column:
+    """Common shingles that a similar pair of these sizes has at least."""
+    return F.ceil(SIMILARITY_PERCENT * (n + m) / (100 + SIMILARITY_PERCENT))
+
+
+def _mixed(graph: _Graph, rows: DataFrame) -> DataFrame:
+    """Rows of shingles that members of several labels hold, with label and most frequent label."""
+    labelled = store(rows.hint("merge").join(graph.labels, "node"), "labelled")
+    by_label = labelled.groupBy("shingle", "label").agg(F.count("*").alias("k"))
+    top = by_label.groupBy("shingle").agg(F.max_by("label", "k").alias("top"), F.count("*").alias("labels"))
+    return store(labelled.hint("merge").join(store(top.where("labels > 1").select("shingle", "top"), "top"), "shingle"), "mixed")
+
+
+def _one_each(mixed_rows: DataFrame) -> DataFrame:
+    """Every member with one holder of each of its shingles, where they are not connected."""
+    one = mixed_rows.groupBy("shingle").agg(F.max_by("node", F.xxhash64("node")).alias("p"), F.max_by("label", F.xxhash64("node")).alias("q"))
+    return mixed_rows.hint("merge").join(store(one, "holders"), "shingle").where("label <> q").select(*_ordered())
+
+
+def _rare_pairs(mixed_rows: DataFrame) -> DataFrame:
+    """Unconnected pairs that share a rare shingle and can still reach the similarity.
+
+    Rows of the most frequent label meet the other rows only. What two members share comes at or
+    after their first common place, so a pair is dropped where too little is left behind it.
+    """
+    fewer = mixed_rows.where("label <> top").select("shingle", *[F.col(c).alias(d) for c, d in (("node", "p"), ("label", "q"), ("n", "m"), ("place", "other"))])
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other"))
+    once = (F.col("label") == F.col("top")) | (F.col("node") < F.col("p"))
+    met = mixed_rows.hint("merge").join(fewer, "shingle")
+    return met.where((F.col("label") != F.col("q")) & once & (left >= _needed(F.col("n"), F.col("m")))).select(*_ordered())
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +273,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     opened = graph.open(shared)
     if not opened.isEmpty():
         opened = graph.open(graph.prune(opened))
-        graph.test(_rare_pairs(graph, opened))
+        rare = _rare_shingles(graph, opened)
+        graph.test(_one_each(_mixed(graph, rare)))
+        graph.test(_rare_pairs(_mixed(graph, rare)))
     labels = graph.labels.select(F.col("node").alias("rep"), "label")
     return _results(sketched, members, labels, id_col, docs)
 
