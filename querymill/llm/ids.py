@@ -2,14 +2,16 @@
 
 Byte-level BPE never merges across the places where its pattern splits a text. A text is cut at
 places that surely are such: before a single space, around a single line feed, and between a letter
-and ASCII punctuation. The ids of each piece are kept by piece, so the ``tokenizers`` library
-encodes a piece about once per worker instead of at every mention. ``Encoder.encode`` equals
-encoding the whole text (tests compare them).
+and ASCII punctuation. The vocabulary's added tokens (``<|endoftext|>``) are pieces of their own, and
+what stands between them is split like a text. The ids of each piece are kept by piece, so the
+``tokenizers`` library encodes a piece about once per worker instead of at every mention.
+``Encoder.encode`` equals encoding the whole text (tests compare them).
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -87,7 +89,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = list(self._tokenizer.get_added_tokens_decoder().values())
+        names = sorted((t.content.encode() for t in added if t.content), key=len, reverse=True)
+        self._added = re.compile(b"|".join(map(re.escape, names))) if names else None
+        # Tokens that take white space with them or ask for word ends: their texts stay whole.
+        self._plain = not any(t.lstrip or t.rstrip or t.single_word for t in added) and len({t.normalized for t in added}) < 2
         self._kept = kept
         self._forget()
 
@@ -102,6 +108,15 @@ class Encoder:
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _added_spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of added tokens in texts, or of the whole texts that hold one."""
+        spans = []
+        if self._added is not None and self._added.search(data):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                found = [m.span() for m in self._added.finditer(data, a, b)]
+                spans += found if self._plain else [(a, b)] * bool(found)
+        return tuple(np.array(spans, np.int64).reshape(-1, 2).T)
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each key, -1 without one."""
         out, slot, open_ = np.full(len(h), -1, np.int32), (h & np.uint64(len(self._slots) - 1)).astype(np.int64), np.arange(len(h))
@@ -141,7 +156,12 @@ class Encoder:
         data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         filled = offsets[:-1] < offsets[1:]
-        starts = cuts(data, np.append(offsets[:-1][filled], len(data)))
+        texts_at = np.append(offsets[:-1][filled], len(data))
+        first, last = self._added_spans(data, texts_at)
+        starts = cuts(data, np.unique(np.concatenate([texts_at, first, last])))
+        if len(first):  # no piece starts inside an added token
+            before = np.searchsorted(first, starts, "left")
+            starts = starts[(before == 0) | (starts >= last[before - 1])]
         ends = np.append(starts[1:], len(data))
         keys, again = span_hashes(data, starts, ends), first_bytes(data, starts, ends)
         entry = self._find(keys)

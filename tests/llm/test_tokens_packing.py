@@ -36,6 +36,38 @@ def test_pieces_equal_whole_texts(encoder):
             assert flat[at[i] : at[i + 1]].tolist() == whole, part[i]
 
 
+def test_added_tokens_as_the_plain_tokenizer(encoder):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(ids.vocabulary())
+    end = "<|endoftext|>"
+    random.seed(4)
+    parts = [end, "<|endof", "text|>", " ", "  ", "\n", "ab", ".", "|", "é", "\u3000", "<"]
+    texts = [f"abc {end} def", end, end * 2, f"{end}\n", f"\n{end}", f"a\n{end} \n b", None, "<|endof", "text|> x", f"'s{end}'s"]
+    texts += ["".join(random.choices(parts, k=random.randint(0, 9))) for _ in range(2000)]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0][1:3] == [220, 50256]
+    whole = ids.Encoder(ids.vocabulary(), kept=200)
+    whole._plain = False  # as with tokens that strip white space
+    for each in (encoder, whole):
+        flat, at = each.encode(pa.array(texts, pa.string()))
+        for i, x in enumerate(want):
+            assert flat[at[i] : at[i + 1]].tolist() == x, texts[i]
+
+
+def test_added_tokens_in_token_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(ids.vocabulary())
+    rows = [(1, "abc <|endoftext|> def"), (2, "after it")]
+    want = {d: plain.encode(t, add_special_tokens=False).ids for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = dac.write(docs, str(tmp_path / "files"))
+    back = dac.read(spark, manifest).orderBy("start").collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist()[:-1] for r in back] == [want[1], want[2]]
+    assert back[1]["start"] == len(want[1]) + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=1500))
 def test_codes_give_random_access(values):
