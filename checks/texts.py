@@ -125,14 +125,24 @@ def sample_turns(spark, sf_dir):
     return drawn.agg(F.lit(1000).cast("long").alias("wanted"), F.count("*").alias("drawn"))
 
 
-@query("scan_csv_corpus", RAW + "SELECT sample_id, question, context, answer FROM raw WHERE question <> '' AND NOT contains(question, chr(10)) AND NOT contains(context, chr(10))")
-def scan_csv(spark, sf_dir):
+def _through_csv(spark, sf_dir):
+    """All raw samples, line breaks, empty texts and nulls included, written as CSV and read again."""
     path = new_path(spark, "raw-csv")
-    raw = raw_samples(spark, sf_dir).where("question <> '' AND NOT contains(question, '\n') AND NOT contains(context, '\n')")
-    raw.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw_samples(spark, sf_dir).write.options(**corpus.CSV).csv(path)
     return corpus.read_corpus(spark, path, fmt="csv")
 
 
+@query("scan_csv_corpus", RAW + "SELECT sample_id, question, context, answer FROM raw WHERE question <> '' AND NOT contains(question, chr(10)) AND NOT contains(context, chr(10))")
+def scan_csv(spark, sf_dir):
+    """One-line samples of the whole corpus."""
+    return _through_csv(spark, sf_dir).where("question <> '' AND NOT contains(question, '\n') AND NOT contains(context, '\n')")
+
+
+@query("scan_csv_whole_corpus", RAW + "SELECT sample_id, question, context, answer FROM raw")
+def scan_csv_whole(spark, sf_dir):
+    return _through_csv(spark, sf_dir)
+
+
 @query(
     "prep_stratified_corpus",
     Q.with_(Q.PREP) + """, held AS (SELECT *, row_number() OVER (PARTITION BY complexity ORDER BY md5('42|' || CAST(sample_id AS STRING))) AS r,

@@ -9,6 +9,12 @@ from pyspark.sql.types import StructType
 from querymill.schemas import RAW
 from querymill.operators.sampling import first_n
 
+# As in ``results``: texts may hold line breaks, and nulls have a marker, so that an empty text stays one.
+CSV = {
+    "header": True, "escape": '"', "multiLine": True, "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
 
 def read_corpus(
     spark: SparkSession,
@@ -20,10 +26,11 @@ def read_corpus(
 ) -> DataFrame:
     """Raw samples with an explicit schema; columns a file lacks come out as null.
 
-    A CSV file whose texts hold line breaks cannot be split among tasks: pass ``multiLine=True`` for
-    such files.
+    In CSV files an unquoted empty field and ``\\N`` are null, a quoted empty field is an empty text,
+    and quoted texts may hold line breaks; such a file is read by one task. ``multiLine=False`` splits
+    large files among tasks and is only for files known to have no line breaks in texts.
     """
-    csv = {"header": True, "escape": '"'} if fmt == "csv" else {}
+    csv = CSV if fmt == "csv" else {}
     reader = spark.read.format(fmt).options(**{**csv, **options})
     if schema is not None:
         if split is not None and "split" not in schema.fieldNames():

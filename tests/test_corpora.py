@@ -47,6 +47,20 @@ def test_csv_corpus(spark, tmp_path):
     assert corpus.read_corpus(spark, str(tmp_path / "csv"), fmt="csv", multiLine=True).collect() == df.collect()
 
 
+def test_csv_corpus_whole_by_default(spark, tmp_path):
+    rows = [(1, "a\nb", None, "SELECT 1"), (2, "", "", ""), (3, " x ", "c\r\nd\re", 'say "hi", \\'), (4, None, "\n", None)]
+    df = spark.createDataFrame(rows, "sample_id long, question string, context string, answer string")
+    df.write.options(**corpus.CSV).csv(str(tmp_path / "csv"))
+    back = corpus.read_corpus(spark, str(tmp_path / "csv"), fmt="csv").orderBy("sample_id").collect()
+    assert [tuple(r) for r in back] == rows
+    plain = spark.createDataFrame([(1, "a\nb", "c", "d")], df.schema)
+    plain.write.options(header=True, escape='"').csv(str(tmp_path / "plain"))
+    assert corpus.read_corpus(spark, str(tmp_path / "plain"), fmt="csv").collect() == plain.collect()
+    one = df.where("sample_id = 2")
+    one.write.options(**corpus.CSV).csv(str(tmp_path / "lines"))
+    assert corpus.read_corpus(spark, str(tmp_path / "lines"), fmt="csv", multiLine=False).collect() == one.collect()
+
+
 def test_filter_accounting_of_nothing(spark, sf):
     empty = prepare.preprocess(raw_samples(spark, sf).limit(0))
     assert tuple(prepare.filter_accounting(empty).first()) == (0, 0, 0.0, 0)
