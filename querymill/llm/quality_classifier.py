@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.llm import features as X
-from querymill.llm.words import Words, slices
+from querymill.llm.words import Words, slices, span_hashes
 
 #: Bounds of the training sample.
 MAX_LABELLED, MAX_POOL = 5_000, 5_000
@@ -38,9 +39,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _names(column: pa.Array) -> np.ndarray:
-    """A number for each short text; null is one of its own."""
-    made = [int.from_bytes((x.encode()[:7] if x is not None else b"\0null"), "little") + 31 * len(x or "") for x in column.to_pylist()]
-    return np.array(made, np.int64)
+    """A hash of each whole name; null is one of its own."""
+    filled = pc.fill_null(column.cast(pa.large_string()), "\0null")
+    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    raw = filled.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw else np.zeros(0, np.uint8)
+    return span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:

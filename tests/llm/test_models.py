@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,23 @@ def test_quality_on_held_out_labels(spark):
     assert sum(not r["kept"] for r in junk) > 0.8 * len(junk)
 
 
+def test_whole_names_tell_sources_apart():
+    names = [f"source_{i:03}" for i in range(1000)] + [f"https://{c}.example" for c in "abc"] + [None, "", "source_", "\u00e9" * 9]
+    numbers = quality_classifier._names(pa.array([*names, *names]).slice(3))
+    assert len(set(numbers.tolist())) == len(names)
+    assert quality_classifier._names(pa.array(names)).tolist()[3:] == numbers[: len(names) - 3].tolist()
+    assert len(quality_classifier._names(pa.array([], pa.string()))) == 0
+    assert len(set(quality_classifier._names(pa.array([None, None], pa.string())).tolist())) == 1
+
+
+def test_metadata_view_learns_sources_with_one_beginning(spark):
+    rows = [(i, "the same text", "en", f"source_{i % 2:03}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    scored = quality_classifier.score(docs, quality_classifier.train(docs, labels)).collect()
+    assert all(r["quality_kept"] == (r["source"] == "source_001") for r in scored)
+
+
 def test_toxicity_on_held_out_labels(spark):
     rows = labelled(spark, SF, "op8_toxicity", "toxic").where("held_out").collect()
     assert auc([(r["score"], r["label"]) for r in rows]) > 0.95
