@@ -297,31 +297,78 @@ def clean(
     """Documents with all columns, without the stretches that match benchmark windows.
 
     A document of which more than ``max_share`` of the words match goes. Texts without a match stay
-    as they are, null texts too; ``chars_col``, if there, follows the new length.
+    as they are, null texts too; ``chars_col``, if there, follows the new length. The number of
+    automata changes nothing: with several, every round of cuts takes the hits of all of them.
     """
-    schema, out = docs.schema, docs
+    schema = docs.schema
     text, chars = schema.names.index(text_col), schema.names.index(chars_col) if chars_col in schema.names else None
-    for automaton in automata(items, window, item_id_col, item_text_col):
+    built = automata(items, window, item_id_col, item_text_col)
+    automaton = next(built)
+    if next(built, None) is not None:
+        built.close()
+        return _clean_in_rounds(docs, items, text, chars, window, max_share, item_id_col, item_text_col)
 
-        def cut(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text):
-                    words = Words(part.column(text), NOT_ALNUM)
-                    found: dict[int, set[str]] = {}
-                    _match(words, automaton, np.zeros(len(words.starts), bool), found)
-                    if not found:
-                        yield part
-                        continue
-                    texts, keep = part.column(text).to_pylist(), np.ones(part.num_rows, bool)
-                    for i in found:
-                        texts[i], _ = cut_text(texts[i], [automaton], max_share)
-                        keep[i] = texts[i] is not None
-                    columns = list(part.columns)
-                    columns[text] = pa.array(texts, columns[text].type)
-                    if chars is not None:
-                        changed = pa.array([i in found for i in range(part.num_rows)])
-                        columns[chars] = pc.if_else(changed, pc.utf8_length(columns[text]).cast(columns[chars].type), columns[chars])
-                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
-
-        out = out.mapInArrow(cut, schema)
-    return out
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                words = Words(part.column(text), NOT_ALNUM)
+                found: dict[int, set[str]] = {}
+                _match(words, automaton, np.zeros(len(words.starts), bool), found)
+                if not found:
+                    yield part
+                    continue
+                texts, keep = part.column(text).to_pylist(), np.ones(part.num_rows, bool)
+                for i in found:
+                    texts[i], _ = cut_text(texts[i], [automaton], max_share)
+                    keep[i] = texts[i] is not None
+                columns = list(part.columns)
+                columns[text] = pa.array(texts, columns[text].type)
+                if chars is not None:
+                    changed = pa.array([i in found for i in range(part.num_rows)])
+                    columns[chars] = pc.if_else(changed, pc.utf8_length(columns[text]).cast(columns[chars].type), columns[chars])
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
+
+    return docs.mapInArrow(cut, schema)
+
+
+def _clean_in_rounds(docs: DataFrame, items: DataFrame, text: int, chars: int | None, window: int, max_share: float, item_id_col: str, item_text_col: str) -> DataFrame:
+    """``clean`` with several automata, as ``cut_text`` does it with a list of them.
+
+    A round scans with all automata, cuts the union of their hits and judges what all rounds removed
+    by the words of the first; what a round changed goes to the next, until nothing is hit.
+    """
+    numbered = docs.select("*", F.monotonically_increasing_id().alias("_row"), F.lit(None).cast("long").alias("_first"), F.lit(0).cast("long").alias("_removed"))
+    left, done = store(numbered, "uncut"), []
+    schema, text_col = left.schema, docs.columns[text]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                words = Words(part.column(text), NOT_ALNUM)
+                texts = []
+                for i, spans in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    kept, at = [], words.offsets[i]
+                    for a, b in zip(*[iter(spans)] * 2):
+                        kept.append(words.data[at : words.starts[words.first[i] + a]].tobytes())
+                        at = words.ends[words.first[i] + b - 1]
+                    texts.append(b"".join([*kept, words.data[at : words.offsets[i + 1]].tobytes()]).decode())
+                columns = list(part.columns[:-1])
+                columns[text] = pa.array(texts, columns[text].type)
+                if chars is not None:
+                    columns[chars] = pc.utf8_length(columns[text]).cast(columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    while True:
+        scanned = scan(left, items, window=window, id_col="_row", text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col)
+        hits = store(scanned.where("n_hit > 0").select("_row", "n_words", "n_hit", "spans"), "hits")
+        if hits.isEmpty():
+            break
+        done.append(left.join(hits.select("_row").hint("merge"), "_row", "left_anti").select(schema.names))
+        own = [left[f"`{c}`"] for c in docs.columns]
+        first, removed = F.coalesce(left["_first"], hits["n_words"]), left["_removed"] + hits["n_hit"]
+        hit = left.join(hits.hint("merge"), left["_row"] == hits["_row"]).where(removed <= max_share * first)
+        left = store(hit.select(*own, left["_row"], first.alias("_first"), removed.alias("_removed"), hits["spans"].alias("_spans")).mapInArrow(cut, schema), "cut")
+    out = left
+    for part in done:
+        out = out.unionByName(part)
+    return out.select([F.col(f"`{c}`") for c in docs.columns])

@@ -88,6 +88,32 @@ def test_clean_cuts_spans_and_drops_covered_documents(spark):
     assert decontaminate.scan(d.sparkSession.createDataFrame(list(out.values()), d.schema), b).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_clean_does_not_depend_on_the_number_of_automata(spark, monkeypatch):
+    rng = random.Random(8)
+    w = [f"w{i}" for i in range(60)]
+    items = [w[0:10], w[10:20], w[20:30], w[30:40]] + [rng.choices(w[:8], k=rng.randint(2, 12)) for _ in range(30)]
+    docs = [
+        " ".join([*w[0:10], "x", *w[10:20], *"abcd"]),  # 20 of 25 words, 10 of each item
+        " ".join([*w[0:5], *w[10:20], *w[5:10], *("y" + str(i) for i in range(90))]),  # a cut joins an item
+        "Nothing — hit\nhere", None, "",
+    ]
+    docs += [" ".join(rng.choices(w[:10], k=rng.randint(5, 60)) + rng.choices(w, k=20)) for _ in range(120)]
+    rows = [(i % 100, t, len(t or ""), "k") for i, t in enumerate(docs)]  # some ids repeat
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, spans string").repartition(3)
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    single = sorted(map(str, decontaminate.clean(d, b).collect()))
+    automaton = next(decontaminate.automata(b))
+    want = {(i, t if t is None else decontaminate.cut_text(t, [automaton], 0.5)[0]) for i, t, _, _ in rows}
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 100)
+    assert len(list(decontaminate.automata(b))) > 5
+    out = decontaminate.clean(d, b)
+    got = out.collect()
+    assert out.columns == d.columns and sorted(map(str, got)) == single
+    assert {(r[0], r[1]) for r in got} == {x for x in want if x[1] is not None} | {(3, None)}
+    assert 0 not in {r["doc_id"] for r in got if r["text"] and "abcd"[0] in r["text"].split()}
+    assert decontaminate.scan(out, b).agg(F.sum("n_hit")).first()[0] == 0
+
+
 def brute_lines(docs, least=10):
     strip, owner = " \t\n\x0b\x0c\r", {}
     for doc, text in docs:
