@@ -15,13 +15,18 @@ from querymill.sources.corpus import stream_corpus
 from querymill.streaming import rewards as streaming
 
 
+def timed_responses(spark, sf_dir):
+    """The responses with an event time."""
+    seconds = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, sample_id)")
+    return generations(spark, sf_dir).withColumn("ts", seconds)
+
+
 def response_stream(spark, sf_dir):
     """The responses as files that arrive one by one, with an event time."""
     from pyspark.sql.types import StructType, TimestampType
 
     path = new_path(spark, "arriving")
-    seconds = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, sample_id)")
-    generations(spark, sf_dir).withColumn("ts", seconds).write.parquet(path)
+    timed_responses(spark, sf_dir).write.parquet(path)
     schema = StructType([*RESPONSE.fields]).add("ts", TimestampType())
     return stream_corpus(spark, path, schema, files_per_trigger=3)
 
@@ -74,9 +79,10 @@ def _monitored(df):
 
 @query("stream_reward_monitor", SCORED + _MONITOR)
 def stream_monitor(spark, sf_dir):
-    """The files arrive in any order; they span less than the lateness."""
+    """The files arrive in any order; the lateness is what they span, so that no row comes late."""
+    lateness = streaming.full_lateness(timed_responses(spark, sf_dir))
     scored = streaming.score_stream(response_stream(spark, sf_dir))
-    monitored = streaming.reward_monitor(scored, lateness="30 days")
+    monitored = streaming.reward_monitor(scored, lateness=lateness)
     path = new_path(spark, "intervals")
     streaming.write_intervals(monitored, path, new_path(spark, "stream-state")).awaitTermination()
     return _monitored(streaming.latest_intervals(spark, path))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks import streams
 from checks.views import generations, raw_samples
 from querymill.operators import generate, reward
 from querymill.sources.corpus import stream_corpus
@@ -53,6 +54,23 @@ def test_updated_intervals_hold_everything(spark, sf, tmp_path):
     assert last.groupBy("interval_start", "model").count().where("count > 1").isEmpty()
 
 
+def test_monitor_keeps_rows_however_far_apart(spark, sf, monkeypatch):
+    """Timestamps span about a year, the latest are in the first files."""
+    far = generations(spark, sf).withColumn("sample_id", F.col("sample_id") * 5000)
+    far = far.repartitionByRange(24, F.desc("sample_id")).cache()
+    monkeypatch.setattr(streams, "generations", lambda *_: far)
+    seen = streams.stream_monitor(spark, sf)
+    assert seen.agg(F.sum("num_samples")).first()[0] == far.count()
+    want = streams.monitor_batch(spark, sf)
+    assert seen.count() == want.count() and seen.exceptAll(want).isEmpty()
+
+
+def test_full_lateness(spark):
+    given = spark.sql("SELECT timestamp'2024-01-01 00:00:00.5' + make_interval(0, 0, 0, 0, 0, 0, id * 4000000) AS ts FROM range(3)")
+    assert streaming.full_lateness(given) == "8000001 seconds"
+    assert streaming.full_lateness(given.limit(0)) == "0 seconds"
+
+
 def test_state_holds_open_intervals_only(spark, sf, tmp_path):
     df = timed(spark, sf).where("sample_id < 1000")
     for i in range(5):
