@@ -12,15 +12,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from querymill.functions.cleaning import LEVELS
 from querymill.storage import store
 
 PREFIX_DIGITS = 4
 SALTS = 64
-# Accuracy of the quantile that narrows an ordered cut.
-QUANTILE_ACCURACY = 10_000
+# Stored keys per task that mark the ranks of an ordered cut.
+MARKS = 1024
 
 
 def sample_key(seed: int | str | Column = 42, sample_id: str = "sample_id") -> Column:
@@ -168,20 +167,29 @@ def _draw_key(df: DataFrame, seed: int | str) -> Column:
 
 
 def first_n(df: DataFrame, n: int, order: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """First n rows in order.
+    """First n rows in order, for any n and any sortable columns, reading ``df`` once.
 
-    A quantile of a numeric first column leaves little more than n rows. These are sorted and stored
-    with their place inside their range partition, and n is met by counting the partitions before.
+    Every task sorts its own rows and stores its first n with their places: no shuffle. Every
+    ``step``-th stored key is a mark that stands for ``step`` rows, so n rows at least are up to the
+    mark of rank ``ceil(n / step)``, and at most ``step`` rows per task more. For up to ``MARKS`` rows
+    every key is a mark and the cut is exact; beyond, the few rows up to the mark are sorted and
+    counted per range. Equal keys are told apart by task and place, nulls come first.
     """
-    near = df
-    if isinstance(df.schema[order[0]].dataType, NumericType):
-        total = df.count()
-        share = (n / total if total else 1.0) + 2 / QUANTILE_ACCURACY
-        if share < 1:
-            top = df.agg(F.percentile_approx(order[0], share, QUANTILE_ACCURACY)).first()[0]
-            near = df.where((F.col(order[0]) <= top) | F.col(order[0]).isNull())
+    step = max(1, -(-n // MARKS))
+    rank = -(-n // step)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = store(near.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__place": place}), "sorted")
+    local = df.sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__place": place})
+    runs = store(local.where(F.col("__place") < n), "first-runs")
+
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*order, "__part", "__place"])])
+    marks = runs.where((F.col("__place") + 1) % step == 0).select(key.alias("__key"))
+    last = marks.orderBy("__key").limit(rank).agg(F.when(F.count("*") == rank, F.max("__key")))
+    near = runs.withColumn("__last", last.scalar()).where(F.col("__last").isNull() | (key <= F.col("__last"))).drop("__last")
+    if step == 1:
+        return near.orderBy(*order, "__part", "__place").select(*df.columns)
+
+    ordered = near.orderBy(*order, "__part", "__place").drop("__part", "__place")
+    placed = store(ordered.withColumns({"__part": F.spark_partition_id(), "__place": place}), "sorted")
     before, parts = 0, []
     for part, count in placed.groupBy("__part").count().orderBy("__part").collect():
         parts.append((part, before))  # a row for each sorted partition

@@ -184,3 +184,50 @@ def test_minimum_lengths(spark, sf):
     df = prepare.preprocess(raw_samples(spark, sf))
     kept = prepare.keep_above_minimum(df, 8, 30)
     assert kept.where(F.length("question") < 8).isEmpty() and kept.where(F.length("sql") < 30).isEmpty()
+
+
+def _counted(spark, rows, schema, slices=9):
+    """A frame that counts how often its rows are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def touch(row):
+        made.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, slices).map(touch), schema), made
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 100, 1500, 4000, 6000])
+def test_first_n_reads_once_for_any_order(spark, monkeypatch, n):
+    monkeypatch.setattr(sampling, "MARKS", 64)
+    rows = [(i, None if i % 11 == 0 else f"t{i * 37 % 400:03d}", i * 91 % 5000) for i in range(5000)]
+    df, made = _counted(spark, rows, "sample_id long, name string, v long")
+    got = sampling.first_n(df, n, ("name", "v")).collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2]))[:n]
+    assert [tuple(r) for r in got] == want
+    assert made.value == len(rows)
+
+
+def test_first_n_with_one_key_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MARKS", 16)
+    df = spark.range(3000).select(F.lit("same").alias("k"), "id")
+    for n in (10, 700, 2999):
+        got = [r[1] for r in sampling.first_n(df, n, ("k",)).collect()]
+        assert len(got) == len(set(got)) == n
+
+
+def test_first_n_shuffles_no_more_than_the_cut(spark, monkeypatch):
+    """Neither the table nor the runs are exchanged by range; what is sorted is little more than n."""
+    plans, sizes = [], []
+
+    def watched(df, name, keep=sampling.store):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        out = keep(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(sampling, "store", watched)
+    df = spark.range(0, 200_000, 1, 16).select((F.xxhash64("id") % 1_000_000).alias("sample_id"))
+    assert sampling.first_n(df, 5000).count() == 5000
+    assert "Exchange" not in dict(plans)["first-runs"]
+    assert dict(sizes)["sorted"] <= 5000 + 16 * 5 + 16
