@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as Q
+from checks.prep import new_path
 from checks.registry import joined, query, rounded
 from checks.views import GENERATIONS_CTE, generations, raw_samples
 from querymill.functions import extraction as X
 from querymill.functions import rubric as R
 from querymill.operators import generate, reward
+from querymill.operators.score_store import ScoreStore
 from querymill.plans import jobs
+from querymill.stored import store_keyed
 
 KEYS = "sample_id, candidate"
 GENS = Q.with_(GENERATIONS_CTE)
@@ -237,6 +240,32 @@ def advantages(spark, sf_dir):
     return rounded(df.select("sample_id", "candidate", "model", "advantage"), 4)
 
 
+BUCKETS = 16
+
+
+@query("reward_score_store", SCORED + f"SELECT {KEYS}, model, round(total, 6) AS total, round(format, 6) AS format FROM scored")
+def score_store(spark, sf_dir):
+    """Half of the responses are scored by an earlier run; the later one scores what is new."""
+    responses, path = _gens(spark, sf_dir), new_path(spark, "scores")
+    ScoreStore(spark, path, BUCKETS).add(responses.where("candidate < 2"))
+    scored = ScoreStore(spark, path, BUCKETS).score(responses)
+    return rounded(scored.select("sample_id", "candidate", "model", "total", "format"))
+
+
+@query(
+    "adv_stored_layout",
+    REWARDED + f"""SELECT {KEYS}, model, round(reward, 6) AS reward, round((reward - avg(reward) OVER w)
+    / (coalesce(stddev_samp(reward) OVER w, 0) + 1e-4), 4) AS advantage
+FROM rewarded WINDOW w AS (PARTITION BY sample_id, model)""",
+)
+def stored_advantages(spark, sf_dir):
+    """Responses and schemas are stored by sample; rewards and advantages are not shuffled."""
+    responses = store_keyed(_gens(spark, sf_dir), new_path(spark, "responses"), "sample_id", BUCKETS)
+    schemas = reward.store_schemas(raw_samples(spark, sf_dir), new_path(spark, "schemas"), BUCKETS)
+    df = jobs.stored_advantages(responses, schemas, new_path(spark, "rewards"), BUCKETS)
+    return df.select("sample_id", "candidate", "model", F.round("reward", 6).alias("reward"), F.round("advantage", 4).alias("advantage"))
+
+
 def with_steps(spark, sf_dir):
     """Candidates stand for training steps 50, 100, 150 and 200."""
     step = (F.col("candidate") + 1) * 50

@@ -10,11 +10,15 @@ from checks.registry import query, rounded
 from checks.reward import REWARDED, SCORED
 from checks.views import generations, raw_samples
 from querymill.operators.prepare import filter_samples, preprocess
+from querymill.operators.reward import store_schemas
 from querymill.schemas import RAW, RESPONSE
 from querymill.sources.corpus import stream_corpus
 from querymill.streaming import rewards as streaming
 
 
+BUCKETS = 16
+
+
 def timed_responses(spark, sf_dir):
     """The responses with an event time."""
     seconds = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, sample_id)")
@@ -53,7 +57,9 @@ def stream_scan(spark, sf_dir):
     REWARDED + "SELECT sample_id, candidate, model, round(total, 6) AS total, round(reward, 6) AS reward FROM rewarded",
 )
 def stream_rewards(spark, sf_dir):
-    scored = streaming.score_stream(response_stream(spark, sf_dir), raw_samples(spark, sf_dir))
+    """The schemas are laid out once; every micro-batch reads them by bucket."""
+    schemas = store_schemas(raw_samples(spark, sf_dir), new_path(spark, "schemas"), BUCKETS)
+    scored = streaming.score_stream(response_stream(spark, sf_dir), schemas=schemas)
     return rounded(
         _run(spark, scored.select("sample_id", "candidate", "model", "total", "reward"))
     )
@@ -79,13 +85,11 @@ def _monitored(df):
 
 @query("stream_reward_monitor", SCORED + _MONITOR)
 def stream_monitor(spark, sf_dir):
-    """The files arrive in any order; the lateness is what they span, so that no row comes late."""
-    lateness = streaming.full_lateness(timed_responses(spark, sf_dir))
-    scored = streaming.score_stream(response_stream(spark, sf_dir))
-    monitored = streaming.reward_monitor(scored, lateness=lateness)
+    """The files arrive in any order; rows of any age add to their interval."""
     path = new_path(spark, "intervals")
-    streaming.write_intervals(monitored, path, new_path(spark, "stream-state")).awaitTermination()
-    return _monitored(streaming.latest_intervals(spark, path))
+    scored = streaming.score_stream(response_stream(spark, sf_dir))
+    streaming.write_partials(scored, path, new_path(spark, "stream-state"), compact_after=3).awaitTermination()
+    return _monitored(streaming.merged_intervals(spark, path))
 
 
 @query("monitor_reward_intervals", SCORED + _MONITOR)

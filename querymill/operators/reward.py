@@ -7,7 +7,7 @@ joins carry scores and short name lists instead of texts wherever the result all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions import rubric as R
@@ -19,6 +19,7 @@ from querymill.operators.columns import percent
 from querymill.operators.pairing import unbroadcast
 from querymill.operators.sampling import top_n_per_group
 from querymill.storage import store
+from querymill.stored import Keyed, join_keyed, store_bucketed
 
 
 def add_scores(
@@ -99,9 +100,33 @@ def score_distinct(
     return keyed.join(unbroadcast(scores), "__digest", "left").drop("__digest")
 
 
+def schema_dictionary(samples: DataFrame, context: str = "context") -> DataFrame:
+    """``__digest, __tables``: known table names, read once for every distinct schema text.
+
+    Repeats of a text are gone after the map-side part of the grouping, which goes by a 128-bit digest.
+    """
+    text = or_empty(F.col(context))
+    keyed = samples.select(F.md5(text).alias("__digest"), text.alias("__text"))
+    texts = keyed.dropDuplicates(["__digest"])
+    return texts.select("__digest", known_tables(F.col("__text")).alias("__tables"))
+
+
 def schema_lists(samples: DataFrame, context: str = "context") -> DataFrame:
-    """``sample_id, __tables``: known table names, read once per sample and not per response."""
-    return samples.select("sample_id", known_tables(F.col(context)).alias("__tables"))
+    """``sample_id, __tables``: known table names per sample, by way of the dictionary.
+
+    The join carries digests and name lists, no schema texts; AQE splits a digest that many share.
+    """
+    keyed = samples.select("sample_id", F.md5(or_empty(F.col(context))).alias("__digest"))
+    listed = keyed.join(unbroadcast(schema_dictionary(samples, context)), "__digest", "left")
+    return listed.select("sample_id", "__tables")
+
+
+def store_schemas(samples: DataFrame, path: str, buckets: int, context: str = "context") -> DataFrame:
+    """Lay the known tables of every sample out once, bucketed by ``sample_id``, for many scorings.
+
+    Scoring against it parses no schema and shuffles the responses' side only.
+    """
+    return store_bucketed(schema_lists(samples, context), path, "sample_id", buckets)
 
 
 def schema_penalty(sql: Column, names: Column, tables: Column) -> Column:
@@ -117,16 +142,19 @@ def rewards(
     response: str = "response",
     context: str = "context",
     opts: RubricOptions = RubricOptions(),
+    schemas: DataFrame | None = None,
 ) -> DataFrame:
     """Scores plus ``reward``: the total, reduced when the schema of the sample is not used.
 
-    Without ``samples`` the reward is the total.
+    ``schemas`` takes the place of ``samples``: a table of ``store_schemas``. Without either the
+    reward is the total.
     """
     scored = add_scores(responses, response, opts)
-    if samples is None:
+    if samples is None and schemas is None:
         return scored.withColumn("reward", F.col("total"))
+    lists = schema_lists(samples, context) if schemas is None else schemas
     named = scored.withColumn("__names", query_tables(F.col("extracted_sql")))
-    joined = named.join(unbroadcast(schema_lists(samples, context)), "sample_id", "left")
+    joined = named.join(unbroadcast(lists), "sample_id", "left")
     factor = schema_penalty(F.col("extracted_sql"), F.col("__names"), F.col("__tables"))
     reward = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("total") * factor))
     return joined.withColumn("reward", reward).drop("__names", "__tables")
@@ -215,6 +243,32 @@ def relative_advantage(
     )
 
 
+def keyed_rewards(responses: Keyed, schemas: DataFrame, opts: RubricOptions = RubricOptions()) -> Keyed:
+    """``rewards`` of stored responses against stored schemas in as many buckets: no shuffle."""
+
+    def score(joined: DataFrame) -> DataFrame:
+        scored = add_scores(joined, "response", opts)
+        sql = F.col("extracted_sql")
+        reward = F.col("total") * schema_penalty(sql, query_tables(sql), F.col("__tables"))
+        return scored.withColumn("reward", F.greatest(F.lit(0.0), F.least(F.lit(1.0), reward))).drop("__tables")
+
+    return join_keyed(responses, schemas, "left").each(score)
+
+
+def keyed_advantage(
+    rewarded: Keyed, group: tuple[str, ...] = ("sample_id", "model"), reward: str = "reward", epsilon: float = 1e-4
+) -> DataFrame:
+    """``relative_advantage`` over a stored layout: a group of an ordinary key lies in one bucket.
+
+    Ordinary groups are bounded, so a window takes them where they lie, without a shuffle. Hot
+    samples, kept apart, go by stored moments as unstored rewards do.
+    """
+    own = Window.partitionBy(*group)
+    scale = F.coalesce(F.stddev_samp(reward).over(own), F.lit(0.0)) + F.lit(epsilon)
+    cold = rewarded.cold.withColumn("advantage", (F.col(reward) - F.avg(reward).over(own)) / scale)
+    return cold.unionByName(relative_advantage(rewarded.hot, group, reward, epsilon)) if rewarded.hot_keys else cold
+
+
 def step_evaluation(
     responses: DataFrame, eval_frequency: int, step: str = "step", response: str = "response",
     opts: RubricOptions = RubricOptions(),

@@ -13,9 +13,10 @@ from querymill.operators.prepare import (
     preprocess,
 )
 from querymill.operators.profile import split_summary
-from querymill.operators.reward import relative_advantage, rewards
+from querymill.operators.reward import keyed_advantage, keyed_rewards, relative_advantage, rewards
 from querymill.operators.sampling import ensure_splits
 from querymill.storage import store
+from querymill.stored import Keyed
 from querymill.sources.corpus import write_processed
 
 
@@ -61,6 +62,17 @@ def advantages(
     return relative_advantage(store(narrow, "rewards"))
 
 
+def stored_advantages(responses: Keyed, schemas: DataFrame, path: str, buckets: int, opts: RubricOptions = RubricOptions()) -> DataFrame:
+    """``advantages`` of responses and schemas that are stored in as many buckets.
+
+    From the responses to the advantages no row of an ordinary sample is shuffled: rewards are written
+    into the buckets that the responses were read from.
+    """
+    columns = ("sample_id", "model", "candidate", "total", "reward")
+    rewarded = keyed_rewards(responses, schemas, opts).each(lambda rows: rows.select(*columns))
+    return keyed_advantage(rewarded.stored(path, buckets))
+
+
 def benchmark_models(
     responses: DataFrame, processed: DataFrame, levenshtein: bool = False, strict: bool = False
 ) -> DataFrame:
