@@ -125,21 +125,22 @@ def sample_turns(spark, sf_dir):
     return drawn.agg(F.lit(1000).cast("long").alias("wanted"), F.count("*").alias("drawn"))
 
 
-def _through_csv(spark, sf_dir):
+def _through_csv(spark, sf_dir, **options):
     """All raw samples, line breaks, empty texts and nulls included, written as CSV and read again."""
     path = new_path(spark, "raw-csv")
     raw_samples(spark, sf_dir).write.options(**corpus.CSV).csv(path)
-    return corpus.read_corpus(spark, path, fmt="csv")
+    return corpus.read_corpus(spark, path, fmt="csv", **options)
 
 
-@query("scan_csv_corpus", RAW + "SELECT sample_id, question, context, answer FROM raw WHERE question <> '' AND NOT contains(question, chr(10)) AND NOT contains(context, chr(10))")
+@query("scan_csv_corpus", RAW + "SELECT sample_id, question, context, answer FROM raw")
 def scan_csv(spark, sf_dir):
-    """One-line samples of the whole corpus."""
-    return _through_csv(spark, sf_dir).where("question <> '' AND NOT contains(question, '\n') AND NOT contains(context, '\n')")
+    """One task per file, for quotes of any kind."""
+    return _through_csv(spark, sf_dir, multiLine=True)
 
 
 @query("scan_csv_whole_corpus", RAW + "SELECT sample_id, question, context, answer FROM raw")
 def scan_csv_whole(spark, sf_dir):
+    """Many tasks per file."""
     return _through_csv(spark, sf_dir)
 
 

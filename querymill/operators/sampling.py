@@ -8,7 +8,7 @@ digits of the key tells in which bucket a cut falls, and only that bucket is ran
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,37 +59,59 @@ def assign_splits(
     return df.withColumn("split", split)
 
 
-def _inside(bucketed: DataFrame, stratum: str, digits: int, wanted: DataFrame) -> DataFrame:
-    """Rows of those key prefixes in which a wanted rank falls, with the rank left inside.
+def _met(
+    rows: DataFrame, stratum: str, digits: int, ranks: DataFrame | Callable[[DataFrame], DataFrame], within: tuple[str, ...] = ()
+) -> DataFrame:
+    """Key prefixes in which a wanted rank falls: their rows, least key, the cut and the rank left inside.
 
-    ``wanted`` has one row per stratum and cut; the histogram has a row per prefix.
+    The histogram has a row per stratum and prefix, and no input row is repeated. ``ranks`` has the
+    wanted ranks of a stratum (inside the prefix ``within`` that an earlier step found) as one array, or
+    adds them to the histogram.
     """
-    prefix = F.substring("__key", 1, digits)
-    histogram = bucketed.groupBy(stratum, "__cut", prefix.alias("__bucket")).agg(F.count("*").alias("__n"))
-    running = Window.partitionBy(stratum, "__cut").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    upto = histogram.withColumn("__upto", F.sum("__n").over(running)).join(wanted, [stratum, "__cut"])
+    bucket = F.substring("__key", 1, digits).alias("__bucket")
+    histogram = rows.groupBy(stratum, *within, bucket).agg(F.count("*").alias("__n"), F.min("__key").alias("__least"))
+    running = Window.partitionBy(stratum, *within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = histogram.withColumn("__upto", F.sum("__n").over(running))
+    wanted = upto.join(ranks, [stratum, *within]) if isinstance(ranks, DataFrame) else ranks(upto)
     before = F.col("__upto") - F.col("__n")
-    met = upto.where((before < F.col("__rank")) & (F.col("__rank") <= F.col("__upto")))
-    left = met.select(stratum, "__cut", "__bucket", (F.col("__rank") - before).alias("__rank"))
-    return bucketed.drop("__rank").withColumn("__bucket", prefix).join(left, [stratum, "__cut", "__bucket"]).drop("__bucket")
+    inside = F.filter("__ranks", lambda r: (before < r["__rank"]) & (r["__rank"] <= F.col("__upto")))
+    left = F.transform(inside, lambda r: F.struct(r["__cut"].alias("__cut"), (r["__rank"] - before).alias("__rank")))
+    return wanted.select(stratum, "__bucket", "__n", "__least", F.inline(left))
+
+
+def _open(met: DataFrame, stratum: str, name: str) -> DataFrame:
+    """Prefixes of more than one row, with all the ranks that fall into each."""
+    ranks = F.collect_list(F.struct("__cut", "__rank")).alias("__ranks")
+    return met.where("__n > 1").groupBy(stratum, F.col("__bucket").alias(name)).agg(ranks)
 
 
 def _cut_keys(keyed: DataFrame, stratum: str, wanted: dict[str, Column]) -> DataFrame:
     """Largest key inside each wanted rank, one row per stratum and cut.
 
     ``keyed`` has the stratum and ``__key``; ``wanted`` maps a cut name to a rank computed from
-    ``__total``. Two histograms over key prefixes, the second inside the bucket that the first
-    found, leave one row in four billion to be ranked.
+    ``__total``. A prefix of one row gives the key at once, as most do in small strata, of which there
+    may be millions. A second histogram inside the other prefixes leaves one row in four billion to
+    be ranked.
     """
-    names = F.array(*[F.struct(F.lit(n).alias("__cut"), r.cast("long").alias("__rank")) for n, r in wanted.items()])
-    totals = keyed.groupBy(stratum).agg(F.count("*").alias("__total"))
-    ranks = totals.select(stratum, F.inline(names))
-    rows = keyed.withColumn("__cut", F.explode(F.array(*[F.lit(n) for n in wanted])))
-    coarse = _inside(rows, stratum, PREFIX_DIGITS, ranks)
-    fine = _inside(coarse, stratum, 2 * PREFIX_DIGITS, coarse.select(stratum, "__cut", "__rank").distinct())
-    inside = Window.partitionBy(stratum, "__cut").orderBy("__key")
-    ranked = fine.withColumn("__row", F.row_number().over(inside)).where("__row = __rank")
-    return ranked.select(stratum, "__cut", F.col("__key").alias("__cut_key"))
+
+    def from_total(upto: DataFrame) -> DataFrame:
+        names = F.array(*[F.struct(F.lit(n).alias("__cut"), r.cast("long").alias("__rank")) for n, r in wanted.items()])
+        total = F.sum("__n").over(Window.partitionBy(stratum))
+        return upto.withColumn("__total", total).withColumn("__ranks", names)
+
+    def found(met: DataFrame) -> DataFrame:
+        return met.where("__n = 1").select(stratum, "__cut", F.col("__least").alias("__cut_key"))
+
+    first = store(_met(keyed, stratum, PREFIX_DIGITS, from_total), "cuts")
+    open_first = _open(first, stratum, "__first")
+    near = keyed.withColumn("__first", F.substring("__key", 1, PREFIX_DIGITS)).join(open_first.drop("__ranks"), [stratum, "__first"])
+    second = store(_met(near, stratum, 2 * PREFIX_DIGITS, open_first, ("__first",)), "cuts")
+    open_second = _open(second, stratum, "__second")
+    last = keyed.withColumn("__second", F.substring("__key", 1, 2 * PREFIX_DIGITS)).join(open_second, [stratum, "__second"])
+    place = F.row_number().over(Window.partitionBy(stratum, "__second").orderBy("__key"))
+    hit = F.filter("__ranks", lambda r: r["__rank"] == F.col("__row"))
+    ranked = last.withColumn("__row", place).select(stratum, F.inline(hit), F.col("__key").alias("__cut_key"))
+    return found(first).unionByName(found(second)).unionByName(ranked.drop("__rank"))
 
 
 def _with_cuts(

@@ -8,12 +8,13 @@ from pyspark.sql.types import StructType
 
 from querymill.schemas import RAW
 from querymill.operators.sampling import first_n
+from querymill.sources.records import read_records
 
 # As in ``results``: texts may hold line breaks, and nulls have a marker, so that an empty text stays one.
-CSV = {
-    "header": True, "escape": '"', "multiLine": True, "nullValue": "\\N",
-    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+FIELDS = {
+    "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
+CSV = {"header": True, **FIELDS}
 
 
 def read_corpus(
@@ -27,9 +28,14 @@ def read_corpus(
     """Raw samples with an explicit schema; columns a file lacks come out as null.
 
     In CSV files an unquoted empty field and ``\\N`` are null, a quoted empty field is an empty text,
-    and quoted texts may hold line breaks; such a file is read by one task. ``multiLine=False`` splits
-    large files among tasks and is only for files known to have no line breaks in texts.
+    and quoted texts may hold line breaks. With a schema, many tasks read a large file
+    (``records.read_records``, in which quotes are doubled). ``multiLine=True`` reads a file in one
+    task, whatever its quotes; ``multiLine=False`` is for files known to have no line breaks in texts.
     """
+    if fmt == "csv" and schema is not None and "multiLine" not in options:
+        whole = schema if split is None or "split" in schema.fieldNames() else StructType([*schema.fields]).add("split", "string")
+        df = read_records(spark, path, whole, **{**CSV, **options})
+        return df if split is None else df.where(F.col("split") == split)
     csv = CSV if fmt == "csv" else {}
     reader = spark.read.format(fmt).options(**{**csv, **options})
     if schema is not None:

@@ -7,21 +7,17 @@ from pyspark.sql import functions as F
 
 from querymill.operators.evaluate import aggregate_all, report_rows
 from querymill.schemas import RESULT
-
-# Nulls get a marker of their own, so that an empty text stays an empty text. Texts may hold line
-# breaks; the files are as many as the tasks that wrote them, and are read one per task.
-_CSV = {
-    "header": True, "escape": '"', "multiLine": True, "nullValue": "\\N",
-    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
-}
-
+from querymill.sources.corpus import CSV
+from querymill.sources.records import read_records
 
 def write_results_csv(results: DataFrame, path: str) -> None:
-    results.write.options(**_CSV).mode("overwrite").csv(path)
+    """Nulls get a marker of their own, so that an empty text stays one; texts may hold line breaks."""
+    results.write.options(**CSV).mode("overwrite").csv(path)
 
 
 def read_results_csv(spark: SparkSession, path: str, schema=RESULT) -> DataFrame:
-    return spark.read.options(**_CSV).schema(schema).csv(path)
+    """Many tasks read a large file."""
+    return read_records(spark, path, schema, **CSV)
 
 
 def summary(results: DataFrame) -> DataFrame:

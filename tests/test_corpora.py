@@ -231,3 +231,29 @@ def test_first_n_shuffles_no_more_than_the_cut(spark, monkeypatch):
     assert sampling.first_n(df, 5000).count() == 5000
     assert "Exchange" not in dict(plans)["first-runs"]
     assert dict(sizes)["sorted"] <= 5000 + 16 * 5 + 16
+
+
+def test_many_strata_are_cut_without_repeating_rows(spark):
+    """200,000 strata, one of them with a third of the rows; sizes are exact in each."""
+    small = spark.range(800_000).select(F.col("id").alias("sample_id"), F.concat(F.lit("s"), F.col("id") % 200_000).alias("kind"))
+    big = spark.range(800_000, 1_200_000).select(F.col("id").alias("sample_id"), F.lit("s3").alias("kind"))
+    got = sampling.exact_splits(small.union(big), 0.5, 0.25, 0.25, stratify_by="kind")
+    counts = got.groupBy("kind").pivot("split", ["train", "validation", "test"]).count().na.fill(0)
+    rows = counts.groupBy("train", "validation", "test").count().collect()
+    assert sorted(map(tuple, rows)) == [(2, 1, 1, 199_999), (200_002, 100_001, 100_001, 1)]
+
+
+def test_cut_keys_read_no_row_twice_over(spark):
+    keyed = spark.range(5000).select((F.col("id") % 3).cast("string").alias("k"), sampling.sample_key(1, "id").alias("__key"))
+    wanted = {"a": F.lit(10), "b": F.col("__total") - 5, "c": F.lit(0), "d": F.col("__total")}
+    cuts = {(r["k"], r["__cut"]): r["__cut_key"] for r in sampling._cut_keys(keyed, "k", wanted).collect()}
+    rows = {}
+    for r in keyed.collect():
+        rows.setdefault(r["k"], []).append(r["__key"])
+    want = {}
+    for k, keys in rows.items():
+        keys.sort()
+        want |= {(k, "a"): keys[9], (k, "b"): keys[-6], (k, "d"): keys[-1]}
+    assert cuts == want
+    plan = sampling._met(keyed, "k", 4, lambda h: h.withColumn("__ranks", F.array(F.struct(F.lit("a").alias("__cut"), F.lit(1).alias("__rank")))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1  # of the few ranks met, above the histogram
