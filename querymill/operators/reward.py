@@ -114,10 +114,11 @@ def schema_dictionary(samples: DataFrame, context: str = "context") -> DataFrame
 def schema_lists(samples: DataFrame, context: str = "context") -> DataFrame:
     """``sample_id, __tables``: known table names per sample, by way of the dictionary.
 
-    The join carries digests and name lists, no schema texts; AQE splits a digest that many share.
+    The join carries digests and name lists, no schema texts. The dictionary is stored, so that both
+    sides are plain shuffles and AQE splits a digest that many samples share.
     """
     keyed = samples.select("sample_id", F.md5(or_empty(F.col(context))).alias("__digest"))
-    listed = keyed.join(unbroadcast(schema_dictionary(samples, context)), "__digest", "left")
+    listed = keyed.join(unbroadcast(store(schema_dictionary(samples, context), "schemas")), "__digest", "left")
     return listed.select("sample_id", "__tables")
 
 
