@@ -10,7 +10,7 @@ stay; the classifier decides on the others.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,11 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Looser patterns of candidates beside the base.
-LOOSE_EMAIL = r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,63}+)++"
+_DOT = r"(?: ?(?:\[dot\]|\(dot\)| dot ) ?|\.)"
+LOOSE_EMAIL = (
+    r"(?i)[A-Z0-9._%+-]{1,64}+(?: ?(?:\[at\]|\(at\)) ?[A-Z0-9-]{1,63}+(?:" + _DOT + r"[A-Z0-9-]{2,63}+)++"
+    r"| at [A-Z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Z0-9-]{2,63}+)++)"
+)
 LOOSE_PHONE = r"(?<![0-9+.-])(?<!\+[0-9]{1,3} )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SECRET = r"""(?<=(?i:token|secret|password|passwd|key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9/+_.-]{16,}+"""
 _SECRET_SIGN = r"""[=:]\s{0,3}["']?[A-Za-z0-9/+_.-]{16}"""
@@ -55,20 +59,85 @@ THRESHOLD = 0.5
 SPAN = "struct<kind:int,start:int,end:int,base:boolean,pattern:int,gazetteer:int,context:int>"
 
 
+#: Elements that one inner fold of ``scanned`` appends to an array: appending copies what is there.
+_STRIDE = 64
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scanned(
+    items: Column, zero: Column, fold: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column],
+    emit: Callable[[Column, Column], Column], kind: str,
+) -> Column:
+    """``emit(state, x)`` for every element, where the state is the fold of the elements before it.
+
+    Strides are folded on their own, their states merged from left to right, and each stride is then
+    gone through from its own state, so that the time is in proportion to the elements.
+    """
+
+    def whole(p: Column) -> Column:
+        count = F.size(p)
+        strides = F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / _STRIDE).cast("int"))).otherwise(F.array().cast("array<int>"))
+        places = lambda b: F.sequence(b * _STRIDE, F.least((b + 1) * _STRIDE, count) - 1)
+        totals = F.transform(strides, lambda b: F.aggregate(places(b), zero, lambda a, j: fold(a, F.get(p, j))))
+        before = F.aggregate(totals, F.array(zero), lambda a, t: F.concat(a, F.array(merge(F.element_at(a, -1), t))))
+
+        def one(states: Column, b: Column) -> Column:
+            start = F.struct(F.get(states, b).alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+            step = lambda a, j: F.struct(
+                fold(a["state"], F.get(p, j)).alias("state"), F.concat(a["out"], F.array(emit(a["state"], F.get(p, j)))).alias("out")
+            )
+            return F.aggregate(places(b), start, step, lambda a: a["out"])
+
+        return _bound(before, lambda states: F.flatten(F.transform(strides, lambda b: one(states, b))))
+
+    return _bound(items, whole)
+
+
 def find_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as structs (match, start, end), in code points."""
+    """Leftmost non-overlapping matches as structs (match, start, end, before), in code points.
+
+    ``before`` has the last characters in front of the match.
+    """
     parts = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("match"), F.split(text, pattern, -1).alias("gap")
     )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int,end:int>>").alias("found"))
+    tail = lambda x: F.right(x, F.lit(CONTEXT_CHARS))
+
+    def state(at: Column, before: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), before.alias("before"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(x["match"].alias("match"), start.cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.concat(a["found"], F.array(span)).alias("found"))
+    def fold(a: Column, x: Column) -> Column:
+        return state(a["at"] + F.length(x["gap"]) + F.length(x["match"]), tail(F.concat(a["before"], tail(x["gap"]), tail(x["match"]))))
 
-    return F.aggregate(F.filter(parts, lambda x: x["match"].isNotNull()), empty, step, lambda a: a["found"])
+    def emit(a: Column, x: Column) -> Column:
+        start = (a["at"] + F.length(x["gap"])).cast("int")
+        end = (start + F.length(x["match"])).cast("int")
+        return F.struct(x["match"].alias("match"), start.alias("start"), end.alias("end"), tail(F.concat(a["before"], tail(x["gap"]))).alias("before"))
+
+    merge = lambda a, t: state(a["at"] + t["at"], tail(F.concat(a["before"], t["before"])))
+    matches = F.filter(parts, lambda x: x["match"].isNotNull())
+    return scanned(matches, state(F.lit(0), F.lit("")), fold, merge, emit, "struct<match:string,start:int,end:int,before:string>")
+
+
+def without_overlap(spans: Column, others: Column) -> Column:
+    """Spans that overlap none of the others; arrays of structs (kind, start, end)."""
+    mark = lambda s, own: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(own).alias("own"))
+    events = F.sort_array(F.concat(F.transform(spans, lambda s: mark(s, True)), F.transform(others, lambda s: mark(s, False))))
+    kind = "struct<start:int,end:int,kind:int,own:boolean,{}:int>"
+    keep = lambda x, name, value: F.struct(*[x[c].alias(c) for c in ("start", "end", "kind", "own")], value.alias(name))
+    last, first = F.lit(-1), F.lit(2**31 - 1)
+    # the furthest end of others that begin before, then the nearest begin of others that come after
+    reach = lambda a, x: F.greatest(a, F.when(x["own"], last).otherwise(x["end"]))
+    ahead = scanned(events, last, reach, F.greatest, lambda a, x: keep(x, "reach", a), kind.format("reach"))
+    free = F.filter(ahead, lambda x: ~x["own"] | (x["reach"] <= x["start"]))
+    near = lambda a, x: F.least(a, F.when(x["own"], first).otherwise(x["start"]))
+    back = scanned(F.reverse(free), first, near, F.least, lambda a, x: keep(x, "next", a), kind.format("next"))
+    kept = F.filter(back, lambda x: x["own"] & (x["next"] >= x["end"]))
+    return F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def _digits(match: Column) -> Column:
@@ -103,7 +172,6 @@ def _candidates(text: Column, kind: str, pattern: str, sign: Column, base: bool)
     number = KINDS.index(kind)
 
     def vote(x: Column) -> Column:
-        before = F.substr(text, F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
         strict = _passes(kind, x["match"]) if base else F.lit(kind == "secret")
         return F.struct(
             F.lit(number).alias("kind"),
@@ -112,7 +180,7 @@ def _candidates(text: Column, kind: str, pattern: str, sign: Column, base: bool)
             (strict & F.lit(base)).alias("base"),
             strict.cast("int").alias("pattern"),
             x["match"].rlike(GAZETTEER[kind]).cast("int").alias("gazetteer"),
-            before.rlike(CONTEXT[kind]).cast("int").alias("context"),
+            x["before"].rlike(CONTEXT[kind]).cast("int").alias("context"),
         )
 
     return F.when(sign, F.transform(find_spans(text, pattern), vote)).otherwise(F.array().cast(f"array<{SPAN}>"))
@@ -129,7 +197,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         _candidates(text, "ip", IP, text.rlike(r"[0-9]\.[0-9]"), True),
         _candidates(text, "card", CARD, text.rlike(r"[0-9](?:[ -]?[0-9]){12}"), True),
         _candidates(text, "phone", PHONE, text.contains("+"), True),
-        _candidates(text, "email", LOOSE_EMAIL, text.rlike(r"(?i)[\[( ]at[\]) ]") & text.rlike(r"(?i)[\[( ]dot[\]) ]"), False),
+        _candidates(text, "email", LOOSE_EMAIL, text.rlike(r"(?i)[\[(]at[\])]| at [^\n]*[\[( ]dot[\]) ]"), False),
         _candidates(text, "phone", LOOSE_PHONE, text.rlike(r"[0-9]{3}[ .-][0-9]{4}"), False),
         _candidates(text, "secret", SECRET, text.rlike(_SECRET_SIGN), False),
     ]
@@ -204,13 +272,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     narrow = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.filter("spans", lambda s: s["base"])
     sure = F.filter("spans", lambda s: ~s["base"] & (probability(s, weights) >= THRESHOLD))
-    out = found.select(id_col, base.alias("b"), sure.alias("s"))
-    added = F.filter("s", lambda s: ~F.exists("b", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
-    return out.select(
-        id_col,
-        F.sort_array(F.transform("b", narrow)).alias("base"),
-        F.sort_array(F.array_union(F.transform("b", narrow), F.transform(added, narrow))).alias("spans"),
-    )
+    out = found.select(id_col, F.transform(base, narrow).alias("b"), F.transform(sure, narrow).alias("s"))
+    added = F.when(F.size("s") > 0, without_overlap(F.col("s"), F.col("b"))).otherwise(F.col("s"))
+    # spans of a kind do not overlap, and added ones no base span: none is there twice
+    return out.select(id_col, F.sort_array("b").alias("base"), F.sort_array(F.concat("b", added)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -241,4 +306,9 @@ def digest(detected: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of base spans by kind, their checksum, and all spans as text."""
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.array_compact(F.transform(kinds, _same(k)))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return detected.select(id_col, *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    secrets = F.size(F.array_compact(F.transform(F.transform("spans", lambda s: s["kind"]), _same(KINDS.index("secret"))))).cast("long")
+    added = (F.size("spans") - F.size("base")).cast("long")
+    return detected.select(
+        id_col, *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+        secrets.alias("n_secret"), added.alias("n_added"),
+    )

@@ -152,6 +152,43 @@ def test_base_spans_equal_regex(spark, sf):
         assert r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == len(base)
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than a stride has, with contexts that reach over several of them."""
+    import random
+
+    random.seed(9)
+    parts = ["a@b.org ", "10.0.0.1 ", "é ", "+1 (569) 555-7279 ", "569-555-7279 ", "mail ", "\n", "x" * 50 + " "]
+    texts = ["".join(random.choices(parts, k=n)) for n in (0, 1, 63, 64, 65, 128, 1000)] + ["a@b.cd " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.digest(pii.detect(docs)).collect():
+        base = base_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert r["n_added"] == len(list(filter(None, r["spans"].split(",")))) - len(base)
+    found = docs.limit(6).select(F.explode(pii.find_spans(F.col("text"), pii.EMAIL)).alias("x"), "text").select("x.*", "text")
+    for r in found.collect():
+        assert r["before"] == r["text"][max(0, r["start"] - 40) : r["start"]] and r["match"] == r["text"][r["start"] : r["end"]]
+
+
+def test_spans_without_overlap_equal_pairwise_tests(spark):
+    import random
+
+    random.seed(6)
+    span = lambda: (0, a := random.randint(0, 400), a + random.randint(1, 30))
+    rows = [(i, [span() for _ in range(random.randint(0, 150))], [span() for _ in range(random.randint(0, 12))]) for i in range(40)]
+    kind = "array<struct<kind:int,start:int,end:int>>"
+    got = spark.createDataFrame(rows, f"i int, s {kind}, o {kind}").select("i", pii.without_overlap(F.col("s"), F.col("o")).alias("k")).collect()
+    for r in got:
+        _, spans, others = rows[r["i"]]
+        assert sorted(map(tuple, r["k"])) == sorted(s for s in spans if not any(o[1] < s[2] and s[1] < o[2] for o in others))
+
+
+def test_written_out_emails_are_found(spark):
+    texts = ["write to jane [at] example.com now", "JANE [AT] EXAMPLE [DOT] COM", "contact bob at example dot org", "look at example.com", "we met at ten. dot"]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "doc_id long, text string")
+    found = {r["doc_id"]: r["s"] for r in pii.detect(docs).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert found[0] == "email:9:30" and found[2].startswith("email:8:") and not found[3] and not found[4]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.com or 1.2.3.4!"), (2, "none")], "doc_id long, text string")
     out = docs.join(pii.detect(docs), "doc_id").select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("t"))
