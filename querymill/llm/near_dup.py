@@ -246,16 +246,49 @@ def _rare_pairs(mixed_rows: DataFrame) -> DataFrame:
     return met.where((F.col("label") != F.col("q")) & once & (left >= _needed(F.col("n"), F.col("m")))).select(*_ordered())
 
 
+def _named(docs: DataFrame, several: DataFrame | None, ident: Column, text: Column) -> DataFrame:
+    """Add ``_node``: the id, or for rows of ids with several texts a number of id and text."""
+    docs = docs.withColumn("_node", ident.cast("long"))
+    if several is None:
+        return docs
+    many = docs.join(several.withColumnRenamed("node", "_node").withColumn("_many", F.lit(True)), "_node", "left")
+    return many.withColumn("_node", F.when(F.col("_many"), F.xxhash64("_node", text)).otherwise(F.col("_node"))).drop("_many")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (node, doc, n, component_id, kept), and the ids that have several texts."""
+    own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node is not null")
+    sketched = store(_sketches(own, False), "sketches")
+    texts = sketched.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y"))
+    several = store(texts.where("x <> y").select("node"), "several")
+    if several.isEmpty():
+        rows = _linked(own, sketched)
+        return rows.select("node", F.col("node").alias("doc"), "n", "component_id", (F.col("node") == F.col("component_id")).alias("kept")), None
+    named = _named(own, several, F.col("node"), F.col("text"))
+    renamed = named.select(F.col("_node").alias("node"), "text")
+    names = store(named.where("_node <> node").select(F.col("_node").alias("node"), F.col("node").alias("doc")).distinct(), "names")
+    rows = _linked(renamed, store(_sketches(renamed, False), "sketches"))
+    rows = store(rows.join(names, "node", "left").withColumn("doc", F.coalesce("doc", "node")), "found")
+    least = store(rows.groupBy("component_id").agg(F.min("doc").alias("least")), "least")
+    rows = rows.hint("merge").join(least, "component_id").select("node", "doc", "n", F.col("least").alias("component_id"))
+    return rows.withColumn("kept", F.col("doc") == F.col("component_id")), several
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_shingles, component_id and kept of every document.
 
     Documents are linked when their sets of five-word shingles (A-Z lower-cased) have a Jaccard
     similarity of at least 0.75; a component's id is its smallest document id, and that document is
     kept. A null text, or one without words, has no shingles and is linked with nothing; fewer than
-    five words are one shingle. Rows without id are left out; rows with the same id count as linked.
+    five words are one shingle. Rows without id are left out. Rows are documents of their own: rows
+    that share an id but not the text are linked by their texts only and can have two components.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node is not null")
-    sketched = store(_sketches(own, False), "sketches")
+    found, _ = _found(docs, id_col, text_col)
+    return found.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _linked(own: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Rows (node, n, component_id) of all rows (node, text); a node has one text."""
     filled = sketched.where("n > 0")
     classes = store(filled.groupBy("k1", "k2").agg(F.min("node").alias("rep")), "classes")
     members = store(filled.hint("merge").join(classes, ["k1", "k2"]).withColumn("sketch", F.expr("CASE WHEN node = rep THEN sketch END")), "members")
@@ -277,23 +310,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         graph.test(_one_each(_mixed(graph, rare)))
         graph.test(_rare_pairs(_mixed(graph, rare)))
     labels = graph.labels.select(F.col("node").alias("rep"), "label")
-    return _results(sketched, members, labels, id_col, docs)
-
-
-def _results(sketched: DataFrame, members: DataFrame, labels: DataFrame, id_col: str, docs: DataFrame) -> DataFrame:
     moved = members.select("node", "n", "rep").hint("merge").join(labels, "rep", "left")
     found = moved.select("node", "n", F.coalesce("label", "rep").alias("component_id"))
-    alone = sketched.where("n = 0").select("node", "n", F.col("node").alias("component_id"))
-    return found.unionByName(alone).select(
-        F.col("node").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("node") == F.col("component_id")).alias("kept")
-    )
+    return found.unionByName(sketched.where("n = 0").select("node", "n", F.col("node").alias("component_id")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with all columns, one of each component: that with the smallest id.
 
-    Documents without an id stay; of rows with the same kept id all stay.
+    Documents without an id stay; of rows with the same kept id all stay. A row goes by its own text:
+    another text of its id keeps its row.
     """
-    found = components(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    gone = store(found, "gone")
-    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    found, several = _found(docs, id_col, text_col)
+    gone = store(found.where("not kept").select(F.col("node").alias("_gone")).distinct(), "gone")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = docs.select(whole, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = _named(rows, several, F.col("_id"), F.col("_text"))
+    return rows.join(gone.hint("merge"), F.col("_node") == F.col("_gone"), "left_anti").select("_doc.*")

@@ -187,6 +187,25 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert sorted(map(tuple, QUERIES["op5_near_dup"](spark, sf).collect())) == brute_components(docs)
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    """Every row is a document of its own, however ids repeat."""
+    text = lambda *w: " ".join(f"{x}{i}" for x in w for i in range(60))
+    a, b, c, d = text("a"), text("b"), text("c"), text("d")
+    near = a.replace("a7 ", "zz ")
+    rows = [(3, b), (5, a), (5, b), (5, a), (9, near), (7, c), (7, d), (8, d), (1, near), (7, None), (2, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, label string").repartition(3)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.components(docs).collect()}
+    n = 56
+    assert got == {(3, n, 3, True), (5, n, 1, False), (5, n, 3, False), (9, n, 1, False), (1, n, 1, True), (7, n, 7, True), (8, n, 7, False), (7, 0, 7, True), (2, 0, 2, True)}
+    left = near_dup.dedup(docs)
+    assert left.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(kept, key=str) == sorted([(3, b), (1, near), (7, c), (7, d), (7, None), (2, "")], key=str)
+    # a second text of a kept id stays although another text of that id is a copy
+    more = spark.createDataFrame([(3, b), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dup.dedup(more).collect())) == sorted([(3, b), (5, a)])
+
+
 def test_near_duplicates_family_chain_and_odd_rows(spark):
     random.seed(9)
     base = [f"w{i}" for i in range(120)]
