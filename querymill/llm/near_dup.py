@@ -143,12 +143,16 @@ class _Graph:
     def test(self, pairs: DataFrame) -> None:
         """Test pairs (a < b) and connect what is linked."""
         linked = store(pairs.select("a", "b").distinct(), "pairs")
+        if linked.isEmpty():
+            return
         for what, check in (("sketch", _estimated), ("shingles", _confirmed)):
             short = {"sketch": "sketch", "shingles": "set"}[what]
             for side in ("a", "b"):
                 own = self.nodes.select(F.col("node").alias(side), F.col(what).alias(f"{short}_{side}"), F.col("n").alias(f"n_{side}"))
                 linked = linked.hint("merge").join(own, side)
             linked = store(linked.mapInArrow(check, "a long, b long"), "linked")
+            if linked.isEmpty():
+                return
         self.connect(linked)
 
     def connect(self, links: DataFrame) -> None:
@@ -259,11 +263,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     """Rows (node, doc, n, component_id, kept), and the ids that have several texts."""
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node is not null")
     sketched = store(_sketches(own, False), "sketches")
-    texts = sketched.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y"))
-    several = store(texts.where("x <> y").select("node"), "several")
-    if several.isEmpty():
+    ends = [f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)]
+    texts = sketched.groupBy("node").agg(*ends).where("min_k1 < max_k1 OR min_k2 < max_k2").select("node")
+    if texts.isEmpty():
         rows = _linked(own, sketched)
         return rows.select("node", F.col("node").alias("doc"), "n", "component_id", (F.col("node") == F.col("component_id")).alias("kept")), None
+    several = store(texts, "several")
     named = _named(own, several, F.col("node"), F.col("text"))
     renamed = named.select(F.col("_node").alias("node"), "text")
     names = store(named.where("_node <> node").select(F.col("_node").alias("node"), F.col("node").alias("doc")).distinct(), "names")
@@ -306,6 +311,7 @@ def _linked(own: DataFrame, sketched: DataFrame) -> DataFrame:
     opened = graph.open(shared)
     if not opened.isEmpty():
         opened = graph.open(graph.prune(opened))
+    if not opened.isEmpty():
         rare = _rare_shingles(graph, opened)
         graph.test(_one_each(_mixed(graph, rare)))
         graph.test(_rare_pairs(_mixed(graph, rare)))
