@@ -10,7 +10,7 @@ from checks.registry import query, rounded
 from checks.schema_prompt import ROUGH_COLUMNS, ROUGH_TABLES
 from checks.views import raw_samples
 from querymill.functions.prompting import PromptOptions
-from querymill.operators import formatting, profile, sampling
+from querymill.operators import formatting, profile, report_states, sampling
 from querymill.operators.profile import TRACKED_KEYWORDS
 from querymill.plans import jobs
 from querymill.storage import store
@@ -335,3 +335,15 @@ topk AS (SELECT kc.*, t.total FROM (SELECT *, row_number() OVER (PARTITION BY sp
 @query("profile_report", _report_sql())
 def report(spark, sf_dir):
     return rounded(profile.quality_report(stored(spark, sf_dir, processed)))
+
+
+@query(
+    "profile_merged_report",
+    f"SELECT split, section, item, metric, value FROM ({_report_sql()}) AS r WHERE metric NOT IN ('median', 'distinct') AND NOT regexp_matches(metric, '^p[0-9]')",
+)
+def merged_report(spark, sf_dir):
+    """The exact part of a report merged from the states of two halves that were stored apart."""
+    samples = stored(spark, sf_dir, processed)
+    states = [store(report_states.report_state(samples.where(half)), "state") for half in ("sample_id % 2 = 0", "sample_id % 2 = 1")]
+    report = report_states.report_of(report_states.merge_states(states[0].unionByName(states[1])))
+    return rounded(report.where("metric NOT IN ('median', 'distinct') AND NOT metric RLIKE '^p[0-9]'"))
