@@ -5,6 +5,10 @@ increasing run of anchors is kept, and the gaps between them are aligned the sam
 without such words, where equal words at both edges still count. Coverage is the share of template
 words aligned. Templates are aligned only with the stretch of a text around their own words: a text
 that holds too few of them, repeats counted, cannot reach the coverage and is passed over.
+
+Licenses of one family differ in a word or a version. Such words are marks: an occurrence must align
+every different mark of its template, and neither inside it nor in the version at its end may the
+text have a mark that the template lacks.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,54 @@ from querymill.llm.words import NOT_ALNUM, Words, slices
 #: Share of a template's words that a text must hold, in order.
 MIN_COVERAGE = 0.8
 
+#: Words that tell licenses apart, and words that a version number follows.
+MARKS = (
+    "affero", "apache", "boost", "bsd", "cc0", "eclipse", "endorse", "gnu", "isc", "later", "lesser", "library", "mit",
+    "mozilla", "mpl", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "sa", "sharealike", "unlicense", "v1", "v2",
+    "v3", "v4", "zlib",
+)
+VERSION_LEADS = (
+    "agpl", "apache", "bsd", "by", "cc0", "epl", "gpl", "lgpl", "license", "mpl", "nc", "nd", "noderivatives", "noderivs",
+    "noncommercial", "sa", "sharealike", "attribution", "universal", "v", "version",
+)
+DIGITS = "0123456789"
+
+#: The Creative Commons family.
+CC_PARTS = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+GNU = {"GPL": ("", ("2.0", "3.0")), "LGPL": ("Lesser ", ("2.1", "3.0")), "AGPL": ("Affero ", ("3.0",))}
+
+
+def _families() -> dict[str, str]:
+    """Lines of the licenses that come in parts and versions."""
+    out = {}
+    for part, name in CC_PARTS.items():
+        for v in CC_VERSIONS:
+            out[f"CC-{part}-{v}-line"] = f"Licensed under CC {part} {v}."
+            out[f"CC-{part}-{v}-name"] = f"Creative Commons {name} {v} License"
+    for short, (kind, versions) in GNU.items():
+        for v in versions:
+            number = v.removesuffix(".0")
+            out[f"{short}-{v}-line"] = f"This work is licensed under the GNU {kind}General Public License, version {number}."
+            out[f"{short}-{v}-or-later-line"] = f"This work is licensed under the GNU {kind}General Public License, version {number} or later."
+            out[f"{short}-{v}-name"] = f"GNU {kind}General Public License v{v}"
+            out[f"{short}-{v}-or-later-header"] = (
+                f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General "
+                f"Public License as published by the Free Software Foundation, either version {number} of the License, or (at your "
+                "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+                "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+                f"{kind}General Public License for more details."
+            )
+    return out
+
+
 #: Notices and license texts, by SPDX-like name.
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -55,22 +108,45 @@ TEMPLATES = {
         "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
         "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
     ),
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
     ),
+    "BSD-3-Clause-line": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause-line": "Licensed under the BSD 2-Clause License.",
+    "ISC-line": "Released under the ISC License.",
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
+        "purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ),
+    "CC0-1.0-line": "Licensed under CC0 1.0 Universal.",
+    "EPL-1.0-line": "Licensed under the Eclipse Public License, version 1.0.",
+    "EPL-2.0-line": "Licensed under the Eclipse Public License, version 2.0.",
+    "BSL-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "MPL-1.1-line": "Licensed under the Mozilla Public License, version 1.1.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, version 2.0.",
     "MPL-2.0-header": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
-    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "All-rights-reserved": "All rights reserved.",
-}
+} | _families()
+
+
+def read_templates(folder: str) -> dict[str, str]:
+    """Templates from the ``*.txt`` files of a folder of the driver, by file name; for whole license texts."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(folder).glob("*.txt"))}
 
 
 def words_of(text: str) -> list[str]:
@@ -130,7 +206,7 @@ class Scanner:
         self.names = list(templates)
         self.words = [words_of(t) for t in templates.values()]
         self.min_coverage = min_coverage
-        vocabulary = sorted({w for ws in self.words for w in ws})
+        vocabulary = sorted({w for ws in self.words for w in ws} | {*MARKS, *VERSION_LEADS, *DIGITS})
         self.number = {w: i for i, w in enumerate(vocabulary)}
         self.templates = [[self.number[w] for w in ws] for ws in self.words]
         hashes = Words(pa.array(vocabulary or [""]), NOT_ALNUM).hashes()
@@ -140,6 +216,25 @@ class Scanner:
         for i, t in enumerate(self.templates):
             np.add.at(self.counts[i], t, 1)
         self.need = np.array([int(np.ceil(min_coverage * len(t))) for t in self.templates])
+        is_in = lambda chosen: np.isin(vocabulary, list(chosen))
+        self.mark, self.lead, self.digit, self.zero = is_in(MARKS), is_in(VERSION_LEADS), is_in(DIGITS), is_in("0")
+        self.marks = np.zeros(self.counts.shape, bool)
+        for i, text in enumerate(templates.values()):
+            ids = np.array(self.templates[i], np.int64)
+            self.marks[i, ids[self._marked(ids, np.arange(len(ids)), Words(pa.array([text]), NOT_ALNUM))]] = True
+
+    def _marked(self, ids: np.ndarray, places: np.ndarray, words: Words) -> np.ndarray:
+        """Which known words of a batch are marks: names, and the digits of versions but 0.
+
+        The first digit stands next to a word that leads to versions, the second is one character on.
+        """
+        after = np.zeros(len(ids), bool)
+        after[1:] = np.diff(places) == 1
+        after &= ~np.isin(places, words.first)
+        before = np.roll(ids, 1)
+        first = after & self.digit[ids] & self.lead[before]
+        second = after & self.digit[ids] & np.roll(first, 1) & (words.starts[places] - words.ends[places - 1] == 1)
+        return self.mark[ids] | ((first | second) & ~self.zero[ids])
 
     def find(self, words: Words) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, template, aligned words, first word, one past the last) of every template found."""
@@ -150,11 +245,13 @@ class Scanner:
         places = np.flatnonzero(self.hashes[at] == h)
         ids = self.ids[at[places]]
         edges = np.searchsorted(places, words.first)
+        marked = self._marked(ids, places, words)
         for doc in np.flatnonzero(np.diff(edges) >= self.need.min()):
             own, own_places = ids[edges[doc] : edges[doc + 1]], places[edges[doc] : edges[doc + 1]]
             held = np.bincount(own, minlength=self.counts.shape[1])
-            for t in np.flatnonzero(np.minimum(self.counts, held).sum(1) >= self.need):
-                yield from self._occurrences(int(doc), int(t), own, own_places - words.first[doc])
+            able = (np.minimum(self.counts, held).sum(1) >= self.need) & ~(self.marks & (held == 0)).any(1)
+            for t in np.flatnonzero(able):
+                yield from self._occurrences(int(doc), int(t), own, own_places - words.first[doc], marked[edges[doc] : edges[doc + 1]])
 
     def rows(self, found: list[list[int]]) -> list[dict]:
         """Occurrences as rows; of overlapping ones that with the most words aligned stays."""
@@ -167,23 +264,48 @@ class Scanner:
             for t, n, a, b in sorted(kept, key=lambda x: x[2])
         ]
 
-    def _occurrences(self, doc: int, t: int, ids: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def _occurrences(
+        self, doc: int, t: int, ids: np.ndarray, places: np.ndarray, marked: np.ndarray
+    ) -> Iterator[tuple[int, int, int, int, int]]:
         """Stretches of up to twice the template's length that reach its coverage, left to right."""
-        template, size = self.templates[t], len(self.templates[t])
+        size, need = len(self.templates[t]), self.need[t]
+        foreign = places[marked & ~self.marks[t][ids]]
         inside = np.flatnonzero(self.counts[t][ids] > 0)
         ids, places, at = ids[inside], places[inside], 0
         while at < len(ids):
-            stop = int(np.searchsorted(places, places[at] + 2 * size))
-            if stop - at >= self.need[t]:
-                held = np.bincount(ids[at:stop], minlength=self.counts.shape[1])
-                if np.minimum(self.counts[t], held).sum() >= self.need[t]:
-                    pairs = align(ids[at:stop].tolist(), template)
-                    if len(pairs) >= self.need[t]:
-                        first, last = at + pairs[0][0], at + pairs[-1][0]
-                        yield doc, t, len(pairs), int(places[first]), int(places[last]) + 1
-                        at = last + 1
-                        continue
-            at += 1
+            pairs = self._aligned(t, ids, places, foreign, at, int(np.searchsorted(places, places[at] + 2 * size)))
+            if len(pairs) >= need:
+                first, last = at + pairs[0][0], at + pairs[-1][0]
+                yield doc, t, len(pairs), int(places[first]), int(places[last]) + 1
+                at = last + 1
+            else:
+                at += 1
+
+    def _aligned(self, t: int, ids: np.ndarray, places: np.ndarray, foreign: np.ndarray, at: int, stop: int) -> list[tuple[int, int]]:
+        """The alignment of a stretch if it reaches the coverage and its marks agree, else nothing.
+
+        Where a foreign mark is between aligned words, the stretch is tried again up to that mark.
+        """
+        template, need = self.templates[t], self.need[t]
+        while stop - at >= need:
+            held = np.bincount(ids[at:stop], minlength=self.counts.shape[1])
+            if np.minimum(self.counts[t], held).sum() < need or (self.marks[t] & (held == 0)).any():
+                return []
+            pairs = align(ids[at:stop].tolist(), template)
+            if len(pairs) < need:
+                return []
+            first, last = int(places[at + pairs[0][0]]), int(places[at + pairs[-1][0]])
+            begin, end = np.searchsorted(foreign, [first, last])
+            if begin < end:
+                stop = int(np.searchsorted(places, foreign[end - 1]))
+                continue
+            aligned = np.zeros(len(self.mark), bool)
+            aligned[[template[c] for _, c in pairs]] = True
+            if (self.marks[t] & ~aligned).any():
+                return []
+            longer_version = end < len(foreign) and foreign[end] == last + 1 and self.digit[template[pairs[-1][1]]]
+            return [] if longer_version else pairs
+        return []
 
 
 def scan(
@@ -197,8 +319,9 @@ def scan(
     """Templates in each document: the id and an array of found (license, coverage, start, stop).
 
     Positions are words of letters and digits, the end is exclusive. Of overlapping occurrences the
-    one with the most aligned words stays. Every document has a row, one without text or words has an empty array. Repeated
-    rows are scanned each, other columns are ignored. Templates without words are never found.
+    one with the most aligned words stays; ties go to the larger coverage, the shorter stretch, the
+    template given first. Every document has a row, one without text or words has an empty array.
+    Repeated rows are scanned each, other columns are ignored. Templates without words are never found.
     """
     given = {k: v for k, v in (TEMPLATES if templates is None else templates).items() if words_of(v)}
     scanner = Scanner(given, min_coverage)

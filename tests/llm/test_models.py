@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from querymill.llm import decontaminate, licenses, near_dup, pii, quality_classifier, quality_rules, toxicity
 from querymill.llm.queries import QUERIES
+from querymill.llm.words import NOT_ALNUM, Words
 
 
 def auc(rows):
@@ -242,6 +243,112 @@ def test_license_scan(spark):
     assert licenses.scan(docs, {"none": "!!"}).where("size(found) > 0").isEmpty()
 
 
+def found_names(spark, texts, templates=None):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.scan(docs, templates).collect()
+    return [[x["license"] for x in r["found"]] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_neighbouring_licenses_keep_their_names(spark):
+    gpl = "This work is licensed under the GNU General Public License, version "
+    bsd3 = licenses.TEMPLATES["BSD-3-Clause"]
+    numbered = bsd3.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+    expected = {
+        gpl + "2.": ["GPL-2.0-line"],
+        gpl + "3.0 or later": ["GPL-3.0-or-later-line"],
+        gpl + "4.": [],
+        gpl.replace("GNU", "GNU Lesser") + "2.1.": ["LGPL-2.1-line"],
+        gpl.replace("GNU", "GNU Affero") + "3": ["AGPL-3.0-line"],
+        licenses.TEMPLATES["GPL-2.0-or-later-header"]: ["GPL-2.0-or-later-header"],
+        licenses.TEMPLATES["LGPL-3.0-or-later-header"]: ["LGPL-3.0-or-later-header"],
+        "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0-line"],
+        "Licensed under CC BY 3.0": ["CC-BY-3.0-line"],
+        "Licensed under CC BY-NC-ND 4.0": ["CC-BY-NC-ND-4.0-line"],
+        "Licensed under CC BY 2.5, see below": ["CC-BY-2.5-line"],
+        "Licensed under CC BY 7.0": [],
+        "Creative Commons Attribution-NonCommercial 4.0 International License": ["CC-BY-NC-4.0-name"],
+        "Creative Commons Attribution 4.0 International License": ["CC-BY-4.0-name"],
+        "Licensed under CC BY 4.0 or CC BY-NC 3.0": ["CC-BY-4.0-line"],
+        "Licensed under the Apache License, Version 1.1.": [],
+        numbered: ["BSD-3-Clause"],
+        licenses.TEMPLATES["BSD-2-Clause"]: ["BSD-2-Clause"],
+        "Released under the License.": [],
+    }
+    assert dict(zip(expected, found_names(spark, list(expected)))) == expected
+
+
+def brute_find(words, gaps, template, template_gaps, need):
+    """Occurrences of one template by trying every start, on strings, without any filter."""
+
+    def marks(ws, gs):
+        digit = [w in licenses.DIGITS for w in ws]
+        first = [i > 0 and digit[i] and ws[i - 1] in licenses.VERSION_LEADS for i in range(len(ws))]
+        second = [i > 0 and digit[i] and first[i - 1] and gs[i] == 1 for i in range(len(ws))]
+        return [ws[i] in licenses.MARKS or ((first[i] or second[i]) and ws[i] != "0") for i in range(len(ws))]
+
+    own = {w for w, m in zip(template, marks(template, template_gaps)) if m}
+    foreign = {i for i, (w, m) in enumerate(zip(words, marks(words, gaps))) if m and w not in own}
+    out, at = [], 0
+    while at < len(words):
+        stop, pairs = at + 2 * len(template), []
+        while words[at] in template:
+            part = [i for i in range(at, min(stop, len(words))) if words[i] in template]
+            pairs = [(part[i], j) for i, j in licenses.align([words[i] for i in part], template)]
+            between = [i for i in foreign if len(pairs) >= need and pairs[0][0] < i < pairs[-1][0]]
+            if not between:
+                break
+            stop = max(between)
+        if len(pairs) >= need and own <= {template[j] for _, j in pairs}:
+            last, end = pairs[-1]
+            if not (last + 1 in foreign and template[end] in licenses.DIGITS):
+                out.append((len(pairs), pairs[0][0], last + 1))
+                at = last + 1
+                continue
+        at += 1
+    return out
+
+
+def cut(text):
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text))
+    gaps = [99] + [b.start() - a.end() for a, b in zip(found, found[1:])]
+    return [x.group().lower() for x in found], gaps
+
+
+def test_license_finds_equal_brute_force():
+    import random
+
+    random.seed(9)
+    names = ["CC-BY-4.0-line", "CC-BY-SA-4.0-line", "CC-BY-2.5-line", "CC-BY-NC-4.0-name", "GPL-2.0-line", "GPL-3.0-or-later-line",
+             "LGPL-2.1-line", "MIT-line", "ISC", "BSD-2-Clause", "BSD-3-Clause", "All-rights-reserved"]
+    templates = {n: licenses.TEMPLATES[n] for n in names}
+    scanner = licenses.Scanner(templates, 0.8)
+    texts = []
+    for _ in range(500):
+        parts = []
+        for _ in range(random.randint(1, 4)):
+            words = re.split(r"(?<= )", random.choice(list(licenses.TEMPLATES.values())))
+            for _ in range(random.randint(0, 3)):
+                words[random.randrange(len(words))] = random.choice(["", "x ", "the ", "3. ", "version 2 ", "nc ", "under the "])
+            parts.append("".join(words))
+        texts.append(random.choice([" ", "\n", ". "]).join(parts))
+    got = set(scanner.find(Words(pa.array(texts), NOT_ALNUM)))
+    expected = set()
+    for i, text in enumerate(texts):
+        for t, template in enumerate(templates.values()):
+            need = int(scanner.need[t])
+            expected |= {(i, t, *x) for x in brute_find(*cut(text), *cut(template), need)}
+    assert got == expected and len(got) > 50
+
+
+def test_equal_templates_and_whole_license_files(spark, tmp_path):
+    text = "Do with it what you like, version 1.0, and tell nobody."
+    (tmp_path / "Own-1.0.txt").write_text(text)
+    (tmp_path / "Copy-1.0.txt").write_text(text)
+    given = licenses.read_templates(str(tmp_path))
+    assert list(given) == ["Copy-1.0", "Own-1.0"]
+    assert found_names(spark, [text, text.replace("1.0", "2.0")], given) == [["Copy-1.0"], []]
+
+
 def test_license_lines_of_documents(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op9_licenses"](spark, sf).collect():
