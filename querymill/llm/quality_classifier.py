@@ -25,6 +25,7 @@ ROUNDS = 3
 #: Pseudo-labels that a view hands over in a round, and how sure it must be of them.
 PER_ROUND, SURE = 500, 0.95
 STEPS = 80
+ADDED = ("quality_score", "content_score", "metadata_score", "quality_kept")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>!{}[]=~^_\\")] = True
 _UPPER = np.zeros(256, bool)
@@ -151,16 +152,22 @@ def train(
     max_labelled: int = MAX_LABELLED,
     max_pool: int = MAX_POOL,
 ) -> Model:
-    """A model from at most ``max_labelled`` labelled texts and a pool of at most ``max_pool``."""
+    """A model from at most ``max_labelled`` labelled texts and a pool of at most ``max_pool``.
+
+    A round takes at most ``PER_ROUND`` texts of the pool, so a larger pool gives surer pseudo-labels,
+    not more of them. An id with several rows counts as one, that with the smallest features as bytes;
+    of several labels of one id the largest counts. Rows without an id are scored but not learned from.
+    """
     known = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = X.bounded(known, max_labelled, "_id")
-    pool = X.bounded(docs.select(F.col(id_col).alias("_id")).distinct(), max_pool, "_id", 1)
+    chosen = known.join(F.broadcast(X.bounded(known, max_labelled, "_id")), "_id")
+    pool = X.bounded(docs.select(F.col(id_col).alias("_id")), max_pool, "_id", 1)
     # Both sides are bounded by their limits; a labelled row is not in the pool.
     picked = chosen.unionByName(pool.withColumn("_label", F.lit(-1))).groupBy("_id").agg(F.max("_label").alias("_label"))
     own = docs.select(F.col(id_col).alias("_id"), "text", "lang", "source")
     rows = own.join(F.broadcast(picked), "_id").select("_id", "_label", "text", "lang", "source")
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(_featured, f"id {kind}, label int, content binary, meta binary").collect()
+    made = rows.mapInArrow(_featured, f"id {kind}, label int, content binary, meta binary")
+    found = made.groupBy("id", "label").agg(F.min(F.struct("content", "meta")).alias("views")).select("id", "label", "views.*").collect()
     found.sort(key=lambda r: r["id"])
     return co_train(X.unpack([r["content"] for r in found]), X.unpack([r["meta"] for r in found]), np.array([r["label"] for r in found], int))
 
@@ -168,8 +175,10 @@ def train(
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Documents with all columns, quality_score, content_score, metadata_score and quality_kept.
 
-    Null texts, languages and sources are values of their own; no row goes.
+    Null texts, languages and sources are values of their own; no row goes. Input columns named like
+    an added one, whatever their case, are replaced.
     """
+    docs = docs.drop(*ADDED)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB of weights whatever the data
     at = [docs.columns.index(c) for c in ("text", "lang", "source")]
 
@@ -180,7 +189,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 columns = [*part.columns, *(pa.array(x, pa.float64()) for x in made), pa.array(made[0] >= threshold)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    added = ["quality_score", "content_score", "metadata_score", "quality_kept"]
     kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["double"] * 3 + ["boolean"]
     out = docs.mapInArrow(work, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
-    return out.toDF(*docs.columns, *added)
+    return out.toDF(*docs.columns, *ADDED)

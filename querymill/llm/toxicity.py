@@ -21,6 +21,8 @@ from querymill.llm.words import NOT_ALNUM, Words, slices
 
 #: Bounds of the training sample.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
+#: A prior read from the labels stays so far from 0 and 1, where it has no log-odds.
+PRIOR_MARGIN = 0.001
 PREFIXES = (5, 6, 7)
 #: Standard deviations by which a feature's count in positives must be off.
 MIN_DEVIATION = 3.0
@@ -43,11 +45,11 @@ def _pairs(column: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (positive, text): positive, features."""
+    """Of rows (id, positive, text): id, positive, features."""
     for batch in batches:
-        for part in slices(batch, 1):
-            rows, found = _pairs(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), X.packed(rows, found, part.num_rows)], names=["positive", "features"])
+        for part in slices(batch, 2):
+            rows, found = _pairs(part.column(2))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], X.packed(rows, found, part.num_rows)], names=["id", "positive", "features"])
 
 
 def nnpu_slope(positive: np.ndarray, prior: float, z: np.ndarray) -> np.ndarray:
@@ -91,21 +93,34 @@ def train(
     max_positive: int = MAX_POSITIVE,
     max_unlabelled: int = MAX_UNLABELLED,
     steps: int = STEPS,
+    prior: float | None = None,
 ) -> Model:
     """A model from at most ``max_positive`` toxic texts and ``max_unlabelled`` others.
 
-    Only labels of rows that are not held out are read; the class prior is the share of toxic ones
-    among them. Without positives every score is that of the prior alone.
+    Only labels of rows that are not held out are read. ``prior`` is the share of toxic texts among
+    the unlabelled; left out, it is the share among the labels, kept within 0.001 and 0.999. Without
+    positives every score is that of the prior alone.
+
+    The unlabelled texts estimate the risk on negatives: its standard error is in proportion to
+    1 / sqrt(max_unlabelled) whatever the size of the corpus. Raise the bounds with memory of the
+    driver in mind (about 2 kB a text). An id with several texts counts as one row, that with the
+    smallest features as bytes; rows without an id are scored but not learned from.
     """
+    if prior is not None and not 0 < prior < 1:
+        raise ValueError("The prior lies between 0 and 1")
     known = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_toxic"))
-    share = known.agg(F.avg((F.col("_toxic") == 1).cast("double"))).first()[0]
-    prior = min(max(share or 0.0, 0.001), 0.5)
-    positive = X.bounded(known.where("_toxic = 1").select("_id").distinct(), max_positive, "_id")
-    unlabelled = X.bounded(docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id")).distinct(), max_unlabelled, "_id")
+    if prior is None:
+        share = known.agg(F.avg((F.col("_toxic") == 1).cast("double"))).first()[0]
+        prior = min(max(share or 0.0, PRIOR_MARGIN), 1 - PRIOR_MARGIN)
+    positive = X.bounded(known.where("_toxic = 1"), max_positive, "_id")
+    unlabelled = X.bounded(docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id")), max_unlabelled, "_id")
     # Both sides are bounded by their limits.
     chosen = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = own.join(F.broadcast(chosen), "_id").select("positive", "_text").mapInArrow(_featured, "positive boolean, features binary").collect()
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = own.join(F.broadcast(chosen), "_id").select("_id", "positive", "_text").mapInArrow(_featured, f"id {kind}, positive boolean, features binary")
+    rows = made.groupBy("id", "positive").agg(F.min("features").alias("features")).collect()
+    rows.sort(key=lambda r: (r["id"], r["positive"]))
     is_positive = np.array([r["positive"] for r in rows], bool)
     if not is_positive.any():
         return Model(np.zeros(X.DIMS, np.float32), float(np.log(prior / (1 - prior))))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from querymill.llm import decontaminate, licenses, near_dup, pii, quality_classifier, quality_rules, toxicity
+from querymill.llm import decontaminate, features, licenses, near_dup, pii, quality_classifier, quality_rules, toxicity
 from querymill.llm.queries import QUERIES
 from querymill.llm.words import NOT_ALNUM, Words
 
@@ -77,10 +77,62 @@ def test_classifiers_on_few_rows(spark, rows):
         scored = toxicity.digest(toxicity.score(docs, toxicity.train(docs, given)))
         assert all(0 <= r["score"] <= 1 for r in scored.collect()) and scored.count() == len(rows)
         model = quality_classifier.train(docs, given)
-        out = quality_classifier.score(docs.drop("quality_score"), model)
+        out = quality_classifier.score(docs.withColumn("Quality_Kept", F.lit("mine")), model)
+        assert out.columns == ["doc_id", "text", "lang", "source", *quality_classifier.ADDED]
         assert out.count() == len(rows) and out.where("quality_score IS NULL").isEmpty()
 
 
+def test_bounded_takes_the_smallest_hashes(spark, monkeypatch):
+    hashed = lambda rows, seed: [r[0] for r in rows.distinct().orderBy(F.xxhash64(F.lit(seed), "k"), "k").collect()]
+    many = spark.range(30_000).select(F.col("id").alias("k"))
+    hot = many.unionByName(spark.range(20_000).select(F.lit(hashed(many, 3)[0]).alias("k"))).unionByName(spark.sql("SELECT CAST(NULL AS long) AS k"))
+    for few in (features.FEW, 1):
+        monkeypatch.setattr(features, "FEW", few)
+        for rows, n in ((many, 10), (many, 5_000), (many, 40_000), (hot, 500), (many.limit(0), 5)):
+            expected = hashed(rows.where("k is not null"), 3)[:n]
+            assert sorted(r[0] for r in features.bounded(rows, n, "k", 3).collect()) == sorted(expected)
+
+
+def test_repeated_ids_are_one_training_row(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id % 9 = 0"))
+    a, b = (toxicity.train(d, labels) for d in (docs, again))
+    assert a.intercept == b.intercept and (a.weights == b.weights).all()
+    a, b = (quality_classifier.train(d, labels) for d in (docs, again))
+    assert all((x[0] == y[0]).all() and x[1] == y[1] for x, y in zip(a.views, b.views)) and (a.mix == b.mix).all()
+
+
+def test_given_prior(spark):
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(20)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.train(docs, none, prior=0.8).intercept == pytest.approx(1.386294, abs=1e-5)
+    with pytest.raises(ValueError):
+        toxicity.train(docs, none, prior=1.0)
+
+
+def test_nn_fit_reaches_the_least_risk():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    positive = np.arange(600) < 200
+    toxic = positive | (np.arange(600) > 520)
+    held = np.where(toxic[:, None], rng.random((600, 3)) < [0.7, 0.5, 0.2], rng.random((600, 3)) < [0.2, 0.5, 0.6])
+    prior, numbers = 0.2, np.array([11, 12, 13])
+    sample = features.Sample([numbers[row] for row in held])
+
+    def risk(z):
+        loss = lambda x: np.logaddexp(0, -x)
+        negative = loss(-z[~positive]).mean() - prior * loss(-z[positive]).mean()
+        return prior * loss(z[positive]).mean() + max(0.0, negative)
+
+    weights, intercept = sample.fit(np.arange(600), lambda z: toxicity.nnpu_slope(positive, prior, z), 1500, 0.02)
+    best = risk(sample.apply(weights, intercept, np.arange(600)))
+    grid = np.linspace(-4, 4, 17)
+    dense = min(risk(held @ np.array([a, b, c]) + d) for a in grid for b in grid for c in grid for d in np.linspace(-5, 2, 15))
+    assert best < dense + 0.01
+
+
 def test_nn_slope_turns_when_the_negative_risk_does():
     import numpy as np
 
