@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querymill.llm.names import put_back, set_aside
+
 #: White space between words, and symbols.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -20,6 +22,7 @@ BOILERPLATE = (
 )
 NAVIGATION = r"^(home|menu|about( us)?|contact( us)?|login|log in|sign in|search|next|previous|sitemap|share|print|faq)$"
 
+WORKING = ("_words", "_lines", "_hashes", "_judged", "_found", "_failed", "_at")
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Symbols, exclamation runs and separators per 100 words of a line beyond which it fails.
@@ -55,8 +58,11 @@ def rate(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, n_lost_words,
     base_failed, kept and clean_text (null where not kept). A null or empty text has no words and
-    is rejected. All work is within the row; nothing is shuffled.
+    is rejected. Input columns named like an added one are replaced. All work is within the row;
+    nothing is shuffled.
     """
+    docs, moved = set_aside(docs, WORKING)
+    text_col = moved.get(text_col, text_col)
     text = F.coalesce(text_col, F.lit(""))
     out = docs.withColumns({"_words": split_words(F.col(text_col)), "_lines": F.split(text, "\n", -1)})
     starts = F.sequence(F.lit(0), F.size("_words") - 3)
@@ -100,12 +106,12 @@ def rate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     kept = ~base & (F.col("n_lost_words") * 100 <= F.col("n_words") * MAX_LOST_PERCENT)
-    bad = F.transform("_failed", lambda x: x["line"])
+    stays = lambda x: (F.btrim(x, F.lit(SPACES)) == "") | ~line_fails(x, F.size(split_words(x)))
     clean = F.when(F.col("n_failed_lines") == 0, F.col(text_col)).otherwise(
-        F.array_join(F.filter("_lines", lambda x: ~F.array_contains(bad, x)), "\n")
+        F.array_join(F.filter("_lines", stays), "\n")
     )
     out = out.withColumns({"base_failed": base, "kept": kept}).withColumn("clean_text", F.when(F.col("kept"), clean))
-    return out.drop("_words", "_lines", "_hashes", "_judged", "_found", "_failed", "_at")
+    return put_back(out.drop(*WORKING), moved)
 
 
 VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "n_lost_words", "base_failed", "kept"]

@@ -158,6 +158,18 @@ def test_rules_on_odd_texts(spark):
     assert quality_rules.rate(docs.limit(0)).count() == 0
 
 
+def test_rules_beside_clashing_columns_and_long_texts(spark):
+    body = "\n".join([f"a{i} b{i} c{i} d{i} e{i} stands." for i in range(40_000)] + ["Click here"] * 9_000 + ["", "end of the text"])
+    docs = spark.createDataFrame([(1, body)], "doc_id long, _lines string")
+    for c in ("_words", "_AT", "kept", "Clean_Text"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    out = quality_rules.rate(docs, text_col="_lines")
+    assert out.columns[:4] == ["doc_id", "_lines", "_words", "_AT"] and len({c.lower() for c in out.columns}) == len(out.columns)
+    row = out.first()
+    assert row["_words"] == row["_AT"] == "mine" and row["_lines"] == body and row["kept"] is True and row["n_failed_lines"] == 9_000
+    assert row["clean_text" if "clean_text" in out.columns else "Clean_Text"] == body.replace("Click here\n", "")
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
