@@ -1,23 +1,30 @@
 """Exact line deduplication against levelled sorted runs of line hashes.
 
 Documents come in batches of ascending ids. Each batch's distinct line hashes are merge-anti-joined
-with the runs, which are bucketed and sorted tables, so that they are neither shuffled nor sorted
-again; what is new becomes a run of level 0. A level that has ``FANOUT`` runs is compacted into one
-run of the next level.
+with the runs, which are bucketed and sorted tables of one file per bucket, so that they are neither
+shuffled nor sorted for it; what is new becomes a run of level 0. A level that has ``FANOUT`` runs is
+compacted into one run of the next level by merge joins bucket by bucket, without a shuffle; the new
+run is sorted within its buckets as it is written, and the files of the old ones are deleted.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querymill.llm.names import put_back, set_aside
 from querymill.storage import shared_folder, store
 
 #: Runs of a level before they are compacted.
 FANOUT = 2
 HASH = ["h1", "h2"]
+#: Lets plans use the order within buckets of one file each.
+ORDERED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+WORKING = ("_doc", "_gone", "_lines")
 #: White space stripped from both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
 
@@ -28,20 +35,35 @@ def line_key(line: Column) -> Column:
     return F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside read bucketed tables in their order."""
+    before = spark.conf.get(ORDERED_BUCKETS, None)
+    spark.conf.set(ORDERED_BUCKETS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(ORDERED_BUCKETS) if before is None else spark.conf.set(ORDERED_BUCKETS, before)
+
+
 class LineRuns:
-    """Hashes of lines seen so far with the smallest id that holds each."""
+    """Hashes of lines seen so far with the smallest id that holds each.
+
+    Runs are tables of a database of their own, whose place is the shared folder.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self._spark = spark
         self._buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self._folder = f"{shared_folder(spark)}/line-runs-{uuid.uuid4().hex}"
+        self._database = f"line_runs_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self._database} LOCATION '{shared_folder(spark)}/{self._database}'")
         self.levels: list[list[str]] = []
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        sorted_ = rows.repartition(self._buckets, *HASH)
-        saved = sorted_.write.bucketBy(self._buckets, *HASH).sortBy(*HASH).option("path", f"{self._folder}/{name}")
-        saved.saveAsTable(name)
+        """A run from rows that are already laid out by bucket, or are dealt anew where they are not."""
+        name = f"{self._database}.run_{uuid.uuid4().hex}"
+        with ordered_buckets(self._spark):
+            rows.write.bucketBy(self._buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         return name
 
     @property
@@ -53,7 +75,8 @@ class LineRuns:
 
         A hash is in one run at most, because each batch adds only what is new.
         """
-        found = [store(first.hint("merge").join(run.withColumnRenamed("owner", "earlier"), HASH), "owners") for run in self.runs]
+        with ordered_buckets(self._spark):
+            found = [store(first.hint("merge").join(run.withColumnRenamed("owner", "earlier"), HASH), "owners") for run in self.runs]
         out = found[0]
         for part in found[1:]:
             out = out.unionByName(part)
@@ -61,7 +84,7 @@ class LineRuns:
 
     def add(self, first: DataFrame) -> None:
         """Add what a batch (h1, h2, owner) has beyond the runs, and compact full levels."""
-        new = first.select(*HASH, "owner")
+        new = first.select(*HASH, "owner").repartition(self._buckets, *HASH)
         for run in self.runs:
             new = new.hint("merge").join(run.select(*HASH), HASH, "left_anti")
         name, level = self._write(new), 0
@@ -72,20 +95,26 @@ class LineRuns:
             if len(self.levels[level]) < FANOUT:
                 return
             full = self.levels[level]
-            merged = self._spark.table(full[0])
-            for other in full[1:]:
-                merged = merged.unionByName(self._spark.table(other))
-            name = self._write(merged)
+            name = self._write(self.merged(full))
             self._drop(full)
             self.levels[level], level = [], level + 1
 
+    def merged(self, names: list[str]) -> DataFrame:
+        """The rows of several runs, merged bucket by bucket; no hash is in two of them."""
+        out = self._spark.table(names[0])
+        for n in names[1:]:
+            other = self._spark.table(n).withColumnRenamed("owner", "other")
+            out = out.hint("merge").join(other, HASH, "full_outer").select(*HASH, F.coalesce("owner", "other").alias("owner"))
+        return out
+
     def _drop(self, names: list[str]) -> None:
         for n in names:
             self._spark.sql(f"DROP TABLE {n}")
 
     def close(self) -> None:
-        """Forget the runs."""
+        """Forget the runs and delete their files."""
         self._drop([n for level in self.levels for n in level])
+        self._spark.sql(f"DROP DATABASE {self._database}")
         self.levels = []
 
 
@@ -140,8 +169,11 @@ def dedup(
 
     Adds n_lines (before) and n_dropped. Within its smallest document a line stays as often as it
     stands there; rows with the same id are one document. A null text is kept as null and counts
-    one line; documents without an id stay as they are. ``chars_col``, if there, follows the text.
+    one line; documents without an id stay as they are. Ids are whole numbers. ``chars_col``, if
+    there, follows the text. Input columns named like an added one are replaced.
     """
+    docs, moved = set_aside(docs, WORKING)
+    id_col, text_col, chars_col = (moved.get(c, c) for c in (id_col, text_col, chars_col))
     gone = repeated_lines(docs, min_chars=min_chars, batches=batches, id_col=id_col, text_col=text_col)
     lists = gone.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_set("position")).alias("_gone"))
     joined = docs.hint("merge").join(lists, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
@@ -159,4 +191,4 @@ def dedup(
     )
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col("_gone").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
-    return out.drop("_lines", "_gone")
+    return put_back(out.drop(*WORKING), moved)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -152,7 +153,41 @@ def test_line_runs_are_compacted(spark):
             assert r["h1"] not in seen
             seen[r["h1"]] = r["owner"]
     assert seen == {i: i // 10 for i in range(50)}
+    database = Path(spark.sql(f"DESCRIBE DATABASE {runs._database}").where("info_name = 'Location'").first()[1].removeprefix("file:"))
+    assert len(list(database.iterdir())) == 2  # replaced runs leave no files
     runs.close()
+    assert not database.exists()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_read_in_order(spark):
+    rows = lambda low: spark.range(low, low + 500).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.lit(low).alias("owner"))
+    runs = line_dedup.LineRuns(spark, buckets=4)
+    a, b = (runs._write(rows(low).repartition(4, *line_dedup.HASH)) for low in (0, 1_000))
+    batch = rows(200).repartition(4, *line_dedup.HASH)
+    with line_dedup.ordered_buckets(spark):
+        joined = plan_of(batch.hint("merge").join(spark.table(a), line_dedup.HASH, "left_anti"))
+        merged = plan_of(runs.merged([a, b]))
+    assert joined.count("SortMergeJoin") == 1 and joined.count("Sort [") == 1 and joined.count("Exchange") == 1
+    assert merged.count("SortMergeJoin") == 1 and "Sort [" not in merged and "Exchange" not in merged
+    assert runs.merged([a, b]).count() == 1_000
+    runs._drop([a, b])
+    runs.close()
+
+
+def test_line_dedup_beside_clashing_columns_and_odd_rows(spark):
+    line, long_ = "A line that is common enough", "long " * 400_000
+    rows = [(None, line), (3, f"{line}\nown"), (1, line), (3, f"{line}\nown"), (2, None), (4, f"{long_}\n{line}\n{long_}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_doc", "_gone", "_LINES", "n_lines", "position", "h1"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    out = line_dedup.dedup(docs, batches=2)
+    assert out.columns == [*docs.columns, "n_dropped"]
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in out.where("_doc = 'mine' and _gone = 'mine' and h1 = 'mine'").collect()), key=str)
+    assert got == [(0, line, 0), (1, line, 0), (2, None, 0), (3, "own", 1), (3, "own", 1), (4, f"{long_}\n{long_}", 1)]
 
 
 def shingle_sets(docs):
