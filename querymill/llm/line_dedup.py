@@ -1,6 +1,6 @@
 """Exact line deduplication against levelled sorted runs of line hashes.
 
-Documents come in batches of ascending ids. Each batch's distinct line hashes are merge-anti-joined
+Texts are cut into lines and hashed in one scan, stored by batch of ascending ids. Each batch's distinct line hashes are merge-anti-joined
 with the runs, which are bucketed and sorted tables of one file per bucket, so that they are neither
 shuffled nor sorted for it; what is new becomes a run of level 0. A level that has ``FANOUT`` runs is
 compacted into one run of the next level by merge joins bucket by bucket, without a shuffle; the new
@@ -29,10 +29,10 @@ WORKING = ("_doc", "_gone", "_lines")
 STRIPPED = " \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    """The line without outer white space, A-Z lower-cased."""
-    bare = F.btrim(line, F.lit(STRIPPED))
-    return F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def line_key(bare: Column) -> Column:
+    """A line without outer white space, A-Z lower-cased. Lines of ASCII alone take the cheaper function."""
+    plain = F.octet_length(bare) == F.char_length(bare)
+    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 @contextmanager
@@ -119,10 +119,20 @@ class LineRuns:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Keyed lines (doc, position, h1, h2)."""
-    exploded = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("position", "line"))
-    keyed = exploded.select("doc", "position", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keyed.select("doc", "position", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    """Keyed lines (batch, doc, position, h1, h2)."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    exploded = docs.select("batch", "doc", F.posexplode(lines).alias("position", "line"))
+    # Lower-casing keeps the number of code points, so that short lines need none.
+    bare = exploded.withColumn("line", F.btrim("line", F.lit(STRIPPED))).where(F.length("line") >= min_chars)
+    key = line_key(F.col("line"))
+    return bare.select("batch", "doc", "position", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
+
+
+def _store_by_batch(lines: DataFrame) -> DataFrame:
+    """The lines, stored with a folder for each batch, so that a batch reads its own only."""
+    path = f"{shared_folder(lines.sparkSession)}/keyed-lines-{uuid.uuid4().hex}"
+    lines.write.partitionBy("batch").parquet(path)
+    return lines.sparkSession.read.schema(lines.schema).parquet(path)
 
 
 def repeated_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,21 +143,22 @@ def repeated_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, id
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     cuts = own.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
-    bounds = [None, *sorted(set(cuts or [])), None]
+    cuts = sorted(set(cuts or []))
+    batch = F.lit(0)
+    for cut in cuts:
+        batch = batch + (F.col("doc") > cut).cast("int")
+    keyed = _store_by_batch(_lines(own.withColumn("batch", batch), min_chars))
     runs, dropped = LineRuns(spark), []
-    for low, high in zip(bounds, bounds[1:]):
-        batch = own
-        batch = batch if low is None else batch.where(F.col("doc") > low)
-        batch = batch if high is None else batch.where(F.col("doc") <= high)
+    for number in range(len(cuts) + 1):
+        lines = keyed.where(F.col("batch") == number).drop("batch")
         # Partial aggregation leaves a very common line with one row per task.
-        first = store(_lines(batch, min_chars).groupBy(*HASH).agg(F.min("doc").alias("owner"), F.max("doc").alias("last")), "first-lines")
+        first = store(lines.groupBy(*HASH).agg(F.min("doc").alias("owner"), F.max("doc").alias("last")), "first-lines")
         shared = first.where("owner < last").select(*HASH, "owner")
         if runs.runs:
             earlier = runs.owners(first).select(*HASH, F.col("earlier").alias("owner"))
             shared = earlier.unionByName(shared.hint("merge").join(earlier.select(*HASH), HASH, "left_anti"))
-        if high is not None:
+        if number < len(cuts):
             runs.add(first)
-        lines = _lines(batch, min_chars)
         dropped.append(store(lines.hint("merge").join(shared, HASH).where("doc <> owner").select("doc", "position"), "dropped-lines"))
     runs.close()
     out = dropped[0]
