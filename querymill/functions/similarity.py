@@ -39,8 +39,15 @@ def token_overlap(predicted: Column, reference: Column) -> Column:
 
 
 def numbered(toks: Column) -> Column:
-    """Sorted tokens, each with its number among equal ones, so that no entry repeats."""
-    return bind(F.sort_array(toks), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit("#"), i - F.array_position(s, t) + 1)))
+    """Sorted tokens, repeats with the count of equal ones before them, so that no entry repeats.
+
+    The number stands in front, between spaces: no token begins with one.
+    """
+    def entry(s: Column, t: Column, i: Column) -> Column:
+        number = F.concat(F.lit(" "), i - F.array_position(s, t) + 1, F.lit(" "), t)
+        return F.when(F.get(s, i - 1) == t, number).otherwise(t)
+
+    return bind(F.sort_array(toks), lambda s: F.transform(s, lambda t, i: entry(s, t, i)))
 
 
 def numbered_overlap(predicted: Column, reference: Column) -> Column:
@@ -49,6 +56,36 @@ def numbered_overlap(predicted: Column, reference: Column) -> Column:
     return F.when(F.size(reference) == 0, 0.0).otherwise(matched / F.size(reference))
 
 
+# Lengths by which a common start is felt for: together they cover 8,191 characters.
+_STRIDES = tuple(1 << k for k in range(12, -1, -1))
+
+
+def _past_common_start(texts: Column) -> Column:
+    """Both texts of a pair, reversed, without the start they share (its first 8,191 characters)."""
+    a, b = texts["a"], texts["b"]
+
+    def same(n: Column, stride: Column) -> Column:
+        return F.substring(a, n + 1, stride) == F.substring(b, n + 1, stride)
+
+    strides = F.array(*[F.lit(s) for s in _STRIDES])
+    shared = F.aggregate(strides, F.lit(0), lambda n, s: n + F.when(same(n, s), s).otherwise(0))
+    return bind(
+        shared,
+        lambda n: F.struct(
+            F.reverse(F.substring(a, n + 1, F.length(a))).alias("a"),
+            F.reverse(F.substring(b, n + 1, F.length(b))).alias("b"),
+        ),
+    )
+
+
+def edit_distance(predicted: Column, reference: Column) -> Column:
+    """Levenshtein distance. A common start or end does not count, so only what lies between is compared."""
+    pair = F.array(F.struct(predicted.alias("a"), reference.alias("b")))
+    ends = F.transform(F.transform(pair, _past_common_start), _past_common_start)
+    rest = F.transform(ends, lambda e: F.levenshtein(e["a"], e["b"]))
+    return F.when(predicted == reference, 0).otherwise(F.get(rest, F.lit(0)))
+
+
 def select_columns(up: Column) -> Column:
     """Comma-separated pieces in front of the first FROM, without the word SELECT."""
     part = strip(F.replace(F.substring_index(up, "FROM", 1), F.lit("SELECT"), F.lit("")))

@@ -6,7 +6,6 @@ spelled out once here. Everything below stays within whole-stage codegen.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -76,7 +75,8 @@ def clean_word_count(col: Column) -> Column:
 
 def occurrences(col: Column, word: str) -> Column:
     """Non-overlapping occurrences of a literal substring."""
-    return F.regexp_count(col, F.lit(re.escape(word)))
+    rest = F.octet_length(F.replace(col, F.lit(word), F.lit("")))
+    return ((F.octet_length(col) - rest) / len(word.encode())).cast("int")
 
 
 def contains_any(col: Column, words: Sequence[str]) -> Column:

@@ -115,8 +115,7 @@ def evaluate(
     rated = rated.withColumns({c: F.when(F.col("paired"), F.col(c)) for c in _METRICS})
     norms = F.col("pred_norm"), F.col("ref_norm")
     if levenshtein:
-        distance = F.when(norms[0] == norms[1], 0).otherwise(F.levenshtein(*norms))
-        rated = rated.withColumn("levenshtein", distance)
+        rated = rated.withColumn("levenshtein", S.edit_distance(*norms))
     return rated.drop(*_features_of("pred"), *_features_of("ref"))
 
 

@@ -175,3 +175,27 @@ def test_predictions_without_reference_are_counted(spark):
     assert levels["all"] == 2 and levels["unpaired"] == 1
     with pytest.raises(ValueError):
         evaluate.evaluate(preds, refs, strict=True)
+
+
+def test_edit_distance_leaves_out_common_ends(spark):
+    texts = ["", "a", "abc", "abd", "xabc", "ab ab ab", "ab ab", "aé😀b", "aé😁b", "b😀éa", "select a from t", "select a form t..."]
+    long = "x" * 9000  # longer than the strides cover
+    texts += [long + "ab" + long, long + "b" + long + "c"]
+    pairs = [(a, b) for a in texts[:12] for b in texts[:12]] + [(texts[12], texts[13]), (texts[12], texts[12]), (None, "a")]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    got = df.select("a", "b", similarity.edit_distance(F.col("a"), F.col("b")).alias("d"), F.levenshtein("a", "b").alias("e"))
+    assert got.where("NOT (d <=> e)").count() == 0
+
+
+def test_numbered_tokens_do_not_run_into_each_other(spark):
+    toks = ["-- X#2", "-- X", "-- X", "2", "2", "3TOK", "23TOK", "TOK", "TOK"]
+    df = spark.createDataFrame([(toks,)], "t array<string>")
+    got = df.select(similarity.numbered(F.col("t"))).first()[0]
+    assert len(set(got)) == len(toks) and {"-- X#2", " 1 -- X", " 1 2", " 1 TOK"} <= set(got)
+
+
+def test_occurrences_do_not_overlap(evaluate_expr):
+    from querymill.functions.text import occurrences
+
+    assert evaluate_expr(["JOINJOIN JOI", "", None, "ééJOIN"], lambda t: occurrences(t, "JOIN")) == [2, 0, None, 1]
+    assert evaluate_expr(["AAAAA"], lambda t: occurrences(t, "AA")) == [2]
