@@ -23,7 +23,9 @@ _JOIN = (
     rf"(?:(?:LEFT|RIGHT|FULL){_S}++)?(?:(?:INNER|OUTER|CROSS|NATURAL){_S}++)?JOIN(?!{_W})"
 )
 _PHRASE = rf"{_JOIN}|(?:(?:GROUP|ORDER){_S}++BY|UNION{_S}++ALL|NOT{_S}++NULL)(?!{_W})"
-_WORD = rf"[0-9]*+[A-Za-z_\p{{L}}]{_W}*+"
+# ASCII runs go by one table look-up a character (\w); other letters go on from where they end.
+_REST_OF_WORD = rf"\w*+(?:[\p{{L}}\p{{N}}]{_W}*+)?+"
+_WORD = rf"[0-9]*+[A-Za-z_\p{{L}}]{_REST_OF_WORD}"
 _NUMBER = r"-?[0-9]++(?:\.[0-9]++)?"
 _OPERATOR = r"[<>=!~]++|[+/@#%&|^-]++"
 
@@ -35,10 +37,10 @@ TOKEN = (
 
 # A word glued to "(" or to dots is a name, unless it is one of the first five. The last
 # alternative takes any character, so the pieces always add up to the text.
-_NEVER_NAME = rf"(?i:IN|VALUES|USING|FROM|AS)(?!{_W})"
+_NEVER_NAME = rf"(?=[AFIUVafiuv])(?i:IN|VALUES|USING|FROM|AS)(?!{_W})"
 _NAME = rf"{_WORD}(?:\(|(?:{_S}*+\.{_S}*+{_WORD})++|{_S}*+\.)?+"
-_REST = rf"{_S}++|{_COMMENT}|{_QUOTED}|{_NUMBER}|{_OPERATOR}|."
-SPACED_TOKEN = rf"(?s){_NEVER_NAME}|{_NAME}|{_REST}"
+_REST = rf"{_COMMENT}|{_QUOTED}|{_NUMBER}|{_OPERATOR}|."
+SPACED_TOKEN = rf"(?s){_S}++|{_NEVER_NAME}|{_NAME}|{_REST}"
 
 # Words written in upper case by normalisation.
 KEYWORDS = (
@@ -121,11 +123,15 @@ def comparable(sql: Column) -> Column:
 
 
 def followers(toks: Column, words: Sequence[str]) -> Column:
-    """Distinct tokens that directly follow one of ``words``."""
+    """Distinct tokens that directly follow one of ``words``; a list without them is not gone through."""
     after = F.filter(
         toks, lambda t, i: (i > 0) & F.get(toks, i - 1).isin(*words)
     )
-    return F.array_distinct(after)
+    present = F.arrays_overlap(toks, F.array(*[F.lit(w) for w in words]))
+    if len(words) == 1:
+        present = F.array_contains(toks, words[0])
+    nothing = F.when(toks.isNotNull(), F.array().cast("array<string>"))
+    return F.when(present, F.array_distinct(after)).otherwise(nothing)
 
 
 def table_references(toks: Column) -> Column:
