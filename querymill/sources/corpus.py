@@ -57,11 +57,15 @@ def stream_corpus(
     spark: SparkSession, path: str, schema: StructType = RAW, fmt: str = "parquet",
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """The same table as a stream; every row-wise operator runs on it unchanged."""
+    """The same table as a stream; every row-wise operator runs on it unchanged.
+
+    A micro-batch of few files would be read and worked on by as few tasks, so its rows are dealt to
+    all cores first.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    return reader.load(path).repartition(spark.sparkContext.defaultParallelism)
 
 
 def write_processed(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -94,3 +94,14 @@ def test_stop_sequences(evaluate_expr):
 def test_echo(evaluate_expr):
     got = evaluate_expr(["p: x", "other", " p: y "], lambda c: generate.without_echo(c, F.lit("p: ")))
     assert got == ["x", "other", "p: y"]
+
+
+def test_a_batch_of_one_file_is_worked_on_by_all_cores(spark, tmp_path):
+    from querymill.sources.corpus import stream_corpus
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stream_corpus(spark, str(tmp_path / "in"), spark.range(1).schema, files_per_trigger=1)
+    parts = []
+    query = stream.writeStream.foreachBatch(lambda batch, i: parts.append((batch.rdd.getNumPartitions(), batch.count())))
+    query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert parts == [(spark.sparkContext.defaultParallelism, 100)]
