@@ -22,7 +22,8 @@ TABLE = (
 COLUMN = rf"(?iU)^{_Q}(\w+){_Q}{WS}+(?:{'|'.join(COLUMN_TYPES)})"
 STATEMENT = rf"(?is)CREATE{WS}+TABLE{WS}+.*?;"
 ROUGH_TABLE = rf"(?iU)CREATE TABLE{WS}+(?:IF NOT EXISTS{WS}+)?(\w+)"
-ROUGH_COLUMN = rf"(?iU)(\w+){WS}+(?:{'|'.join(ROUGH_TYPES)})"
+# The whitespace between a name and its type; the name must not lie inside the match before.
+ROUGH_COLUMN = rf"(?iU)(?![!-~])(?<=\w)(?!\G){WS}++(?:{'|'.join(ROUGH_TYPES)})"
 
 
 def _definitions(context: Column) -> Column:
@@ -126,7 +127,7 @@ def rough_tables(schema: Column) -> Column:
 
 
 def rough_column_count(schema: Column) -> Column:
-    return F.size(F.regexp_extract_all(or_empty(schema), F.lit(ROUGH_COLUMN), F.lit(1)))
+    return F.regexp_count(or_empty(schema), F.lit(ROUGH_COLUMN))
 
 
 def schema_preview(schema: Column, max_length: int = 200) -> Column:

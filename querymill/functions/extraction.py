@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querymill.functions.text import WS, computed_once, contains_any, or_empty, strip
+from querymill.functions.text import WS, computed_once, contains_any, or_empty, single_spaced, strip
 
 # Words that open a query. The order decides which one wins inside prose.
 OPENING_KEYWORDS = (
@@ -55,7 +55,7 @@ def clean_extracted(sql: Column, opts: ParserOptions = ParserOptions()) -> Colum
     """Label prefix off, whitespace collapsed, " ;" closed up."""
     out = F.regexp_replace(sql, rf"(?i)^(?:SQL:|Query:|Answer:){WS}*", "")
     if opts.clean_whitespace:
-        out = F.replace(F.regexp_replace(out, WS + "+", " "), F.lit(" ;"), F.lit(";"))
+        out = F.replace(single_spaced(out), F.lit(" ;"), F.lit(";"))
     out = strip(out)
     return out if opts.max_sql_length is None else F.substring(out, 1, opts.max_sql_length)
 

@@ -22,6 +22,8 @@ WS = (
     r"[[\x00-\x20\x{85}-\x{3000}]&&[\x20\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 )
+# A whitespace run other than a single space. A printable ASCII character fails in the first comparison.
+ODD_RUN = rf"(?![!-~])(?: {WS}++|(?! ){WS}++)"
 # The complement, spelled out with the common range first.
 NON_WS = (
     r"[\x21-\x{84}\x00-\x08\x0e-\x1b\x{86}-\x{9f}\x{a1}-\x{167f}\x{1681}-\x{1fff}"
@@ -55,7 +57,12 @@ def strip(col: Column) -> Column:
 
 def collapse(col: Column) -> Column:
     """Every whitespace run becomes one space, the ends are stripped."""
-    return F.trim(F.regexp_replace(col, WS + "+", " "))
+    return F.trim(single_spaced(col))
+
+
+def single_spaced(col: Column) -> Column:
+    """Every whitespace run becomes one space; the runs that are one already are not touched."""
+    return F.regexp_replace(col, ODD_RUN, " ")
 
 
 def is_blank(col: Column) -> Column:

@@ -1,5 +1,7 @@
 """CREATE TABLE text and prompts."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,10 @@ def test_schema_can_be_left_out(spark):
     assert df.select(prompting.prompt(F.col("q"), F.col("s"), opts=opts)).first()[0] == (
         "Schema: \n\nQuestion: q\n\nSQL:"
     )
+
+
+def test_rough_column_count_takes_linear_time(evaluate_expr):
+    given_ = ["a INTEGER INT", "x INT INT", "_x\t int, y  Text; 9 DATE", " INT", "x" * 200_000, None]
+    start = time.monotonic()
+    assert evaluate_expr(given_, ddl.rough_column_count) == [2, 1, 3, 0, 0, 0]
+    assert time.monotonic() - start < 15
