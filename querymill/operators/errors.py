@@ -44,5 +44,6 @@ def error_rate_by_level(results: DataFrame) -> DataFrame:
 def error_samples(
     results: DataFrame, n: int = 20, order: tuple[str, ...] = ("sample_id",)
 ) -> DataFrame:
-    """First n errors."""
-    return first_n(error_set(results), n, order).select(*SAMPLE_COLUMNS)
+    """First n errors. Other metrics are left out before the cut, so they are not computed."""
+    narrow = error_set(results).select(*dict.fromkeys((*SAMPLE_COLUMNS, *order)))
+    return first_n(narrow, n, order).select(*SAMPLE_COLUMNS)

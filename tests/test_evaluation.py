@@ -199,3 +199,10 @@ def test_occurrences_do_not_overlap(evaluate_expr):
 
     assert evaluate_expr(["JOINJOIN JOI", "", None, "ééJOIN"], lambda t: occurrences(t, "JOIN")) == [2, 0, None, 1]
     assert evaluate_expr(["AAAAA"], lambda t: occurrences(t, "AA")) == [2]
+
+
+def test_error_samples_store_only_their_columns(spark, results):
+    samples = errors.error_samples(results, 2)
+    assert len(samples.collect()) == 2
+    stored = spark.read.parquet(*samples.inputFiles())
+    assert not {"levenshtein", "keyword_f1", "predicted_complexity"} & set(stored.columns)
