@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from querymill.functions.text import NON_WS, WS, WS_CHARS, bind, collapse, or_empty, strip
+from querymill.functions.text import NON_WS, WS, WS_CHARS, collapse, or_empty, strip
 
 _S = WS
 _W = r"[A-Za-z0-9_\p{L}\p{N}]"
@@ -24,23 +24,30 @@ _JOIN = (
 )
 _PHRASE = rf"{_JOIN}|(?:(?:GROUP|ORDER){_S}++BY|UNION{_S}++ALL|NOT{_S}++NULL)(?!{_W})"
 # ASCII runs go by one table look-up a character (\w); other letters go on from where they end.
-_REST_OF_WORD = rf"\w*+(?:[\p{{L}}\p{{N}}]{_W}*+)?+"
-_WORD = rf"[0-9]*+[A-Za-z_\p{{L}}]{_REST_OF_WORD}"
+_REST_OF_WORD = rf"\w*+(?:[\x{{80}}-\x{{10ffff}}&&[\p{{L}}\p{{N}}]]{_W}*+)?+"
+# Behind the digits \w can only be a letter or "_".
+_WORD = rf"[0-9]*+[\w\p{{L}}]{_REST_OF_WORD}"
 _NUMBER = r"-?[0-9]++(?:\.[0-9]++)?"
 _OPERATOR = r"[<>=!~]++|[+/@#%&|^-]++"
 
-# For upper-cased text. The first letters in front of the phrases keep other words off them.
+# For upper-cased text, in group 1; a space behind a token is passed over with it. The first letters
+# in front of the phrases keep other words off them.
 TOKEN = (
-    rf"(?s)(?=[CFGIJLNORU])(?:{_PHRASE})|{_WORD}|{_COMMENT}|{_QUOTED}|{_NUMBER}|{_OPERATOR}"
-    rf"|{NON_WS}"
+    rf"(?s)(?! )((?=[CFGIJLNORU])(?:{_PHRASE})|{_WORD}|{_COMMENT}|{_QUOTED}|{_NUMBER}|{_OPERATOR}"
+    rf"|[!-~]|{NON_WS}) ?+"
 )
 
 # A word glued to "(" or to dots is a name, unless it is one of the first five. The last
 # alternative takes any character, so the pieces always add up to the text.
 _NEVER_NAME = rf"(?=[AFIUVafiuv])(?i:IN|VALUES|USING|FROM|AS)(?!{_W})"
-_NAME = rf"{_WORD}(?:\(|(?:{_S}*+\.{_S}*+{_WORD})++|{_S}*+\.)?+"
+_NAME = rf"{_WORD}(?:\(|(?={_S}*+\.)(?:(?:{_S}*+\.{_S}*+{_WORD})++|{_S}*+\.))?+"
 _REST = rf"{_COMMENT}|{_QUOTED}|{_NUMBER}|{_OPERATOR}|."
-SPACED_TOKEN = rf"(?s){_S}++|{_NEVER_NAME}|{_NAME}|{_REST}"
+_PIECE = rf"(?![!-~]){_S}++|{_NEVER_NAME}|{_NAME}|{_REST}"
+# A space behind a piece stays with it, which halves the pieces. For tidying, only a space that is
+# kept; whitespace behind "(" or in front of ")" and "," is outside the group and extracted as "".
+SPACED_TOKEN = rf"(?s)(?:{_PIECE}) ?+"
+_KEPT_SPACE = rf"(?:(?<!\() (?![),])(?!(?![!-~]){_S}))?+"
+TIDY_TOKEN = rf"(?s)(?![!-~])(?:(?<=\(){_S}++|{_S}++(?=[),]))|((?:{_PIECE}){_KEPT_SPACE})"
 
 # Words written in upper case by normalisation.
 KEYWORDS = (
@@ -67,32 +74,39 @@ TYPE_NAMES = (
 
 def tokens(sql: Column) -> Column:
     """Upper-cased tokens, whitespace dropped."""
-    return F.regexp_extract_all(F.upper(or_empty(sql)), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.upper(or_empty(sql)), F.lit(TOKEN), F.lit(1))
 
 
 _OPERATOR_CHARS = tuple("<>=!~+/@#%&|^-")
 _AS_WRITTEN = tuple("'\"0123456789-/")
 
 
+def _with_space(words: Sequence[str]) -> list[str]:
+    """Words as they come out of the text, with and without the space behind them."""
+    return [*words, *[w + " " for w in words]]
+
+
 def _recased(token: Column, lower_names: bool) -> Column:
     """Keywords up, names down; literals, numbers, comments and type names as written."""
     up = F.upper(token)
-    kept = F.substring(token, 1, 1).isin(*_AS_WRITTEN) | up.isin(*TYPE_NAMES)
-    return (
-        F.when(token == " ", token)
-        .when(up.isin(*KEYWORDS), up)
-        .when(kept, token)
-        .otherwise(F.lower(token) if lower_names else token)
-    )
+    named = F.when(up.isin(_with_space(KEYWORDS)), up).otherwise(token)
+    if not lower_names:
+        return named
+    kept = F.substring(token, 1, 1).isin(*_AS_WRITTEN)
+    # one look-up sends most names on
+    known = up.isin(_with_space((*KEYWORDS, *TYPE_NAMES)))
+    return F.when(known, named).when(kept, token).otherwise(F.lower(token))
 
 
 def _spaced(token: Column) -> Column:
     """As above, with a space on either side of an operator (comments are gone by then)."""
     operator = F.substring(token, 1, 1).isin(*_OPERATOR_CHARS)
     number = F.substring(token, 2, 1).between("0", "9")
-    return F.when(
-        operator & ~number, F.concat(F.lit(" "), token, F.lit(" "))
-    ).otherwise(_recased(token, True))
+    return (
+        F.when(token == " ", token)
+        .when(operator & ~number, F.concat(F.lit(" "), token, F.lit(" ")))
+        .otherwise(_recased(token, True))
+    )
 
 
 def normalise_layout(sql: Column) -> Column:
@@ -103,15 +117,12 @@ def normalise_layout(sql: Column) -> Column:
 
 def tidy_case(sql: Column, lower_names: bool = True) -> Column:
     """Keyword case plus whitespace clean-up: single spaces, none inside "( )" or before ","."""
-    def piece(pieces: Column, token: Column, i: Column) -> Column:
-        opened = (i > 0) & F.endswith(F.get(pieces, i - 1), F.lit("("))
-        gap = F.when(opened | F.get(pieces, i + 1).isin(")", ","), "").otherwise(" ")
-        blank = (token == " ") | F.substring(token, 1, 1).isin(*WS_CHARS)
-        return F.when(blank, gap).otherwise(_recased(token, lower_names))
-
-    found = F.regexp_extract_all(or_empty(sql), F.lit(SPACED_TOKEN), F.lit(0))
-    tidied = bind(found, lambda p: F.transform(p, lambda t, i: piece(p, t, i)))
-    return strip(F.array_join(tidied, ""))
+    def piece(token: Column) -> Column:
+        blank = F.substring(token, 1, 1).isin(*WS_CHARS)
+        return F.when(token == " ", token).when(blank, " ").otherwise(_recased(token, lower_names))
+
+    found = F.regexp_extract_all(or_empty(sql), F.lit(TIDY_TOKEN), F.lit(1))
+    return strip(F.array_join(F.transform(found, piece), ""))
 
 
 def comparable(sql: Column) -> Column:

@@ -79,11 +79,19 @@ def _past_common_start(texts: Column) -> Column:
 
 
 def edit_distance(predicted: Column, reference: Column) -> Column:
-    """Levenshtein distance. A common start or end does not count, so only what lies between is compared."""
+    """Levenshtein distance. A common start or end does not count, so only what lies between is compared.
+
+    From or to an empty text it is the length of the other.
+    """
     pair = F.array(F.struct(predicted.alias("a"), reference.alias("b")))
     ends = F.transform(F.transform(pair, _past_common_start), _past_common_start)
     rest = F.transform(ends, lambda e: F.levenshtein(e["a"], e["b"]))
-    return F.when(predicted == reference, 0).otherwise(F.get(rest, F.lit(0)))
+    return (
+        F.when(predicted == reference, 0)
+        .when(predicted == "", F.length(reference))
+        .when(reference == "", F.length(predicted))
+        .otherwise(F.get(rest, F.lit(0)))
+    )
 
 
 def select_columns(up: Column) -> Column:

@@ -206,3 +206,17 @@ def test_error_samples_store_only_their_columns(spark, results):
     assert len(samples.collect()) == 2
     stored = spark.read.parquet(*samples.inputFiles())
     assert not {"levenshtein", "keyword_f1", "predicted_complexity"} & set(stored.columns)
+
+
+def test_pieces_hold_the_space_behind_them(evaluate_expr):
+    given_ = ["select a from t", "count( a , b ) ,'x ,' )", "a  b"]
+    sizes = evaluate_expr(given_, lambda c: F.size(F.regexp_extract_all(c, F.lit(lexing.SPACED_TOKEN), F.lit(0))))
+    assert sizes[0] == 4
+    assert evaluate_expr(given_, lexing.tidy_case) == ["SELECT a FROM t", "count(a, b),'x ,')", "a b"]
+
+
+def test_distance_from_an_empty_text(spark):
+    pairs = [("", "é\U0001f600b"), ("abc", ""), ("", ""), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(pairs, "p string, r string")
+    got = df.select(similarity.edit_distance(F.col("p"), F.col("r")).alias("d")).collect()
+    assert [r["d"] for r in got] == [3, 3, 0, None, None]
