@@ -69,3 +69,21 @@ def test_only_longer_records_are_brought_together(spark, tmp_path):
     write_csv(tmp_path / "a.csv", [(i, "q", "c", "one\ntwo" if i % 100 == 0 else "s") for i in range(2000)])
     df = records.record_texts(spark, str(tmp_path / "a.csv"))
     assert df.where(F.contains("__record", F.lit("\n"))).count() == 20 and df.count() == 2001
+
+
+def test_lines_that_are_records_are_not_shuffled(spark, tmp_path, small_blocks):
+    """Only blocks that begin or end inside a quoted text, or hold a break of one, are windowed."""
+    plain = [(i, "q", 'say "x"', "\r" if i == 7 else "s" * (i % 50)) for i in range(400)]
+    write_csv(tmp_path / "plain.csv", plain)
+    df = records.record_texts(spark, str(tmp_path / "plain.csv"))
+    assert df.count() == 401 and df.where("__first").count() == 1
+    assert not any("/lines-" in f for f in df.inputFiles())
+    broken = [(1000 + i, "q\n" if i == 200 else "q", None, "s" * 40) for i in range(400)]
+    write_csv(tmp_path / "some.csv", broken)
+    df = records.record_texts(spark, str(tmp_path))
+    assert any("/lines-" in f for f in df.inputFiles())
+    singles = spark.read.parquet(*[f for f in df.inputFiles() if "/records-" in f]).count()
+    assert 401 < singles < 802
+    got = corpus.read_corpus(spark, str(tmp_path), fmt="csv").collect()
+    want = [(a, b, c, d or None) for a, b, c, d in plain + broken]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
