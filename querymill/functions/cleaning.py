@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from querymill.functions.lexing import normalise_layout
 from querymill.functions.text import (
+    bind,
     collapse,
     contains_any,
     found_words,
@@ -37,7 +38,11 @@ def clean_question(question: Column) -> Column:
 
 
 def drop_comments(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, _LINE_COMMENT, ""), _BLOCK_COMMENT, "")
+    """Texts without the two characters that open a comment are not gone through by the patterns."""
+    def dropped(mark: str, pattern: str):
+        return lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, pattern, "")).otherwise(t)
+
+    return bind(bind(text, dropped("--", _LINE_COMMENT)), dropped("/*", _BLOCK_COMMENT))
 
 
 def clean_schema(context: Column, max_length: int | None = None) -> Column:

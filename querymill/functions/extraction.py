@@ -11,7 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querymill.functions.text import WS, computed_once, contains_any, or_empty, single_spaced, strip
+from querymill.functions.text import (
+    WS,
+    computed_once,
+    contains_any,
+    or_empty,
+    single_spaced,
+    strip,
+    strip_column,
+)
 
 # Words that open a query. The order decides which one wins inside prose.
 OPENING_KEYWORDS = (
@@ -55,8 +63,9 @@ def clean_extracted(sql: Column, opts: ParserOptions = ParserOptions()) -> Colum
     """Label prefix off, whitespace collapsed, " ;" closed up."""
     out = F.regexp_replace(sql, rf"(?i)^(?:SQL:|Query:|Answer:){WS}*", "")
     if opts.clean_whitespace:
-        out = F.replace(single_spaced(out), F.lit(" ;"), F.lit(";"))
-    out = strip(out)
+        out = F.trim(F.replace(single_spaced(out), F.lit(" ;"), F.lit(";")))  # spaces are all that is left
+    else:
+        out = strip(out)
     return out if opts.max_sql_length is None else F.substring(out, 1, opts.max_sql_length)
 
 
@@ -129,7 +138,7 @@ def add_extraction(
     names = [f"__{into}_{s}" for s in ("text", "up", "fenced", "spanned", "raw")]
     text, up, fenced, spanned, raw = (F.col(n) for n in names)
     block = from_code_block(text, opts) if opts.extract_code_blocks else F.lit("")
-    df = df.withColumn(names[0], strip(or_empty(F.col(response))))
+    df = df.withColumn(names[0], strip_column(or_empty(F.col(response))))
     df = df.withColumns({names[1]: F.upper(text), names[2]: block})
     df = df.withColumn(names[3], F.when(fenced == "", from_inline_code(text, opts)).otherwise(fenced))
     df = df.withColumn(
@@ -142,7 +151,7 @@ def add_extraction(
 def valid_format(
     response: Column, extracted: Column, opts: ParserOptions = ParserOptions()
 ) -> Column:
-    size = F.length(strip(or_empty(response)))
+    size = F.length(strip_column(or_empty(response)))
     in_range = size >= opts.min_sql_length
     if opts.max_response_length is not None:
         in_range = in_range & (size <= opts.max_response_length)

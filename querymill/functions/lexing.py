@@ -117,12 +117,17 @@ def normalise_layout(sql: Column) -> Column:
 
 def tidy_case(sql: Column, lower_names: bool = True) -> Column:
     """Keyword case plus whitespace clean-up: single spaces, none inside "( )" or before ","."""
+    return strip(_tidied(sql, lower_names))
+
+
+def _tidied(sql: Column, lower_names: bool) -> Column:
+    """``tidy_case`` with the whitespace at the ends."""
     def piece(token: Column) -> Column:
         blank = F.substring(token, 1, 1).isin(*WS_CHARS)
         return F.when(token == " ", token).when(blank, " ").otherwise(_recased(token, lower_names))
 
     found = F.regexp_extract_all(or_empty(sql), F.lit(TIDY_TOKEN), F.lit(1))
-    return strip(F.array_join(F.transform(found, piece), ""))
+    return F.array_join(F.transform(found, piece), "")
 
 
 def comparable(sql: Column) -> Column:
@@ -130,19 +135,33 @@ def comparable(sql: Column) -> Column:
 
     Each of "=", "<" and ">" stands alone, so "<=" reads "< =" on both sides of a comparison.
     """
-    return collapse(F.regexp_replace(tidy_case(sql), "([=<>])", " $1 "))
+    out = _tidied(sql, True)
+    for sign in "=<>":
+        out = F.replace(out, F.lit(sign), F.lit(f" {sign} "))
+    return collapse(out)
 
 
 def followers(toks: Column, words: Sequence[str]) -> Column:
-    """Distinct tokens that directly follow one of ``words``; a list without them is not gone through."""
+    """Distinct tokens that directly follow one of ``words``.
+
+    A list without them is not gone through, nor one in which a single word stands once.
+    """
     after = F.filter(
         toks, lambda t, i: (i > 0) & F.get(toks, i - 1).isin(*words)
     )
-    present = F.arrays_overlap(toks, F.array(*[F.lit(w) for w in words]))
-    if len(words) == 1:
-        present = F.array_contains(toks, words[0])
-    nothing = F.when(toks.isNotNull(), F.array().cast("array<string>"))
-    return F.when(present, F.array_distinct(after)).otherwise(nothing)
+    empty = F.array().cast("array<string>")
+    nothing = F.when(toks.isNotNull(), empty)
+    if len(words) > 1:
+        present = F.arrays_overlap(toks, F.array(*[F.lit(w) for w in words]))
+        return F.when(present, F.array_distinct(after)).otherwise(nothing)
+    size, first = F.size(toks), F.array_position(toks, words[0]).cast("int")
+    rest = F.slice(toks, first + 1, size)  # from the token behind the word on
+    return (
+        F.when(first == 0, nothing)
+        .when(first == size, empty)
+        .when(F.array_contains(rest, words[0]), F.array_distinct(after))
+        .otherwise(F.slice(toks, first + 1, 1))
+    )
 
 
 def table_references(toks: Column) -> Column:

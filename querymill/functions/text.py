@@ -55,6 +55,12 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WS_CHARS))
 
 
+def strip_column(col: Column) -> Column:
+    """``strip`` of a column that is at hand: ends that are printable ASCII are seen without going through it."""
+    first, last = F.substring(col, 1, 1), F.substring(col, -1, 1)
+    return F.when(first.between("!", "~") & last.between("!", "~"), col).otherwise(strip(col))
+
+
 def collapse(col: Column) -> Column:
     """Every whitespace run becomes one space, the ends are stripped."""
     return F.trim(single_spaced(col))

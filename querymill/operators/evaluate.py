@@ -11,7 +11,7 @@ from querymill.functions import similarity as S
 from querymill.functions.extraction import add_extraction, valid_format
 from querymill.functions.lexing import comparable, tidy_case, tokens
 from querymill.functions.rubric import RubricOptions
-from querymill.functions.text import computed_once, or_empty, strip
+from querymill.functions.text import computed_once, or_empty
 from querymill.operators.columns import as_rows, percent
 from querymill.operators.pairing import pair, require_pairing
 from querymill.operators.reward import add_scores
@@ -40,18 +40,18 @@ def add_query_features(df: DataFrame, sql: str, prefix: str) -> DataFrame:
     df = df.withColumns(
         {up: F.upper(or_empty(F.col(sql))), toks: tokens(F.col(sql))}
     )
-    features = S.complexity_features(F.col(up), F.col(toks))
-    df = df.withColumn(f"{prefix}_features", features)
-    score = S.complexity_score(F.col(f"{prefix}_features"))
+    score = S.complexity_score(S.complexity_features(F.col(up), F.col(toks)))
+    df = df.withColumn(f"{prefix}_score", score)
+    empty = F.size(toks) == 0  # every character but whitespace is part of a token
     return df.withColumns(
         {
             f"{prefix}_norm": computed_once(comparable(F.col(sql))),
             f"{prefix}_mask": S.pair_keyword_mask(F.col(up)),
             f"{prefix}_shape": S.structure(F.col(up), F.col(toks)),
-            f"{prefix}_level": S.score_level(score, strip(F.col(up)) == ""),
+            f"{prefix}_level": S.score_level(F.col(f"{prefix}_score"), empty),
             f"{prefix}_tokens": S.numbered(F.col(toks)),
         }
-    ).drop(up, toks, f"{prefix}_features")
+    ).drop(up, toks, f"{prefix}_score")
 
 
 def _features_of(prefix: str) -> list[str]:
@@ -94,8 +94,11 @@ def evaluate(
 
     A prediction without reference keeps its row, with ``paired`` false and null metrics; with
     ``strict`` the two sides must hold the same keys. The distance compares every character with
-    every other; leave it out where queries are long and the rates suffice. The features of both
-    sides are computed on their scan partitions, in front of the join.
+    every other; leave it out where queries are long and the rates suffice. The features of a
+    reference are computed once, in front of the join. Those of a prediction, of which there are
+    several per reference, are computed behind it: only the text is shuffled and sorted, a
+    prediction without reference needs none, and one that is its reference letter by letter has
+    the reference's.
     """
     if strict:
         require_pairing(predictions, references)
@@ -109,9 +112,13 @@ def evaluate(
             "valid": F.coalesce(F.col("valid"), F.lit(False)),
         }
     )
-    preds = add_query_features(preds, "predicted_sql", "pred")
     joined = pair(preds, refs.withColumn("paired", F.lit(True)), how="left")
-    rated = pair_metrics(joined.withColumn("paired", F.coalesce("paired", F.lit(False))))
+    joined = joined.withColumn("paired", F.coalesce("paired", F.lit(False)))
+    verbatim = F.col("predicted_sql") == or_empty(F.col("reference_sql"))
+    joined = joined.withColumn("__sql", F.when(F.col("paired") & ~verbatim, F.col("predicted_sql")))
+    joined = add_query_features(joined, "__sql", "pred").drop("__sql")
+    own = zip(_features_of("pred"), _features_of("ref"))
+    rated = pair_metrics(joined.withColumns({p: F.when(verbatim, F.col(r)).otherwise(F.col(p)) for p, r in own}))
     rated = rated.withColumns({c: F.when(F.col("paired"), F.col(c)) for c in _METRICS})
     norms = F.col("pred_norm"), F.col("ref_norm")
     if levenshtein:

@@ -220,3 +220,37 @@ def test_distance_from_an_empty_text(spark):
     df = spark.createDataFrame(pairs, "p string, r string")
     got = df.select(similarity.edit_distance(F.col("p"), F.col("r")).alias("d")).collect()
     assert [r["d"] for r in got] == [3, 3, 0, None, None]
+
+
+def test_predictions_are_shuffled_as_texts(spark):
+    """Their features are computed behind the join, and only where there is a reference to compare with."""
+    preds = spark.createDataFrame(
+        [(1, "SELECT a FROM t", True), (1, "select a, a from t where b = b", True), (1, "", True), (1, None, None),
+         (2, "", True), (2, "SELECT 1", True), (3, "SELECT 1", True), (None, "SELECT 1", True)],
+        "sample_id long, predicted_sql string, valid boolean",
+    )
+    refs = spark.createDataFrame(
+        [(1, "q", "SELECT a FROM t", "simple"), (2, "q", None, "simple"), (2, "q", "SELECT  1", None), (None, "q", "SELECT 1", "simple")],
+        "sample_id long, question string, sql string, complexity string",
+    )
+    out = evaluate.evaluate(preds, refs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above, _, left = plan.partition("SortMergeJoin")[2].partition("Exchange hashpartitioning(sample_id")
+    assert "regexp_extract_all" not in left.partition("Exchange hashpartitioning(sample_id")[0]
+    got = {(r["sample_id"], r["predicted_sql"], r["reference_sql"]): r for r in out.collect()}
+    assert len(got) == 9 and out.count() == 10  # the null prediction and the empty one come out alike
+    same = got[1, "SELECT a FROM t", "SELECT a FROM t"]
+    assert [same[c] for c in ("exact_match", "token_accuracy", "structural_similarity", "keyword_f1", "levenshtein")] == [1.0] * 4 + [0]
+    longer = got[1, "select a, a from t where b = b", "SELECT a FROM t"]
+    assert (longer["exact_match"], longer["token_accuracy"], longer["keyword_recall"], longer["levenshtein"]) == (0.0, 1.0, 1.0, 15)
+    empty = got[2, "", None]
+    assert (empty["exact_match"], empty["token_accuracy"], empty["predicted_complexity"], empty["levenshtein"]) == (1.0, 0.0, "invalid", 0)
+    alone = [got[3, "SELECT 1", None], got[None, "SELECT 1", None]]
+    assert not any(r["paired"] for r in alone) and {r["levenshtein"] for r in alone} == {None}
+
+
+def test_followers_of_one_word_and_of_several(spark):
+    lists = [["FROM"], ["FROM", "A"], ["A", "FROM"], ["FROM", "A", "FROM", "A", "FROM", "B"], ["FROM", "FROM"], [], None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, t array<string>")
+    got = [r[0] for r in df.orderBy("i").select(lexing.followers(F.col("t"), ["FROM"])).collect()]
+    assert got == [[], ["A"], [], ["A", "B"], ["FROM"], [], None]
